@@ -1,7 +1,8 @@
 """Indicators over one ordered array of closes, as array folds.
 
-The caller guarantees the array is in date order and bounded by its look-back
-(one visible bar per day). All arithmetic is in double.
+The arguments are names of columns. The caller guarantees the array is in date
+order and bounded by its look-back (one visible bar per day). All arithmetic is
+in double.
 """
 
 from __future__ import annotations
@@ -10,147 +11,113 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def changes(closes: Column) -> Column:
-    """Bar-to-bar differences; one shorter than the input."""
-    tail = F.slice(closes, 2, F.greatest(F.size(closes) - 1, F.lit(0)))
-    return F.transform(tail, lambda x, i: x - F.get(closes, i))
-
-
-def _up(change: Column) -> Column:
-    return F.greatest(change, F.lit(0.0))
+def _rest(array: str, start: int) -> str:
+    """Elements from the 1-based position ``start`` on; empty if there are none."""
+    return f"slice({array}, {start}, greatest(size({array}) - {start - 1}, 0))"
 
 
-def _down(change: Column) -> Column:
-    return F.greatest(-change, F.lit(0.0))
+def changes(closes: str) -> Column:
+    """Bar-to-bar differences; one shorter than the input."""
+    return F.expr(f"transform({_rest(closes, 2)}, (x, i) -> x - {closes}[i])")
 
 
-def pct_change(closes: Column, bars: int) -> Column:
+def pct_change(closes: str, bars: int) -> Column:
     """Percentage change of the last close over ``bars`` bars, 2 decimals."""
-    last = F.try_element_at(closes, F.lit(-1))
-    prior = F.try_element_at(closes, F.lit(-1 - bars))
-    return F.round((F.try_divide(last, prior) - 1) * 100, 2)
+    return F.expr(
+        f"round((try_divide(try_element_at({closes}, -1), try_element_at({closes}, {-1 - bars})) - 1) * 100, 2)"
+    )
 
 
-def rsi_mean_seed(diffs: Column, period: int) -> Column:
+def rsi_mean_seed(diffs: str, period: int) -> Column:
     """Wilder's RSI whose averages start at the mean of the first ``period`` changes.
 
     A missing change counts as no move. Needs at least ``period`` changes.
     """
-    head = F.slice(diffs, 1, period)
-    rest = F.slice(diffs, period + 1, F.greatest(F.size(diffs) - period, F.lit(0)))
-
-    def seed(part):
-        return F.aggregate(head, F.lit(0.0), lambda acc, x: acc + part(x), lambda acc: acc / period)
-
-    def smooth(acc: Column, x: Column) -> Column:
-        return acc * ((period - 1) / period) + x * (1 / period)
-
-    def ratio(acc: Column) -> Column:
-        gain, loss = acc["gain"], acc["loss"]
-        return (
-            F.when(loss == 0, 100.0)
-            .when(gain == 0, 0.0)
-            .otherwise(100.0 - 100.0 / (1.0 + gain / loss))
-        )
-
-    return F.aggregate(
-        rest,
-        F.struct(seed(_up).alias("gain"), seed(_down).alias("loss")),
-        lambda acc, x: F.struct(
-            smooth(acc["gain"], _up(x)).alias("gain"),
-            smooth(acc["loss"], _down(x)).alias("loss"),
-        ),
-        ratio,
-    )
+    keep, take = f"{(period - 1) / period!r}D", f"{1 / period!r}D"
+
+    def seed(part: str) -> str:
+        return f"aggregate(slice({diffs}, 1, {period}), 0D, (a, x) -> a + greatest({part}, 0D), a -> a / {period})"
+
+    return F.expr(f"""
+        aggregate(
+          {_rest(diffs, period + 1)},
+          named_struct('gain', {seed('x')}, 'loss', {seed('-x')}),
+          (a, x) -> named_struct(
+            'gain', a.gain * {keep} + greatest(x, 0D) * {take},
+            'loss', a.loss * {keep} + greatest(-x, 0D) * {take}),
+          a -> CASE WHEN a.loss = 0 THEN 100D WHEN a.gain = 0 THEN 0D
+                    ELSE 100D - 100D / (1D + a.gain / a.loss) END)""")
+
+
+_MACD_FIELDS = """named_struct(
+            'macd', {fast} - {slow}, 'macd_signal', {signal}, 'macd_histogram', {fast} - {slow} - {signal})"""
 
 
-def macd(closes: Column, fast: int, slow: int, signal: int) -> Column:
-    """Struct (macd, signal, histogram) after the last close.
+def macd(closes: str, fast: int, slow: int, signal: int) -> Column:
+    """Struct (macd, macd_signal, macd_histogram) after the last close.
 
     Averages start at the first close, so the first line value is 0. A missing
     close makes every later value NULL.
     """
     k_fast, k_slow, k_signal = (2.0 / (n + 1) for n in (fast, slow, signal))
 
-    def ema(prev: Column, x: Column, k: float) -> Column:
-        return x * k + prev * (1.0 - k)
+    def ema(previous: str, x: str, k: float) -> str:
+        return f"({x} * {k!r}D + {previous} * {1.0 - k!r}D)"
 
-    def step(acc: Column, x: Column) -> Column:
-        f, s = ema(acc["fast"], x, k_fast), ema(acc["slow"], x, k_slow)
-        return F.struct(f.alias("fast"), s.alias("slow"), ema(acc["signal"], f - s, k_signal).alias("signal"))
-
-    first = F.get(closes, F.lit(0))
-    start = F.struct(first.alias("fast"), first.alias("slow"), (first - first).alias("signal"))
-    rest = F.slice(closes, 2, F.greatest(F.size(closes) - 1, F.lit(0)))
-    return F.aggregate(rest, start, step, _macd_fields)
-
-
-def _macd_fields(acc: Column) -> Column:
-    line = acc["fast"] - acc["slow"]
-    return F.struct(
-        line.alias("macd"),
-        acc["signal"].alias("macd_signal"),
-        (line - acc["signal"]).alias("macd_histogram"),
-    )
+    f, s = ema("a.fast", "x", k_fast), ema("a.slow", "x", k_slow)
+    first = f"{closes}[0]"
+    return F.expr(f"""
+        aggregate(
+          {_rest(closes, 2)},
+          named_struct('fast', {first}, 'slow', {first}, 'signal', {first} - {first}),
+          (a, x) -> named_struct('fast', {f}, 'slow', {s}, 'signal', {ema('a.signal', f'({f} - {s})', k_signal)}),
+          a -> {_MACD_FIELDS.format(fast='a.fast', slow='a.slow', signal='a.signal')})""")
 
 
 # -- the variant that carries averages over gaps ---------------------------
 # An average here is a struct (y, w): its value and the weight left to it. A gap
 # lowers the weight; the next value is then blended by the weight that remains.
 
-def _no_average() -> Column:
-    return F.struct(F.lit(None).cast("double").alias("y"), F.lit(1.0).alias("w"))
+_NO_AVERAGE = "named_struct('y', CAST(NULL AS DOUBLE), 'w', 1D)"
 
 
-def _blend(avg: Column, x: Column, alpha: float) -> Column:
-    kept = avg["w"] * (1.0 - alpha)
-    blended = (kept * avg["y"] + alpha * x) / (kept + alpha)
-    return F.struct(
-        F.when(x.isNull(), avg["y"]).when(avg["y"].isNull(), x).otherwise(blended).alias("y"),
-        F.when(x.isNull() & avg["y"].isNotNull(), kept).otherwise(F.lit(1.0)).alias("w"),
-    )
+def _blend(avg: str, x: str, alpha: float) -> str:
+    kept = f"({avg}.w * {1.0 - alpha!r}D)"
+    return f"""named_struct(
+              'y', CASE WHEN {x} IS NULL THEN {avg}.y WHEN {avg}.y IS NULL THEN {x}
+                        ELSE ({kept} * {avg}.y + {alpha!r}D * {x}) / ({kept} + {alpha!r}D) END,
+              'w', CASE WHEN {x} IS NULL AND {avg}.y IS NOT NULL THEN {kept} ELSE 1D END)"""
 
 
-def rsi_first_seed(diffs: Column, period: int) -> Column:
+def rsi_first_seed(diffs: str, period: int) -> Column:
     """RSI whose averages start at the first change; NaN when nothing ever moved."""
     alpha = 1.0 / period
 
-    def part(x: Column, up: bool) -> Column:
-        return F.when(x.isNotNull(), _up(x) if up else _down(x))
+    def part(x: str) -> str:
+        return f"IF(x IS NULL, NULL, greatest({x}, 0D))"
 
-    def step(acc: Column, x: Column) -> Column:
-        return F.struct(
-            _blend(acc["gain"], part(x, True), alpha).alias("gain"),
-            _blend(acc["loss"], part(x, False), alpha).alias("loss"),
-            (acc["n"] + F.when(x.isNull(), 0).otherwise(1)).alias("n"),
-        )
+    return F.expr(f"""
+        aggregate(
+          {diffs},
+          named_struct('gain', {_NO_AVERAGE}, 'loss', {_NO_AVERAGE}, 'n', 0),
+          (a, x) -> named_struct(
+            'gain', {_blend('a.gain', part('x'), alpha)},
+            'loss', {_blend('a.loss', part('-x'), alpha)},
+            'n', a.n + IF(x IS NULL, 0, 1)),
+          a -> CASE WHEN a.n < {period} THEN NULL
+                    WHEN a.loss.y = 0 AND a.gain.y = 0 THEN CAST('NaN' AS DOUBLE)
+                    WHEN a.loss.y = 0 THEN 100D
+                    ELSE 100D - 100D / (1D + a.gain.y / a.loss.y) END)""")
 
-    def ratio(acc: Column) -> Column:
-        gain, loss = acc["gain"]["y"], acc["loss"]["y"]
-        value = (
-            F.when((loss == 0) & (gain == 0), F.lit(float("nan")))
-            .when(loss == 0, 100.0)
-            .otherwise(100.0 - 100.0 / (1.0 + gain / loss))
-        )
-        return F.when(acc["n"] >= period, value)
 
-    start = F.struct(_no_average().alias("gain"), _no_average().alias("loss"), F.lit(0).alias("n"))
-    return F.aggregate(diffs, start, step, ratio)
-
-
-def macd_over_gaps(closes: Column, fast: int, slow: int, signal: int) -> Column:
+def macd_over_gaps(closes: str, fast: int, slow: int, signal: int) -> Column:
     """Like :func:`macd`, but a missing close leaves the averages as they were."""
     a_fast, a_slow, a_signal = (2.0 / (n + 1) for n in (fast, slow, signal))
-
-    def step(acc: Column, x: Column) -> Column:
-        f, s = _blend(acc["fast"], x, a_fast), _blend(acc["slow"], x, a_slow)
-        return F.struct(
-            f.alias("fast"), s.alias("slow"),
-            _blend(acc["signal"], f["y"] - s["y"], a_signal).alias("signal"),
-        )
-
-    def finish(acc: Column) -> Column:
-        return _macd_fields({name: acc[name]["y"] for name in ("fast", "slow", "signal")})
-
-    start = F.struct(*[_no_average().alias(n) for n in ("fast", "slow", "signal")])
-    return F.aggregate(closes, start, step, finish)
+    start = f"named_struct('fast', {_NO_AVERAGE}, 'slow', {_NO_AVERAGE}, 'signal', {_NO_AVERAGE})"
+    # Fast and slow move first; the signal then takes their new difference.
+    moved = f"named_struct('fast', {_blend('a.fast', 'x', a_fast)}, 'slow', {_blend('a.slow', 'x', a_slow)}, 'signal', a.signal)"
+    line = "(m.fast.y - m.slow.y)"
+    signalled = f"""element_at(transform(array({moved}), m -> named_struct(
+              'fast', m.fast, 'slow', m.slow, 'signal', {_blend('m.signal', line, a_signal)})), 1)"""
+    fields = _MACD_FIELDS.format(fast="a.fast.y", slow="a.slow.y", signal="a.signal.y")
+    return F.expr(f"aggregate({closes}, {start}, (a, x) -> {signalled}, a -> {fields})")

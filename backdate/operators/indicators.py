@@ -36,13 +36,15 @@ def close_arrays(
         "ticker", "as_of",
         F.struct("trade_date", F.col(price_col).cast("double").alias("price")).alias("bar"),
     )
-    marker = distinct_requests(requests).withColumn("bar", F.lit(None).cast(seen.schema["bar"].dataType))
-    grouped = seen.unionByName(marker).groupBy("ticker", "as_of")
+    marker = distinct_requests(requests).select(
+        "ticker", "as_of", F.lit(None).cast("struct<trade_date: date, price: double>").alias("bar")
+    )
+    grouped = seen.union(marker).groupBy("ticker", "as_of")
     return grouped.agg(F.array_sort(F.collect_list("bar")).alias("bars"))
 
 
-def prices_of(bars: Column) -> Column:
-    return F.transform(bars, lambda bar: bar["price"])
+def prices_of(bars: str) -> Column:
+    return F.expr(f"transform({bars}, bar -> bar.price)")
 
 
 def indicator_columns(
@@ -56,24 +58,25 @@ def indicator_columns(
     min_bars_macd: int | None = None,
     digits: int = 4,
 ) -> DataFrame:
-    """Add ``rsi_14, macd, macd_signal, macd_histogram`` for the array column ``closes``."""
+    """``rsi_14, macd, macd_signal, macd_histogram`` in place of the array column ``closes``."""
     if seed not in ("mean", "first"):
         raise ValueError(f"unknown seed {seed!r}")
-    c, d = F.col(closes), F.col("_diffs")
-    n = F.size(c)
-    gate_rsi = n >= period + 1
-    gate_macd = n >= (period + 1 if min_bars_macd is None else min_bars_macd)
-    rsi = series.rsi_mean_seed(d, period) if seed == "mean" else series.rsi_first_seed(d, period)
-    fold = series.macd if seed == "mean" else series.macd_over_gaps
-    names = ("macd", "macd_signal", "macd_histogram")
+    gate_rsi = F.size(closes) >= period + 1
+    gate_macd = F.size(closes) >= (period + 1 if min_bars_macd is None else min_bars_macd)
+    rsi = (series.rsi_mean_seed if seed == "mean" else series.rsi_first_seed)("_diffs", period)
+    fold = (series.macd if seed == "mean" else series.macd_over_gaps)(closes, fast, slow, signal)
+    kept = [c for c in df.columns if c != closes]
     return (
-        df.withColumn("_diffs", series.changes(c))
-        .withColumns({
-            "rsi_14": F.when(gate_rsi, F.round(rsi, 2)),
-            "_macd": F.when(gate_macd, fold(c, fast, slow, signal)),
-        })
-        .withColumns({name: F.round(F.col("_macd")[name], digits) for name in names})
-        .drop("_diffs", "_macd")
+        df.select("*", series.changes(closes).alias("_diffs"))
+        .select(
+            *kept,
+            F.when(gate_rsi, F.round(rsi, 2)).alias("rsi_14"),
+            F.when(gate_macd, fold).alias("_macd"),
+        )
+        .select(
+            *kept, "rsi_14",
+            *[F.round(f"_macd.{c}", digits).alias(c) for c in ("macd", "macd_signal", "macd_histogram")],
+        )
     )
 
 
@@ -93,17 +96,15 @@ def indicators(
     """
     arrays = close_arrays(requests, bars, lookback_days, price_col)
     with_closes = arrays.select(
-        "ticker", "as_of", F.size("bars").cast("long").alias("n_bars"), prices_of(F.col("bars")).alias("_closes")
+        "ticker", "as_of", F.size("bars").cast("long").alias("n_bars"), prices_of("bars").alias("_closes")
     )
-    return indicator_columns(with_closes, "_closes", **options).drop("_closes")
+    return indicator_columns(with_closes, "_closes", **options)
 
 
-def snapshot_columns(closes: Column, windows: Sequence[int] = PCT_CHANGE_BARS) -> dict[str, Column]:
+def snapshot_columns(closes: str, windows: Sequence[int] = PCT_CHANGE_BARS) -> list[Column]:
     """Last close and its percentage change over some numbers of bars."""
-    columns = {"last_close": F.round(F.try_element_at(closes, F.lit(-1)), 2)}
-    for n in windows:
-        columns[f"pct_change_{n}d"] = series.pct_change(closes, n)
-    return columns
+    last = F.round(F.try_element_at(closes, F.lit(-1)), 2).alias("last_close")
+    return [last, *[series.pct_change(closes, n).alias(f"pct_change_{n}d") for n in windows]]
 
 
 def price_snapshot(
@@ -114,9 +115,9 @@ def price_snapshot(
 ) -> DataFrame:
     """One row per request; NULL metrics and ``n_bars = 0`` when it sees no bar."""
     arrays = close_arrays(requests, bars, lookback_days)
-    closes = arrays.select("ticker", "as_of", prices_of(F.col("bars")).alias("_closes"))
+    closes = arrays.select("ticker", "as_of", prices_of("bars").alias("_closes"))
     return closes.select(
         "ticker", "as_of",
         F.size("_closes").cast("long").alias("n_bars"),
-        *[c.alias(name) for name, c in snapshot_columns(F.col("_closes"), windows).items()],
+        *snapshot_columns("_closes", windows),
     )

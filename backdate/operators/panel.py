@@ -60,20 +60,18 @@ def research_panel(
     arrays = close_arrays(requests, bars, max(indicator_days, history_days))
 
     def closes_since(days: int) -> Column:
-        return prices_of(F.filter("bars", lambda bar: bar["trade_date"] > F.date_sub("as_of", days)))
+        return prices_of(f"filter(bars, b -> b.trade_date > date_sub(as_of, {days}))")
 
     parts = arrays.select(
         "ticker", "as_of",
         closes_since(indicator_days).alias("_indicator_closes"),
         closes_since(history_days).alias("_history_closes"),
+    ).select(
+        "ticker", "as_of", "_indicator_closes",
+        F.size("_history_closes").cast("long").alias("n_bars"),
+        *snapshot_columns("_history_closes"),
     )
-    measured = indicator_columns(
-        parts.withColumns({
-            "n_bars": F.size("_history_closes").cast("long"),
-            **snapshot_columns(F.col("_history_closes")),
-        }),
-        "_indicator_closes",
-    )
+    measured = indicator_columns(parts, "_indicator_closes")
     panel = measured.join(news_lists(requests, news, k), ["ticker", "as_of"], "left")
     none = F.array().cast(panel.schema["news"].dataType)
     return panel.select(

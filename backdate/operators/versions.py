@@ -52,20 +52,23 @@ def build_versions(
     observations: DataFrame,
     keys: Sequence[str],
     compare_cols: Sequence[str],
-    order_cols: Sequence[str],
+    order_cols: Sequence[str] | None = None,
     default_known_from: Column | None = None,
     observed_on: str = "observed_on",
 ) -> DataFrame:
     """Belief windows from an observation log.
 
     Of several observations of a key on one day the last by ``order_cols``
-    counts. An observation equal to the one before it in all ``compare_cols``
+    counts; without ``order_cols`` the log already has one per key and day. An
+    observation equal to the one before it in all ``compare_cols``
     adds nothing. The first version of a key starts at ``default_known_from``
     (else at its own day), every later one on the day it was observed, but
     never before the first. A version superseded before it could be known
     keeps an empty window.
     """
-    daily = last_per_key(observations, [*keys, observed_on], order_cols)
+    daily = observations
+    if order_cols is not None:
+        daily = last_per_key(observations, [*keys, observed_on], order_cols)
     by_day = Window.partitionBy(*keys).orderBy(observed_on)
 
     unchanged = reduce(
@@ -84,7 +87,7 @@ def build_versions(
         F.greatest(F.col(observed_on), F.col("_start"))
     )
     carried = [c for c in _others(observations, [*keys, observed_on, *WINDOW_COLUMNS])
-               if c not in order_cols or c in compare_cols]
+               if c not in (order_cols or ()) or c in compare_cols]
     return (
         marked.withColumn("known_from", known_from)
         .withColumn("known_until", F.coalesce(F.lead("known_from").over(by_day), open_end()))

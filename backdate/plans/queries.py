@@ -111,25 +111,18 @@ def open_versions(spark: SparkSession, d: str) -> DataFrame:
     return versions.open_versions(derived.price_bar(spark, d))
 
 
-def _state_and_batch(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Every observation is either in the stored state or in the batch that follows it."""
-    return log.where("l_linenumber <= 4"), log.where("l_linenumber > 4").drop("observed_on")
+# Every line is either in the stored state or in the batch that follows it.
+STORED, ARRIVING = "l_linenumber <= 4", "l_linenumber > 4"
 
 
 def apply_batch_prices(spark: SparkSession, d: str) -> DataFrame:
-    log, batch = _state_and_batch(derived.price_observations(spark, d))
-    current = versions.build_versions(
-        log, PRICE_KEYS, ["adj_close"], derived.LINE_ORDER, F.col("trade_date")
-    )
-    return ingest.apply_prices(current, batch, INGESTED_ON, derived.LINE_ORDER)
+    batch = derived.price_observations(spark, d, where=ARRIVING)
+    return ingest.apply_prices(derived.price_bar(spark, d, where=STORED), batch, INGESTED_ON, ["observed_on"])
 
 
 def apply_batch_facts(spark: SparkSession, d: str) -> DataFrame:
-    log, batch = _state_and_batch(derived.fact_observations(spark, d))
-    current = versions.build_versions(
-        log, FACT_KEYS, ["value"], derived.LINE_ORDER, F.date_add("period_end", 45)
-    )
-    return ingest.apply_facts(current, batch, INGESTED_ON, derived.LINE_ORDER)
+    batch = derived.fact_observations(spark, d, where=ARRIVING)
+    return ingest.apply_facts(derived.fundamental_fact(spark, d, where=STORED), batch, INGESTED_ON, ["observed_on"])
 
 
 def batch_action_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -256,22 +249,21 @@ def company_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 def ingest_all_counts(spark: SparkSession, d: str) -> DataFrame:
     """One full ingest of all tickers, as rows per table and action."""
-    log, batch = _state_and_batch(derived.price_observations(spark, d))
-    fact_log, _ = _state_and_batch(derived.fact_observations(spark, d))
     feed = _news_feed(spark, d)
     state = {
         "company": derived.company(spark, d),
-        "price_bar": versions.build_versions(log, PRICE_KEYS, ["adj_close"], derived.LINE_ORDER, F.col("trade_date")),
+        "price_bar": derived.price_bar(spark, d, where=STORED),
         "news_item": news.clean_news(feed.where("lang = 'en'")).where("published_at is not null"),
-        "fundamental_fact": versions.build_versions(
-            fact_log, FACT_KEYS, ["value"], derived.LINE_ORDER, F.date_add("period_end", 45)
-        ),
+        "fundamental_fact": derived.fundamental_fact(spark, d, where=STORED),
     }
     companies = derived.company(spark, d).select(
         "ticker", F.col("name").alias("longName"), F.lit("").alias("shortName"), "sector", "exchange"
     )
     landing = {
-        "company": companies, "prices": batch, "news": feed, "quarterly": _quarterly_feed(spark, d),
+        "company": companies,
+        "prices": derived.price_observations(spark, d, where=ARRIVING),
+        "news": feed,
+        "quarterly": _quarterly_feed(spark, d),
     }
     done = ingest.ingest_batch(landing, state, as_of="1999-09-30", ingestion_date=INGESTED_ON)
     counts = [

@@ -12,6 +12,8 @@ SETTINGS = {
     # Bar arrays are collected for many more than 128 requests per task.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Plans here are made of many small columns; recording a call site for each is slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

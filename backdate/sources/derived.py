@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backdate.functions.text import first_sentences
-from backdate.operators.versions import build_versions
+from backdate.operators.versions import build_versions, last_per_key
 from backdate.schemas import FACT_KEYS, FACT_LAG_DAYS, MODES, PRICE_KEYS, SUMMARY_SENTENCES
 
 REQUEST_DATES = ("1997-06-30", "1999-03-01", "2001-06-30")
@@ -23,8 +23,21 @@ LINE_ORDER = [
 ]
 
 
+# The source files' schemas; declared, so that opening a table starts no job.
+SOURCES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SOURCES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _ticker(key: Column) -> Column:
@@ -53,47 +66,67 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def price_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One price per line item, observed 30 days later per line number."""
+def _lines(spark: SparkSession, sf_dir: str, keys: Sequence[str], where: str | None = None) -> DataFrame:
+    """Line items, the last one per key and observation day.
+
+    Reduced on the raw columns: they are narrower than the figures made of them,
+    and those are then computed for the kept rows only.
+    """
+    lines = source(spark, sf_dir, "lineitem").select(*keys, *[c for c in LINE_ORDER if c not in keys])
+    if where is not None:
+        lines = lines.where(where)
+    return last_per_key(lines, keys, [c for c in LINE_ORDER if c not in keys])
+
+
+PRICE_MEASURES = ("open", "high", "low", "close", "volume")
+
+
+def price_observations(
+    spark: SparkSession, sf_dir: str, measures: Sequence[str] = PRICE_MEASURES, where: str | None = None
+) -> DataFrame:
+    """The price log: one observation per supplier, ship day and line number.
+
+    It is observed 30 days later per line number. Only the ``measures`` a query
+    needs go along with the compared ``adj_close``.
+    """
     price = F.col("l_extendedprice").cast("decimal(18,4)")
     cents = F.col("l_extendedprice").cast("decimal(14,2)")
     day = F.to_date("l_shipdate")
-    return source(spark, sf_dir, "lineitem").select(
+    made = {
+        "open": price,
+        "high": (cents * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(18,4)"),
+        "low": (cents * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)"),
+        "close": price,
+        "volume": F.col("l_quantity").cast("long"),
+    }
+    return _lines(spark, sf_dir, ["l_suppkey", "l_shipdate", "l_linenumber"], where).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         day.alias("trade_date"),
-        price.alias("open"),
-        (cents * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(18,4)").alias("high"),
-        (cents * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)").alias("low"),
-        price.alias("close"),
-        F.col("l_quantity").cast("long").alias("volume"),
+        *[made[m].alias(m) for m in measures],
         price.alias("adj_close"),
         F.date_add(day, 30 * (F.col("l_linenumber") - 1)).alias("observed_on"),
-        *LINE_ORDER,
     )
 
 
-PRICE_MEASURES = ("open", "high", "low", "close", "volume")
-
+def price_bar(
+    spark: SparkSession, sf_dir: str, measures: Sequence[str] = PRICE_MEASURES, where: str | None = None
+) -> DataFrame:
+    log = price_observations(spark, sf_dir, measures, where)
+    return build_versions(log, PRICE_KEYS, ["adj_close"], default_known_from=F.col("trade_date"))
 
-def price_bar(spark: SparkSession, sf_dir: str, measures: Sequence[str] = PRICE_MEASURES) -> DataFrame:
-    """Only the ``measures`` a query needs (with the compared ``adj_close``) travel through the shuffles."""
-    log = price_observations(spark, sf_dir).select(
-        *PRICE_KEYS, *measures, "adj_close", "observed_on", *LINE_ORDER
-    )
-    return build_versions(
-        log, PRICE_KEYS, ["adj_close"], LINE_ORDER, default_known_from=F.col("trade_date")
-    )
 
+def fact_observations(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    """The figure log: one observation per supplier, return flag and ship day.
 
-def fact_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One figure per line item: the quarter's, observed later the later it shipped."""
+    It states the quarter's figure, later the later in the quarter it shipped.
+    """
     shipped = F.to_date("l_shipdate")
     start = F.to_date(F.trunc(shipped, "quarter"))
     end = F.date_sub(F.add_months(start, 3), 1)
     metric = F.when(F.col("l_returnflag") == "A", "revenue").when(
         F.col("l_returnflag") == "N", "net_income"
     ).otherwise("eps")
-    return source(spark, sf_dir, "lineitem").select(
+    return _lines(spark, sf_dir, ["l_suppkey", "l_returnflag", "l_shipdate"], where).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         metric.alias("metric"),
         end.alias("period_end"),
@@ -102,14 +135,13 @@ def fact_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("USD").alias("currency"),
         F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("source"),
         F.date_add(end, FACT_LAG_DAYS + F.datediff(shipped, start)).alias("observed_on"),
-        *LINE_ORDER,
     )
 
 
-def fundamental_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fundamental_fact(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    log = fact_observations(spark, sf_dir, where)
     return build_versions(
-        fact_observations(spark, sf_dir), FACT_KEYS, ["value"], LINE_ORDER,
-        default_known_from=F.date_add("period_end", FACT_LAG_DAYS),
+        log, FACT_KEYS, ["value"], default_known_from=F.date_add("period_end", FACT_LAG_DAYS)
     )
 
 

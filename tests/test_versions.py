@@ -1,0 +1,214 @@
+"""Windows, batches and their agreement."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+from decimal import Decimal
+
+import pytest
+import seed
+from pyspark.sql import functions as F
+
+from backdate.operators import ingest, versions
+from backdate.operators.pointintime import known_as_of
+from backdate.schemas import FACT_KEYS, PRICE_BAR
+
+LOG = "k int, d date, v decimal(18,4), observed_on date, seq int"
+DAY0 = dt.date(2024, 1, 1)
+
+
+def log(spark, rows):
+    made = [
+        (k, seed.day(d), None if v is None else Decimal(str(v)), seed.day(o), s) for k, d, v, o, s in rows
+    ]
+    return spark.createDataFrame(made, LOG)
+
+
+def windows(df):
+    return [
+        (str(r.known_from), str(r.known_until), None if r.v is None else float(r.v))
+        for r in df.orderBy("known_from", "known_until").collect()
+    ]
+
+
+def build(spark, rows):
+    return versions.build_versions(log(spark, rows), ["k", "d"], ["v"], ["seq"], F.col("d"))
+
+
+def test_windows_meet_and_repeats_are_dropped(spark):
+    rows = [
+        (1, "2024-01-01", 5, "2024-01-01", 1), (1, "2024-01-01", 5, "2024-01-04", 2),
+        (1, "2024-01-01", 6, "2024-01-07", 3), (1, "2024-01-01", 6, "2024-01-08", 4),
+        (1, "2024-01-01", 5, "2024-01-09", 5),
+    ]
+    assert windows(build(spark, rows)) == [
+        ("2024-01-01", "2024-01-07", 5.0), ("2024-01-07", "2024-01-09", 6.0), ("2024-01-09", "9999-12-31", 5.0),
+    ]
+
+
+def test_last_observation_of_a_day_counts(spark):
+    rows = [(1, "2024-01-01", v, "2024-01-05", s) for s, v in ((2, 7), (3, 9), (1, 8))]
+    assert windows(build(spark, rows)) == [("2024-01-01", "9999-12-31", 9.0)]
+
+
+def test_null_value_and_its_correction_are_versions(spark):
+    rows = [(1, "2024-01-01", None, "2024-01-01", 1), (1, "2024-01-01", None, "2024-01-02", 2),
+            (1, "2024-01-01", 4, "2024-01-03", 3)]
+    assert windows(build(spark, rows)) == [("2024-01-01", "2024-01-03", None), ("2024-01-03", "9999-12-31", 4.0)]
+
+
+def test_correction_before_the_first_known_day_leaves_an_empty_window(spark):
+    rows = [(1, "2024-02-01", 4, "2024-01-10", 1), (1, "2024-02-01", 5, "2024-01-20", 2)]
+    built = build(spark, rows)
+    assert windows(built) == [("2024-02-01", "2024-02-01", 4.0), ("2024-02-01", "9999-12-31", 5.0)]
+    assert [float(r.v) for r in known_as_of(built, "2024-02-01").collect()] == [5.0]
+    (latest,) = versions.latest_version(built, ["k", "d"]).collect()
+    assert float(latest.v) == 5.0
+
+
+CURRENT = "k int, d date, v decimal(18,4), known_from date, known_until date"
+
+
+def empty_state(spark):
+    return spark.createDataFrame([], CURRENT)
+
+
+def apply(spark, state, rows, on):
+    batch = spark.createDataFrame(
+        [(k, seed.day(d), None if v is None else float(v), s) for k, d, v, s in rows], "k int, d date, v double, seq int"
+    )
+    return versions.apply_batch(state, batch, ["k", "d"], ["v"], on, F.col("d"), ["seq"])
+
+
+def actions(df):
+    return {r.action: r.n_rows for r in versions.action_counts(df).collect()}
+
+
+def test_batch_opens_then_repeats_then_corrects(spark):
+    first = apply(spark, empty_state(spark), [(1, "2024-01-01", 5, 1), (2, "2024-01-01", 6, 1)], "2024-01-02")
+    assert actions(first) == {"opened": 2}
+    state = versions.next_state(first)
+    again = apply(spark, state, [(1, "2024-01-01", 5.00004, 1)], "2024-01-03")
+    assert actions(again) == {"unchanged": 1, "untouched": 1}
+    fixed = apply(spark, state, [(1, "2024-01-01", 5.5, 1), (1, "2024-01-01", 5.7, 2)], "2024-01-04")
+    assert actions(fixed) == {"closed": 1, "opened": 1, "untouched": 1}
+    assert windows(versions.next_state(fixed).where("k = 1")) == [
+        ("2024-01-01", "2024-01-04", 5.0), ("2024-01-04", "9999-12-31", 5.7),
+    ]
+
+
+def test_null_then_value_is_a_correction(spark):
+    state = versions.next_state(apply(spark, empty_state(spark), [(1, "2024-01-01", None, 1)], "2024-01-01"))
+    fixed = apply(spark, state, [(1, "2024-01-01", 3, 1)], "2024-01-05")
+    assert actions(fixed) == {"closed": 1, "opened": 1}
+    assert actions(apply(spark, state, [(1, "2024-01-01", None, 1)], "2024-01-05")) == {"unchanged": 1}
+
+
+def test_fact_corrected_before_it_was_due(spark):
+    state = seed.facts(spark).where("false")
+    batch = seed.facts(spark, [("A", "eps", "2023-10-02", "2023-12-31", 1.0, "2024-01-01", seed.OPEN)]).drop("known_from", "known_until")
+    first = versions.next_state(ingest.apply_facts(state, batch, "2024-01-10"))
+    assert [str(r.known_from) for r in first.collect()] == ["2024-02-14"]
+    fixed = versions.next_state(ingest.apply_facts(first, batch.withColumn("value", F.lit(2).cast("decimal(28,4)")), "2024-01-20"))
+    assert sorted((str(r.known_from), str(r.known_until), float(r.value)) for r in fixed.collect()) == [
+        ("2024-02-14", "2024-02-14", 1.0), ("2024-02-14", "9999-12-31", 2.0),
+    ]
+
+
+def random_log(rng, keys=40, days=25):
+    rows, seq = [], 0
+    for k in range(keys):
+        d = DAY0 + dt.timedelta(rng.randrange(10))
+        for _ in range(rng.randrange(1, 12)):
+            seq += 1
+            v = rng.choice([None, 1, 2, 3])
+            rows.append((k, str(d), v, str(DAY0 + dt.timedelta(10 + rng.randrange(days))), seq))
+    return rows
+
+
+def replay(rows):
+    """The same rules, one observation at a time."""
+    out = {}
+    last = {}
+    for k, d, v, o, s in sorted(rows, key=lambda r: (r[0], r[3], r[4])):
+        last[(k, d, o)] = v
+    for (k, d, o), v in sorted(last.items()):
+        chain = out.setdefault((k, d), [])
+        if chain and chain[-1][2] == v:
+            continue
+        start = max(o, chain[0][0]) if chain else d
+        if chain:
+            chain[-1] = (chain[-1][0], start, chain[-1][2])
+        chain.append((start, "9999-12-31", v))
+    return {(k, d, *w) for (k, d), chain in out.items() for w in chain}
+
+
+def as_set(df):
+    return {(r.k, str(r.d), str(r.known_from), str(r.known_until), None if r.v is None else float(r.v)) for r in df.collect()}
+
+
+def test_log_batches_and_replay_agree(spark):
+    rows = random_log(random.Random(3), keys=25, days=4)
+    built = build(spark, rows)
+    assert as_set(built) == {(k, d, f, u, None if v is None else float(v)) for k, d, f, u, v in replay(rows)}
+    state = empty_state(spark)
+    for on in sorted({r[3] for r in rows}):
+        batch = [(k, d, v, s) for k, d, v, o, s in rows if o == on]
+        state = versions.next_state(apply(spark, state, batch, on))
+        state = spark.createDataFrame(state.collect(), CURRENT)
+    assert as_set(state) == as_set(built)
+    assert {r.violations for r in versions.version_invariants(built, ["k", "d"]).collect()} == {0}
+
+
+def test_later_observations_never_change_an_earlier_answer(spark):
+    rows = random_log(random.Random(11))
+    for cut in ("2024-01-15", "2024-01-22", "2024-01-30"):
+        before = known_as_of(build(spark, [r for r in rows if r[3] <= cut]), cut)
+        after = known_as_of(build(spark, rows), cut)
+        strip = lambda df: {(r.k, str(r.d), None if r.v is None else float(r.v)) for r in df.collect()}
+        # A first version may be backdated to its default day; only keys seen by the cut are compared.
+        seen = {r[0] for r in rows if r[3] <= cut}
+        assert {x for x in strip(after) if x[0] in seen} == strip(before)
+
+
+def test_reapplying_a_batch_changes_nothing(spark):
+    batch = [(k, "2024-01-01", k * 1.5, 1) for k in range(10)]
+    state = versions.next_state(apply(spark, empty_state(spark), batch, "2024-01-02"))
+    again = apply(spark, state, batch, "2024-02-02")
+    assert actions(again) == {"unchanged": 10}
+    assert as_set(versions.next_state(again)) == as_set(state)
+
+
+def test_invariants_find_broken_windows(spark):
+    rows = [
+        (1, "2024-01-01", "2024-01-01", "2024-01-10"), (1, "2024-01-01", "2024-01-05", seed.OPEN),
+        (2, "2024-01-01", "2024-01-01", seed.OPEN), (2, "2024-01-01", "2024-01-03", seed.OPEN),
+        (3, "2024-01-01", "2024-01-05", "2024-01-02"),
+        (4, "2024-01-01", "2024-01-01", "2024-01-01"), (4, "2024-01-01", "2024-01-01", seed.OPEN),
+        (5, "2024-01-01", "2024-01-01", "2024-03-01"), (5, "2024-01-01", "2024-01-02", "2024-01-03"),
+        (5, "2024-01-01", "2024-02-01", "2024-03-01"),
+    ]
+    df = spark.createDataFrame(
+        [(k, seed.day(d), seed.day(f), seed.day(u)) for k, d, f, u in rows], "k int, d date, known_from date, known_until date"
+    )
+    found = {r.rule: r.violations for r in versions.version_invariants(df, ["k", "d"]).collect()}
+    assert found == {"reversed_window": 1, "overlap": 4, "many_open": 1}
+
+
+def test_upsert_replaces_whole_rows(spark):
+    old = spark.createDataFrame(seed.COMPANIES, "ticker string, name string, sector string, exchange string")
+    new = spark.createDataFrame([("AAPL", "Apple", None, "X"), ("NEW", "New", "S", None)], old.schema)
+    rows = {r.ticker: tuple(r) for r in versions.upsert(old, new, ["ticker"]).collect()}
+    assert rows["AAPL"] == ("AAPL", "Apple", None, "X") and len(rows) == 3
+    assert rows["MSFT"][1] == "Microsoft Corporation"
+
+
+def test_open_versions_and_seed_invariants(spark):
+    bars = seed.bars(spark)
+    assert versions.open_versions(bars).count() == 41
+    assert {r.violations for r in versions.version_invariants(bars, ["ticker", "trade_date"]).collect()} == {0}
+    assert {r.violations for r in versions.version_invariants(seed.facts(spark), FACT_KEYS).collect()} == {0}
+    assert "known_until" in PRICE_BAR
+    with pytest.raises(Exception):
+        versions.last_per_key(bars, ["missing"], ["known_from"])
