@@ -124,7 +124,8 @@ def apply_batch(
     day = as_date(ingestion_date)
     columns = current.columns
     values = _others(current, [*keys, *WINDOW_COLUMNS])
-    incoming = last_per_key(batch, keys, order_cols or keys)
+    ordering = [c for c in order_cols if c not in values]
+    incoming = last_per_key(batch.select(*keys, *values, *ordering), keys, order_cols)
     # Compare what would be stored, not what arrived.
     incoming = incoming.select(
         *[F.col(c).cast(current.schema[c].dataType).alias(c) for c in [*keys, *values]]
@@ -172,7 +173,7 @@ def next_state(applied: DataFrame) -> DataFrame:
 
 def upsert(existing: DataFrame, batch: DataFrame, keys: Sequence[str], order_cols: Sequence[str] = ()) -> DataFrame:
     """Last write wins, whole rows: a NULL in the batch replaces a value."""
-    incoming = last_per_key(batch, keys, order_cols or keys).select(*existing.columns)
+    incoming = last_per_key(batch, keys, order_cols).select(*existing.columns)
     kept = existing.join(incoming.select(*keys), list(keys), "left_anti")
     return kept.unionByName(incoming)
 

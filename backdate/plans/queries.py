@@ -116,13 +116,13 @@ STORED, ARRIVING = "l_linenumber <= 4", "l_linenumber > 4"
 
 
 def apply_batch_prices(spark: SparkSession, d: str) -> DataFrame:
-    batch = derived.price_observations(spark, d, where=ARRIVING)
-    return ingest.apply_prices(derived.price_bar(spark, d, where=STORED), batch, INGESTED_ON, ["observed_on"])
+    batch = derived.price_observations(spark, d, where=ARRIVING, carry=derived.LINE_ORDER)
+    return ingest.apply_prices(derived.price_bar(spark, d, where=STORED), batch, INGESTED_ON, derived.LINE_ORDER)
 
 
 def apply_batch_facts(spark: SparkSession, d: str) -> DataFrame:
-    batch = derived.fact_observations(spark, d, where=ARRIVING)
-    return ingest.apply_facts(derived.fundamental_fact(spark, d, where=STORED), batch, INGESTED_ON, ["observed_on"])
+    batch = derived.fact_observations(spark, d, where=ARRIVING, carry=derived.LINE_ORDER)
+    return ingest.apply_facts(derived.fundamental_fact(spark, d, where=STORED), batch, INGESTED_ON, derived.LINE_ORDER)
 
 
 def batch_action_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -82,12 +82,13 @@ PRICE_MEASURES = ("open", "high", "low", "close", "volume")
 
 
 def price_observations(
-    spark: SparkSession, sf_dir: str, measures: Sequence[str] = PRICE_MEASURES, where: str | None = None
+    spark: SparkSession, sf_dir: str, measures: Sequence[str] = PRICE_MEASURES,
+    where: str | None = None, carry: Sequence[str] = (),
 ) -> DataFrame:
     """The price log: one observation per supplier, ship day and line number.
 
     It is observed 30 days later per line number. Only the ``measures`` a query
-    needs go along with the compared ``adj_close``.
+    needs go along with the compared ``adj_close``, and the raw columns to ``carry``.
     """
     price = F.col("l_extendedprice").cast("decimal(18,4)")
     cents = F.col("l_extendedprice").cast("decimal(14,2)")
@@ -105,6 +106,7 @@ def price_observations(
         *[made[m].alias(m) for m in measures],
         price.alias("adj_close"),
         F.date_add(day, 30 * (F.col("l_linenumber") - 1)).alias("observed_on"),
+        *carry,
     )
 
 
@@ -115,7 +117,9 @@ def price_bar(
     return build_versions(log, PRICE_KEYS, ["adj_close"], default_known_from=F.col("trade_date"))
 
 
-def fact_observations(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+def fact_observations(
+    spark: SparkSession, sf_dir: str, where: str | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
     """The figure log: one observation per supplier, return flag and ship day.
 
     It states the quarter's figure, later the later in the quarter it shipped.
@@ -135,6 +139,7 @@ def fact_observations(spark: SparkSession, sf_dir: str, where: str | None = None
         F.lit("USD").alias("currency"),
         F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("source"),
         F.date_add(end, FACT_LAG_DAYS + F.datediff(shipped, start)).alias("observed_on"),
+        *carry,
     )
 
 
