@@ -22,12 +22,13 @@ def strip(text: Column) -> Column:
 
 
 def first_sentences(text: Column, n: int) -> Column:
-    """The first ``n`` sentences of the whole text, joined by one space.
+    """The first ``n`` sentences, joined by one space and stripped.
 
-    A sentence ends at ``.``, ``!`` or ``?`` before white space.
+    A sentence ends at ``.``, ``!`` or ``?`` before white space. Splitting stops
+    once they are found, so a long text costs no more than its first sentences.
     """
-    sentences = F.split(strip(text), rf"(?U)(?<=[.!?]){_SPACE}+")
-    return F.array_join(F.slice(sentences, 1, n), " ")
+    sentences = F.split(text, rf"(?U)(?<=[.!?]){_SPACE}+", n + 1)
+    return strip(F.array_join(F.slice(sentences, 1, n), " "))
 
 
 def plain_number(value: Column, digits: int) -> Column:
@@ -49,3 +50,11 @@ def quoted(text: Column) -> Column:
 
 def quoted_list(items: Column) -> Column:
     return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
+
+
+def quoted_map(entries: Column, digits: int = 4) -> Column:
+    """A map of names to numbers, in its own order."""
+    items = F.transform(
+        F.map_entries(entries), lambda e: F.concat(quoted(e["key"]), F.lit(": "), plain_number(e["value"], digits))
+    )
+    return F.concat(F.lit("{"), F.array_join(items, ", "), F.lit("}"))

@@ -48,8 +48,12 @@ def _tokens() -> Column:
 
 
 def compare_runs(run: DataFrame, verdict: DataFrame, message: DataFrame) -> DataFrame:
-    """Every baseline run beside every multi-agent run of the same ticker and date."""
-    metrics = run_metrics(run, verdict, message)
+    """Every baseline run beside every multi-agent run of the same ticker and date.
+
+    Both sides ask for all message totals (the count in a filter that always
+    holds), so that Spark shuffles and sums the messages once and reuses it.
+    """
+    metrics = run_metrics(run, verdict, message).where(F.col("message_count") >= 0)
     shared = ["ticker", "as_of_date"]
 
     def side(mode: str, prefix: str) -> DataFrame:

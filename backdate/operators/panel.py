@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from backdate.functions.text import plain_number, quoted_list
+from backdate.functions.text import plain_number, quoted_list, quoted_map
 from backdate.operators.indicators import (
     close_arrays,
     indicator_columns,
@@ -35,6 +35,12 @@ ANALYST_SNAPSHOT = "Price Snapshot: "
 ANALYST_INDICATORS = "Technical Indicators: "
 ANALYST_NEWS = "News Items: "
 ANALYST_CLOSING = "Generate your AnalystReport based on this data."
+REPORT_HEADING = "--- Analyst Report ---"
+HISTORY_HEADING = "--- Debate History ---"
+TRANSCRIPT_HEADING = "--- Debate Transcript ---"
+NO_HISTORY = "None"
+DEBATER_CLOSING = "Generate your Round {} argument."
+JUDGE_CLOSING = "Deliver your final JudgeVerdict."
 
 SNAPSHOT_FIELDS = ("last_close", *(f"pct_change_{n}d" for n in PCT_CHANGE_BARS))
 INDICATOR_FIELDS = ("rsi_14", "macd", "macd_signal", "macd_histogram")
@@ -152,11 +158,56 @@ def debate_transcripts(arguments: DataFrame) -> DataFrame:
     A transcript is a single prompt, so a run has only as many arguments as a
     model can read at once; :func:`debate_lines` is the form without that bound.
     """
-    return debate_lines(arguments).groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("n_arguments"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("round", "speaker", "line"))), lambda a: a["line"]
-            ), "\n",
-        ).alias("transcript"),
+    return _debates(arguments).select(
+        "run_id",
+        F.size("debate").cast("long").alias("n_arguments"),
+        F.array_join("debate.line", "\n").alias("transcript"),
     )
+
+
+def _debates(arguments: DataFrame) -> DataFrame:
+    """The arguments of a run as one array in speaking order (see :func:`debate_transcripts`)."""
+    spoken = F.array_sort(F.collect_list(F.struct("round", "speaker", "line")))
+    return debate_lines(arguments).groupBy("run_id").agg(spoken.alias("debate"))
+
+
+def _report_text() -> Column:
+    return F.concat_ws(
+        "\n",
+        F.concat(F.lit("Key Points: "), quoted_list(F.col("key_points"))),
+        F.concat(F.lit("Prices: "), quoted_map(F.col("price_snapshot"))),
+        F.concat(F.lit("Indicators: "), quoted_map(F.col("indicators"))),
+        F.concat(F.lit("News: "), quoted_list(F.col("news.headline"))),
+        F.lit(""),
+    )
+
+
+def _sections(*parts: Column) -> Column:
+    return F.concat_ws("\n", *parts)
+
+
+def debater_inputs(reports: DataFrame, arguments: DataFrame) -> DataFrame:
+    """The request text behind each argument: the report and the debate before it."""
+    turns = _debates(arguments).select("run_id", "debate", F.posexplode("debate").alias("_before", "_turn"))
+    earlier = F.when(F.col("_before") == 0, NO_HISTORY).otherwise(
+        F.array_join(F.slice("debate.line", F.lit(1), F.col("_before")), "\n")
+    )
+    opening, closing = DEBATER_CLOSING.split("{}")
+    prompt = _sections(
+        F.lit(REPORT_HEADING), _report_text(), F.lit(""), F.lit(HISTORY_HEADING), earlier, F.lit(""),
+        F.concat(F.lit(opening), F.col("_turn.round").cast("string"), F.lit(closing)),
+    )
+    return turns.join(reports, "run_id").select(
+        "run_id", F.col("_turn.round").alias("round"),
+        F.element_at(F.array(*[F.lit(s) for s in STANCES]), F.col("_turn.speaker")).alias("stance"),
+        prompt.alias("prompt"),
+    )
+
+
+def judge_inputs(reports: DataFrame, arguments: DataFrame) -> DataFrame:
+    """The request text for the decision after a debate: the report and the whole debate."""
+    prompt = _sections(
+        F.lit(REPORT_HEADING), _report_text(), F.lit(""), F.lit(TRANSCRIPT_HEADING),
+        F.coalesce("transcript", F.lit("")), F.lit(""), F.lit(JUDGE_CLOSING),
+    )
+    return reports.join(debate_transcripts(arguments), "run_id", "left").select("run_id", prompt.alias("prompt"))

@@ -33,9 +33,13 @@ def distinct_requests(requests: DataFrame) -> DataFrame:
     return requests.select("ticker", "as_of").distinct()
 
 
-def within_envelope(df: DataFrame, requests: DataFrame, date_col: str, lookback_days: int | None) -> DataFrame:
+def within_envelope(
+    df: DataFrame, requests: DataFrame, date_col: str, lookback_days: int | None, versioned: bool = False
+) -> DataFrame:
     """Keep only dates some request can see, as bounds that reach the file scan.
 
+    With ``versioned`` also only versions some request could have known.
+
     The bounds are scalar subqueries over the requests: no action here, and
     the scan skips row groups once they are known. The lower bound keeps a
     filter of its own, because Spark pushes two such bounds down only while it
@@ -43,6 +47,8 @@ def within_envelope(df: DataFrame, requests: DataFrame, date_col: str, lookback_
     """
     newest = requests.agg(F.max("as_of")).scalar()
     df = df.where(F.col(date_col) <= newest)
+    if versioned:
+        df = df.where(F.col("known_from") <= newest)
     if lookback_days is not None:
         first = requests.agg(F.min("as_of").alias("first")).where(F.col("first").isNotNull())
         df = df.where(F.col(date_col) > first.select(F.date_sub("first", lookback_days)).scalar())
@@ -62,7 +68,7 @@ def bars_in_view(requests: DataFrame, bars: DataFrame, lookback_days: int, colum
         "ticker", "as_of",
         F.explode(F.sequence(day_bucket(oldest, width), day_bucket(F.col("as_of"), width))).alias("_bucket"),
     )
-    offered = within_envelope(bars, requests, "trade_date", lookback_days).select(
+    offered = within_envelope(bars, requests, "trade_date", lookback_days, versioned=True).select(
         "ticker", "trade_date", *columns, "known_from", "known_until",
         day_bucket(F.col("trade_date"), width).alias("_bucket"),
     )
@@ -119,7 +125,7 @@ def facts_as_of(
         offered = offered.where(F.col("metric").isin(*metrics))
     if period_end is not None:
         offered = offered.where(F.col("period_end") == as_date(period_end))
-    offered = within_envelope(offered, requests, "period_end", None).withColumn(
+    offered = within_envelope(offered, requests, "period_end", None, versioned=True).withColumn(
         "_salt", F.pmod(F.xxhash64("metric", "period_end"), F.lit(salts)).cast("int")
     )
     wanted = distinct_requests(requests).withColumn(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from backdate.schemas import (
+    ANALYST_PAYLOAD,
     ARGUMENT_PAYLOAD,
     CONFIDENCES,
     FAILURE_PAYLOAD,
@@ -76,6 +77,14 @@ def parse_arguments(messages: DataFrame) -> DataFrame:
     )
 
 
+def parse_reports(messages: DataFrame) -> DataFrame:
+    """Analyst report payloads as columns."""
+    fields = ["price_snapshot", "indicators", "news", "key_points"]
+    checked = _parse(messages, ANALYST_PAYLOAD, fields, {})
+    valid = F.col("problem").isNull()
+    return checked.select("run_id", *[F.when(valid, F.col(f"_p.{f}")).alias(f) for f in fields], "problem")
+
+
 def failure_reason() -> Column:
     """The error text of a failed attempt's payload."""
     return F.from_json("payload", FAILURE_PAYLOAD)["error"]
@@ -85,23 +94,23 @@ def numbered_calls(messages: DataFrame) -> DataFrame:
     """Add ``call_no`` per run and agent: a new call starts at each attempt 1.
 
     A running count over time, taken in two steps so that one long run does not
-    end in one task: starts per hour are summed up first, then counted on within
-    the hour.
+    end in one task: starts per minute are summed up first, then counted on
+    within the minute.
     """
     agent = ["run_id", "agent_name"]
-    hourly = messages.withColumn("_hour", F.date_trunc("hour", "created_at"))
+    timed = messages.withColumn("_minute", F.date_trunc("minute", "created_at"))
     starts = (F.col("attempt") == 1).cast("long")
-    before = Window.partitionBy(*agent).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*agent).orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        hourly.groupBy(*agent, "_hour").agg(F.sum(starts).alias("_n"))
+        timed.groupBy(*agent, "_minute").agg(F.sum(starts).alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
-    within = Window.partitionBy(*agent, "_hour").orderBy("created_at", "attempt")
-    counted = hourly.withColumn("_within", F.sum(starts).over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    return counted.join(offsets, [*agent, "_hour"]).withColumn(
+    within = Window.partitionBy(*agent, "_minute").orderBy("created_at", "attempt")
+    counted = timed.withColumn("_within", F.sum(starts).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    return counted.join(offsets, [*agent, "_minute"]).withColumn(
         "call_no", F.col("_before") + F.col("_within")
-    ).drop("_hour", "_before", "_within")
+    ).drop("_minute", "_before", "_within")
 
 
 def final_attempts(messages: DataFrame) -> DataFrame:

@@ -348,6 +348,18 @@ debate AS (
   FROM argument)"""
 
 
+REPORTS = f"""
+report AS (
+  SELECT CAST(conv_id AS VARCHAR) AS run_id,
+    'Key Points: [' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: {QUOTED}), ', ') || ']' || chr(10)
+    || 'Prices: {{''last_close'': ' || CAST(length(text) / 4.0::DOUBLE AS VARCHAR)
+    || ', ''pct_change_1d'': ' || CAST(0.0 - conv_id / 8.0::DOUBLE AS VARCHAR) || '}}' || chr(10)
+    || 'Indicators: {{''rsi_14'': ' || CAST(conv_id + 0.25::DOUBLE AS VARCHAR) || '}}' || chr(10)
+    || 'News: [' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: {QUOTED}), ', ') || ']' || chr(10)
+    AS report_text
+  FROM conversations WHERE turn = 0)"""
+
+
 def _rule(table: str, rule: str, count: str) -> str:
     return f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(({count}) AS BIGINT) AS violations"
 
@@ -630,6 +642,19 @@ FROM sections""",
     "debate_transcripts": _with(ARGUMENTS) + """
 SELECT run_id, count(*) AS n_arguments, string_agg(line, chr(10) ORDER BY round, speaker, line) AS transcript
 FROM debate GROUP BY run_id""",
+    "debater_inputs": _with(ARGUMENTS, REPORTS) + """
+SELECT d.run_id, d.round, CASE d.speaker WHEN 1 THEN 'bull' ELSE 'bear' END AS stance,
+  '--- Analyst Report ---' || chr(10) || r.report_text || chr(10) || chr(10) || '--- Debate History ---' || chr(10)
+  || coalesce(string_agg(d.line, chr(10)) OVER (
+      PARTITION BY d.run_id ORDER BY d.round, d.speaker, d.line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'None')
+  || chr(10) || chr(10) || 'Generate your Round ' || d.round || ' argument.' AS prompt
+FROM debate d JOIN report r ON r.run_id = d.run_id""",
+    "judge_inputs": _with(ARGUMENTS, REPORTS) + """
+SELECT r.run_id, '--- Analyst Report ---' || chr(10) || r.report_text || chr(10) || chr(10)
+  || '--- Debate Transcript ---' || chr(10)
+  || coalesce((SELECT string_agg(line, chr(10) ORDER BY round, speaker, line) FROM debate d WHERE d.run_id = r.run_id), '')
+  || chr(10) || chr(10) || 'Deliver your final JudgeVerdict.' AS prompt
+FROM report r""",
     "parse_verdicts": """
 WITH made AS (
   SELECT conv_id || '-' || turn AS run_id, role, text, (conv_id + turn) % 6 AS kind FROM conversations)

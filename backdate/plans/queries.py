@@ -472,6 +472,30 @@ def debate_transcripts(spark: SparkSession, d: str) -> DataFrame:
     return panel.debate_transcripts(_arguments(spark, d))
 
 
+def _reports(spark: SparkSession, d: str) -> DataFrame:
+    """The opening turn of each conversation as an analyst report, written as JSON and read back."""
+    size, lines = F.length("text").cast("double"), F.split("text", "\n")
+    number = F.col("conv_id").cast("double")
+    written = derived.source(spark, d, "conversations").where("turn = 0").select(
+        F.col("conv_id").cast("string").alias("run_id"),
+        F.to_json(F.struct(
+            F.create_map(F.lit("last_close"), size / 4, F.lit("pct_change_1d"), -number / 8).alias("price_snapshot"),
+            F.create_map(F.lit("rsi_14"), number + 0.25).alias("indicators"),
+            F.transform(lines, lambda line: F.struct(line.alias("headline"))).alias("news"),
+            lines.alias("key_points"),
+        )).alias("payload"),
+    )
+    return responses.parse_reports(written).where("problem is null").drop("problem")
+
+
+def debater_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return panel.debater_inputs(_reports(spark, d), _arguments(spark, d))
+
+
+def judge_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return panel.judge_inputs(_reports(spark, d), _arguments(spark, d))
+
+
 def _verdict_payloads(spark: SparkSession, d: str) -> DataFrame:
     """Turns as verdict payloads; some break the schema, the enums or the JSON itself."""
     kind = (F.col("conv_id") + F.col("turn")) % 6
@@ -591,6 +615,8 @@ NAMED: dict[str, Query] = {
     "analyst_inputs": analyst_inputs,
     "debate_lines": debate_lines,
     "debate_transcripts": debate_transcripts,
+    "debater_inputs": debater_inputs,
+    "judge_inputs": judge_inputs,
     "parse_verdicts": parse_verdicts,
     "parse_arguments": parse_arguments,
     "final_attempts": final_attempts,

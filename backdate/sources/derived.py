@@ -66,16 +66,21 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str, keys: Sequence[str], where: str | None = None) -> DataFrame:
+def _lines(
+    spark: SparkSession, sf_dir: str, keys: Sequence[str], needed: Sequence[str], where: str | None = None
+) -> DataFrame:
     """Line items, the last one per key and observation day.
 
     Reduced on the raw columns: they are narrower than the figures made of them,
-    and those are then computed for the kept rows only.
+    and those are then computed for the kept rows only. The order is compared up
+    to the last column that is needed; what follows it could not change them.
     """
-    lines = source(spark, sf_dir, "lineitem").select(*keys, *[c for c in LINE_ORDER if c not in keys])
+    order = [c for c in LINE_ORDER if c not in keys]
+    compared = order[: 1 + max(order.index(c) for c in needed if c in order)]
+    lines = source(spark, sf_dir, "lineitem")
     if where is not None:
         lines = lines.where(where)
-    return last_per_key(lines, keys, [c for c in LINE_ORDER if c not in keys])
+    return last_per_key(lines.select(*keys, *compared), keys, compared)
 
 
 PRICE_MEASURES = ("open", "high", "low", "close", "volume")
@@ -94,16 +99,17 @@ def price_observations(
     cents = F.col("l_extendedprice").cast("decimal(14,2)")
     day = F.to_date("l_shipdate")
     made = {
-        "open": price,
-        "high": (cents * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(18,4)"),
-        "low": (cents * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)"),
-        "close": price,
-        "volume": F.col("l_quantity").cast("long"),
+        "open": ("l_extendedprice", price),
+        "high": ("l_tax", (cents * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(18,4)")),
+        "low": ("l_discount", (cents * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)")),
+        "close": ("l_extendedprice", price),
+        "volume": ("l_quantity", F.col("l_quantity").cast("long")),
     }
-    return _lines(spark, sf_dir, ["l_suppkey", "l_shipdate", "l_linenumber"], where).select(
+    needed = ["l_extendedprice", *[made[m][0] for m in measures], *carry]
+    return _lines(spark, sf_dir, ["l_suppkey", "l_shipdate", "l_linenumber"], needed, where).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         day.alias("trade_date"),
-        *[made[m].alias(m) for m in measures],
+        *[made[m][1].alias(m) for m in measures],
         price.alias("adj_close"),
         F.date_add(day, 30 * (F.col("l_linenumber") - 1)).alias("observed_on"),
         *carry,
@@ -130,7 +136,8 @@ def fact_observations(
     metric = F.when(F.col("l_returnflag") == "A", "revenue").when(
         F.col("l_returnflag") == "N", "net_income"
     ).otherwise("eps")
-    return _lines(spark, sf_dir, ["l_suppkey", "l_returnflag", "l_shipdate"], where).select(
+    needed = ["l_orderkey", "l_extendedprice", *carry]
+    return _lines(spark, sf_dir, ["l_suppkey", "l_returnflag", "l_shipdate"], needed, where).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         metric.alias("metric"),
         end.alias("period_end"),

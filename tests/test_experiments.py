@@ -137,6 +137,32 @@ def test_transcript_order(spark):
     ]
 
 
+def test_debate_prompts(spark):
+    arguments = spark.createDataFrame(
+        [("r", 1, "bear", ["b"], ["a"]), ("r", 1, "bull", ["a"], [])],
+        "run_id string, round int, stance string, claims array<string>, rebuttal_to array<string>",
+    )
+    payload = {
+        "price_snapshot": {"last_close": 180.75, "pct_change_21d": None}, "indicators": {"rsi_14": 39.7},
+        "news": [{"headline": "It's up", "source": "s", "published": "2024-02-01", "summary": ""}], "key_points": ["k"],
+    }
+    messages = spark.createDataFrame([("r", json.dumps(payload)), ("quiet", json.dumps(payload))], "run_id string, payload string")
+    reports = responses.parse_reports(messages)
+    report = (
+        f"Key Points: {payload['key_points']}\nPrices: {payload['price_snapshot']}\n"
+        f"Indicators: {payload['indicators']}\nNews: {[n['headline'] for n in payload['news']]}\n"
+    )
+    first = "Round 1 BULL: Claims: ['a']. Rebuttals: []"
+    second = "Round 1 BEAR: Claims: ['b']. Rebuttals: ['a']"
+    asked = {r.stance: r.prompt for r in panel.debater_inputs(reports, arguments).collect()}
+    head = f"--- Analyst Report ---\n{report}\n\n"
+    assert asked["bull"] == head + "--- Debate History ---\nNone\n\nGenerate your Round 1 argument."
+    assert asked["bear"] == head + f"--- Debate History ---\n{first}\n\nGenerate your Round 1 argument."
+    judged = {r.run_id: r.prompt for r in panel.judge_inputs(reports, arguments).collect()}
+    assert judged["r"] == head + f"--- Debate Transcript ---\n{first}\n{second}\n\nDeliver your final JudgeVerdict."
+    assert judged["quiet"] == head + "--- Debate Transcript ---\n\n\nDeliver your final JudgeVerdict."
+
+
 def test_payloads_are_validated(spark):
     good = {"recommendation": "buy", "reasoning": "r", "strongest_counterpoint": "s", "confidence": "low"}
     cases = {
@@ -159,11 +185,11 @@ def test_payloads_are_validated(spark):
     assert parsed["a"].rebuttal_to == [] and parsed["a"].claims == ["c"] and parsed["b"].problem == "stance not allowed"
 
 
-def test_calls_are_numbered_across_hours(spark):
+def test_calls_are_numbered_across_and_within_minutes(spark):
     t0 = dt.datetime(2024, 3, 15, 9, 50)
     attempts = [1, 2, 1, 1, 2, 3, 1]
     success = [False, True, True, False, False, False, True]
-    rows = [("r", "bull", a, ok, f"p{i}", "m", t0 + dt.timedelta(minutes=17 * i)) for i, (a, ok) in enumerate(zip(attempts, success))]
+    rows = [("r", "bull", a, ok, f"p{i}", "m", t0 + dt.timedelta(seconds=40 * i)) for i, (a, ok) in enumerate(zip(attempts, success))]
     df = spark.createDataFrame(rows, "run_id string, agent_name string, attempt int, success boolean, payload string, model string, created_at timestamp")
     got = [tuple(r) for r in responses.final_attempts(df).orderBy("call_no").select(
         "call_no", "n_attempts", "n_failed", "final_attempt", "payload", "succeeded").collect()]
