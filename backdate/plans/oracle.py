@@ -409,7 +409,7 @@ _FEED_FACTS = QUARTERLY + """,
 feed_facts AS (
   SELECT ticker, metric, period_end - 90 AS period_start, period_end, CAST(value AS DECIMAL(28,4)) AS value,
     'USD' AS currency, 'yfinance' AS source
-  FROM figures WHERE year(period_end) = 1998)"""
+  FROM figures)"""
 
 _FIRST_SEED = _bars(365) + """,
 walk AS (

@@ -34,10 +34,12 @@ INGESTED_ON = "2002-06-30"
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Types every engine and client agrees on."""
+    """Types every engine and client agrees on; timestamps read in UTC."""
 
     def flat(field: T.StructField) -> Column:
         c = F.col(field.name)
+        if isinstance(field.dataType, T.TimestampType):
+            c = F.to_utc_timestamp(c, F.current_timezone())
         if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             c = c.cast("string")
         elif isinstance(field.dataType, T.DecimalType):
@@ -179,9 +181,9 @@ def ingest_facts_unpivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quarterly_feed(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as rows, the quarter ends of 1998 as columns, as a feed delivers them."""
+    """Line items as rows and all quarter ends as columns, as a feed delivers them."""
     by_metric = _quarterly_by_metric(spark, d)
-    quarters = ["1998-03-31", "1998-06-30", "1998-09-30", "1998-12-31"]
+    quarters = [f"{year}-{end}" for year in range(1995, 2002) for end in ("03-31", "06-30", "09-30", "12-31")]
     items = F.array(
         F.struct(F.lit("Total Revenue").alias("line_item"), F.col("revenue").alias("figure")),
         F.struct(F.lit("Net Income").alias("line_item"), F.col("net_income").alias("figure")),

@@ -95,21 +95,24 @@ def price_observations(
     It is observed 30 days later per line number. Only the ``measures`` a query
     needs go along with the compared ``adj_close``, and the raw columns to ``carry``.
     """
-    price = F.col("l_extendedprice").cast("decimal(18,4)")
-    cents = F.col("l_extendedprice").cast("decimal(14,2)")
-    day = F.to_date("l_shipdate")
+    raw, price, day = F.col, F.col("l_extendedprice").cast("decimal(18,4)"), F.to_date("l_shipdate")
+
+    def share(rate: Column) -> Column:
+        """The price in cents times an exact rate."""
+        return (raw("l_extendedprice").cast("decimal(14,2)") * rate).cast("decimal(18,4)")
+
     made = {
-        "open": ("l_extendedprice", price),
-        "high": ("l_tax", (cents * (1 + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(18,4)")),
-        "low": ("l_discount", (cents * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(18,4)")),
-        "close": ("l_extendedprice", price),
-        "volume": ("l_quantity", F.col("l_quantity").cast("long")),
+        "open": ("l_extendedprice", lambda: price),
+        "high": ("l_tax", lambda: share(1 + raw("l_tax").cast("decimal(4,2)"))),
+        "low": ("l_discount", lambda: share(1 - raw("l_discount").cast("decimal(4,2)"))),
+        "close": ("l_extendedprice", lambda: price),
+        "volume": ("l_quantity", lambda: raw("l_quantity").cast("long")),
     }
     needed = ["l_extendedprice", *[made[m][0] for m in measures], *carry]
     return _lines(spark, sf_dir, ["l_suppkey", "l_shipdate", "l_linenumber"], needed, where).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         day.alias("trade_date"),
-        *[made[m][1].alias(m) for m in measures],
+        *[made[m][1]().alias(m) for m in measures],
         price.alias("adj_close"),
         F.date_add(day, 30 * (F.col("l_linenumber") - 1)).alias("observed_on"),
         *carry,
