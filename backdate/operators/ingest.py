@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from backdate.functions.dates import as_date
 from backdate.functions.text import first_filled
 from backdate.operators.news import ingest_news
-from backdate.operators.versions import apply_batch, upsert
+from backdate.operators.versions import apply_batch, next_state, upsert
 from backdate.schemas import (
     FACT_CURRENCY,
     FACT_KEYS,
@@ -25,6 +25,7 @@ from backdate.schemas import (
     PRICE,
     PRICE_KEYS,
 )
+from backdate.session import cut_lineage
 from backdate.sources.landing import in_ingest_window
 
 
@@ -97,6 +98,26 @@ def apply_facts(
     )
 
 
+def replay_batches(
+    current: DataFrame,
+    batches: Sequence[tuple[dt.date | str, DataFrame]],
+    apply: Callable[[DataFrame, DataFrame, dt.date | str], DataFrame],
+    cut_every: int = 8,
+) -> DataFrame:
+    """The state after several batches in ingestion order, e.g. a backfill of daily files.
+
+    ``apply`` is :func:`apply_prices` or :func:`apply_facts`. Each batch builds
+    on the state before it, so the lineage is cut to the shared checkpoint
+    folder every few batches.
+    """
+    state = current
+    for done, (day, batch) in enumerate(sorted(batches, key=lambda b: str(b[0])), start=1):
+        state = next_state(apply(state, batch, day))
+        if done % cut_every == 0:
+            state = cut_lineage(state)
+    return state
+
+
 def ingest_batch(
     landing: Mapping[str, DataFrame],
     state: Mapping[str, DataFrame],

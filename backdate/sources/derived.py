@@ -109,7 +109,7 @@ def price_observations(
         "volume": ("l_quantity", lambda: raw("l_quantity").cast("long")),
     }
     needed = ["l_extendedprice", *[made[m][0] for m in measures], *carry]
-    return _lines(spark, sf_dir, ["l_suppkey", "l_shipdate", "l_linenumber"], needed, where).select(
+    return _lines(spark, sf_dir, ["l_shipdate", "l_suppkey", "l_linenumber"], needed, where).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         day.alias("trade_date"),
         *[made[m][1]().alias(m) for m in measures],
@@ -140,7 +140,7 @@ def fact_observations(
         F.col("l_returnflag") == "N", "net_income"
     ).otherwise("eps")
     needed = ["l_orderkey", "l_extendedprice", *carry]
-    return _lines(spark, sf_dir, ["l_suppkey", "l_returnflag", "l_shipdate"], needed, where).select(
+    return _lines(spark, sf_dir, ["l_shipdate", "l_suppkey", "l_returnflag"], needed, where).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         metric.alias("metric"),
         end.alias("period_end"),

@@ -161,6 +161,25 @@ def test_log_batches_and_replay_agree(spark):
     assert {r.violations for r in versions.version_invariants(built, ["k", "d"]).collect()} == {0}
 
 
+def test_backfill_of_many_days_equals_the_log(spark):
+    rng = random.Random(21)
+    rows = [
+        (f"S{k}", "eps", "2023-10-02", "2023-12-31", rng.choice([1.0, 2.0, 3.0]), str(dt.date(2024, 2, 20) + dt.timedelta(day)))
+        for k in range(12) for day in range(6) if rng.random() < 0.6
+    ]
+    flat = spark.createDataFrame(
+        [(t, m, seed.day(a), seed.day(b), Decimal(str(v)), "USD", "s", seed.day(o)) for t, m, a, b, v, o in rows],
+        "ticker string, metric string, period_start date, period_end date, value decimal(28,4), currency string, "
+        "source string, observed_on date",
+    )
+    days = sorted({r[5] for r in rows})
+    batches = [(d, flat.where(F.col("observed_on") == d).drop("observed_on")) for d in reversed(days)]
+    state = ingest.replay_batches(seed.facts(spark, []), batches, ingest.apply_facts, cut_every=2)
+    built = versions.build_versions(flat, FACT_KEYS, ["value"], default_known_from=F.date_add("period_end", 45))
+    pick = lambda df: {(r.ticker, str(r.known_from), str(r.known_until), float(r.value)) for r in df.collect()}
+    assert pick(state) == pick(built)
+
+
 def test_later_observations_never_change_an_earlier_answer(spark):
     rows = random_log(random.Random(11))
     for cut in ("2024-01-15", "2024-01-22", "2024-01-30"):
