@@ -97,14 +97,15 @@ def new_items(
     """Cleaned entries to insert: published by ``as_of``, unseen, capped per ticker.
 
     The cap counts new items only, in feed order. Duplicates inside the feed
-    are reduced to their first entry before the shuffle's reduce side.
+    are reduced to their first entry, with a map-side combine. The stored table
+    is only probed with the feed's keys, so a feed that can be broadcast leaves
+    it unshuffled.
     """
     dated = cleaned.where(F.col("published_at").isNotNull() & (F.col("published_at") <= as_date(as_of)))
     values = [c for c in cleaned.columns if c not in NEWS_KEYS and c != "feed_pos"]
     first_seen = dated.groupBy(*NEWS_KEYS).agg(F.min(F.struct("feed_pos", *values)).alias("_first"))
-    unseen = first_seen.select(*NEWS_KEYS, "_first.*").join(
-        existing.select(*NEWS_KEYS), NEWS_KEYS, "left_anti"
-    )
+    known = existing.select(*NEWS_KEYS).join(dated.select(*NEWS_KEYS).distinct(), NEWS_KEYS, "left_semi")
+    unseen = first_seen.select(*NEWS_KEYS, "_first.*").join(known, NEWS_KEYS, "left_anti")
     feed_order = Window.partitionBy("ticker").orderBy("feed_pos", "headline", "published_at")
     capped = unseen.withColumn("_rn", F.row_number().over(feed_order)).where(F.col("_rn") <= max_items)
     return capped.select("ticker", "headline", "source", "published_at", "url", "summary", "feed_pos")

@@ -40,14 +40,6 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str])
     return picked.select(*keys, F.col("_last.*")).select(*df.columns)
 
 
-def differs(columns: Sequence[str], left: str, right: str) -> Column:
-    """NULL-safe: true when any column has another value on the two sides."""
-    same = reduce(
-        lambda a, b: a & b, (F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in columns)
-    )
-    return ~same
-
-
 def build_versions(
     observations: DataFrame,
     keys: Sequence[str],
@@ -116,50 +108,51 @@ def apply_batch(
     or a first version when only ``opened``.
 
     ``batch`` has the table's columns without the window; of several rows for a
-    key the last by ``order_cols`` counts. Closed versions are passed on without
-    a shuffle; open rows (one per key) meet the batch (one per key) in one join.
-    Every key with a history must have an open row, which this operator and
-    :func:`build_versions` both guarantee.
+    key the last by ``order_cols`` counts. Every key with a history must have an
+    open row, which this operator and :func:`build_versions` both guarantee.
+
+    The table is only ever the probed side: while the batch is small enough to
+    be broadcast, nothing of the table is shuffled, and closed versions never
+    are. Which keys are new is found from the key columns alone.
     """
     day = as_date(ingestion_date)
-    columns = current.columns
+    columns, types = current.columns, {f.name: f.dataType for f in current.schema}
     values = _others(current, [*keys, *WINDOW_COLUMNS])
     ordering = [c for c in order_cols if c not in values]
     incoming = last_per_key(batch.select(*keys, *values, *ordering), keys, order_cols)
     # Compare what would be stored, not what arrived.
-    incoming = incoming.select(
-        *[F.col(c).cast(current.schema[c].dataType).alias(c) for c in [*keys, *values]]
-    )
-
-    old = open_versions(current).select(*keys, F.struct(*values, *WINDOW_COLUMNS).alias("old"))
-    new = incoming.select(*keys, F.struct(*values).alias("new"))
-    both = old.join(new, list(keys), "full_outer")
+    incoming = incoming.select(*[F.col(c).cast(types[c]).alias(c) for c in [*keys, *values]])
 
-    first_day = day if default_known_from is None else default_known_from
-    changed = F.col("old").isNotNull() & F.col("new").isNotNull() & differs(compare_cols, "old", "new")
-
-    def row(source: str, known_from: Column, known_until: Column, action: str) -> Column:
+    def version(source: str, known_from: Column, known_until: Column, action: str) -> Column:
         return F.struct(
-            *[F.col(f"{source}.{v}").alias(v) for v in values],
+            *[F.col(f"{source}{v}").alias(v) for v in values],
             known_from.alias("known_from"),
             known_until.alias("known_until"),
             F.lit(action).alias("action"),
         )
 
-    was_from, was_until = F.col("old.known_from"), F.col("old.known_until")
+    was_from, was_until = F.col("known_from"), F.col("known_until")
     restart = F.greatest(day, was_from)
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_new.{c}")) for c in compare_cols))
     rows = (
-        F.when(F.col("new").isNull(), F.array(row("old", was_from, was_until, "untouched")))
-        .when(F.col("old").isNull(), F.array(row("new", first_day, open_end(), "opened")))
-        .when(
-            changed,
-            F.array(row("old", was_from, restart, "closed"), row("new", restart, open_end(), "opened")),
-        )
-        .otherwise(F.array(row("old", was_from, was_until, "unchanged")))
+        F.when(F.col("_new").isNull(), F.array(version("", was_from, was_until, "untouched")))
+        .when(same, F.array(version("", was_from, was_until, "unchanged")))
+        .otherwise(F.array(
+            version("", was_from, restart, "closed"), version("_new.", restart, open_end(), "opened"),
+        ))
+    )
+    arrived = incoming.select(*keys, F.struct(*values).alias("_new"))
+    met = open_versions(current).join(arrived, list(keys), "left_outer")
+    followed = met.select(*keys, F.inline(rows))
+
+    known = open_versions(current).select(*keys).join(incoming.select(*keys), list(keys), "left_semi")
+    first_day = day if default_known_from is None else default_known_from
+    begun = incoming.join(known, list(keys), "left_anti").select(
+        *keys, *values, first_day.alias("known_from"), open_end().alias("known_until"),
+        F.lit("opened").alias("action"),
     )
-    merged = both.select(*keys, F.inline(rows)).select(*columns, "action")
     history = current.where(F.col("known_until") != open_end()).withColumn("action", F.lit("untouched"))
-    return history.unionByName(merged)
+    return history.unionByName(followed.select(*columns, "action")).unionByName(begun)
 
 
 def action_counts(applied: DataFrame) -> DataFrame:

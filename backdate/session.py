@@ -9,8 +9,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Bar arrays are collected for many more than 128 requests per task.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # Bar arrays (one per request, a few hundred bars) fit in memory for more than
+    # the default 128 requests per task.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Plans here are made of many small columns; recording a call site for each is slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

@@ -47,6 +47,20 @@ def write_versions(df: DataFrame, path: str, key_date: str, files_per_year: int
     )
 
 
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
+    """Save as a catalog table bucketed and sorted by its whole key.
+
+    Per-key windows and joins on that key then read it without a shuffle. The
+    whole key spreads evenly; the ticker alone would put a hot one in one bucket.
+    """
+    (
+        df.repartition(buckets, *keys)
+        .write.mode("overwrite").format("parquet")
+        .bucketBy(buckets, *keys).sortBy(*keys)
+        .saveAsTable(name)
+    )
+
+
 def dump(df: DataFrame, path: str, order_by: Sequence[str], fmt: str = "json") -> None:
     """A full, globally ordered copy of a table for inspection (range-partitioned sort)."""
     df.orderBy(*order_by).write.mode("overwrite").format(fmt).save(path)

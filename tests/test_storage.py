@@ -38,6 +38,38 @@ def test_versions_are_replaced_by_year(spark, tmp_path):
     assert stored.where("valid_year = 2023").count() == 43 and stored.where("valid_year = 2024").count() == 21
 
 
+def shuffles(df):
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return [line for line in final.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_small_batch_does_not_shuffle_the_table(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    seed.bars(spark).write.parquet(path)
+    current = spark.read.parquet(path)
+    seed.bars(spark, seed.BARS[-2:]).drop("known_from", "known_until").write.parquet(str(tmp_path / "batch"))
+    batch = spark.read.parquet(str(tmp_path / "batch")).withColumn("adj_close", F.col("adj_close") + 1)
+    applied = ingest.apply_prices(current, batch, "2024-06-01")
+    applied.collect()
+    final = applied._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    # Below a shuffle there is only the batch, grouped by key.
+    for above, below in zip(final, final[1:]):
+        assert not ("Exchange hashpartitioning" in above and "Aggregate" not in below)
+    assert {r.action: r.n_rows for r in versions.action_counts(applied).collect()} == {"untouched": 41, "closed": 2, "opened": 2}
+
+
+def test_bucketed_table_is_read_without_a_shuffle(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path / 'db'}'")
+    try:
+        tables.save_bucketed(seed.bars(spark), "bucketed.bars", PRICE_KEYS, 4)
+        stored = spark.table("bucketed.bars")
+        assert shuffles(versions.latest_version(stored, PRICE_KEYS)) == []
+        assert versions.latest_version(stored, PRICE_KEYS).count() == 41
+    finally:
+        spark.sql("DROP DATABASE bucketed CASCADE")
+
+
 def test_publish_is_all_or_nothing_and_repeatable(spark, tmp_path):
     root = str(tmp_path / "pub")
     assert tables.published_version(spark, root) is None
