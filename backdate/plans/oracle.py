@@ -676,7 +676,7 @@ numbered AS (
   FROM agent_message)
 SELECT run_id, agent_name, CAST(call_no AS BIGINT) AS call_no, count(*) AS n_attempts,
   count(*) FILTER (NOT success) AS n_failed, CAST(max(attempt) FILTER (success) AS BIGINT) AS final_attempt,
-  arg_max(payload, attempt) FILTER (success) AS payload, bool_or(success) AS succeeded
+  arg_max(payload, (attempt, created_at)) FILTER (success) AS payload, bool_or(success) AS succeeded
 FROM numbered GROUP BY run_id, agent_name, call_no""",
     "normalise_messages": """
 SELECT CAST(conv_id AS VARCHAR) AS run_id, role AS agent_name, 'derived' AS model, CAST(1 AS BIGINT) AS attempt,
