@@ -80,21 +80,23 @@ def clean_facts(wide: DataFrame) -> DataFrame:
 
 
 def apply_prices(
-    current: DataFrame, batch: DataFrame, ingestion_date: dt.date | str | Column, order_cols: Sequence[str] = ()
+    current: DataFrame, batch: DataFrame, ingestion_date: dt.date | str | Column,
+    order_cols: Sequence[str] = (), small_batch: bool = True,
 ) -> DataFrame:
     """Only a changed adjusted close makes a version; a first bar is known on its own day."""
     return apply_batch(
-        current, batch, PRICE_KEYS, ["adj_close"], ingestion_date, F.col("trade_date"), order_cols
+        current, batch, PRICE_KEYS, ["adj_close"], ingestion_date, F.col("trade_date"), order_cols, small_batch
     )
 
 
 def apply_facts(
-    current: DataFrame, batch: DataFrame, ingestion_date: dt.date | str | Column, order_cols: Sequence[str] = ()
+    current: DataFrame, batch: DataFrame, ingestion_date: dt.date | str | Column,
+    order_cols: Sequence[str] = (), small_batch: bool = True,
 ) -> DataFrame:
     """A changed value is a restatement; a first figure is known 45 days after its period."""
     return apply_batch(
         current, batch, FACT_KEYS, ["value"], ingestion_date,
-        F.date_add("period_end", FACT_LAG_DAYS), order_cols,
+        F.date_add("period_end", FACT_LAG_DAYS), order_cols, small_batch,
     )
 
 

@@ -100,6 +100,7 @@ def apply_batch(
     ingestion_date: dt.date | str | Column,
     default_known_from: Column | None = None,
     order_cols: Sequence[str] = (),
+    small_batch: bool = True,
 ) -> DataFrame:
     """The next state of a versioned table after one batch, with an ``action`` per row.
 
@@ -111,9 +112,11 @@ def apply_batch(
     key the last by ``order_cols`` counts. Every key with a history must have an
     open row, which this operator and :func:`build_versions` both guarantee.
 
-    The table is only ever the probed side: while the batch is small enough to
-    be broadcast, nothing of the table is shuffled, and closed versions never
-    are. Which keys are new is found from the key columns alone.
+    Closed versions take no part in the join. With ``small_batch`` the table is
+    only ever the probed side: while Spark can broadcast the batch, nothing of
+    the table is shuffled, and which keys are new is found from the key columns
+    alone. Without it (a batch as large as the table, say a backfill) one full
+    outer join reads table and batch once each. The result is the same.
     """
     day = as_date(ingestion_date)
     columns, types = current.columns, {f.name: f.dataType for f in current.schema}
@@ -134,25 +137,30 @@ def apply_batch(
     was_from, was_until = F.col("known_from"), F.col("known_until")
     restart = F.greatest(day, was_from)
     same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_new.{c}")) for c in compare_cols))
+    first_day = day if default_known_from is None else default_known_from
     rows = (
-        F.when(F.col("_new").isNull(), F.array(version("", was_from, was_until, "untouched")))
+        F.when(F.col("_stored").isNull(), F.array(version("_new.", first_day, open_end(), "opened")))
+        .when(F.col("_new").isNull(), F.array(version("", was_from, was_until, "untouched")))
         .when(same, F.array(version("", was_from, was_until, "unchanged")))
         .otherwise(F.array(
             version("", was_from, restart, "closed"), version("_new.", restart, open_end(), "opened"),
         ))
     )
     arrived = incoming.select(*keys, F.struct(*values).alias("_new"))
-    met = open_versions(current).join(arrived, list(keys), "left_outer")
-    followed = met.select(*keys, F.inline(rows))
+    stored = open_versions(current).withColumn("_stored", F.lit(True))
+    met = stored.join(arrived, list(keys), "left_outer" if small_batch else "full_outer")
+    followed = met.select(*keys, F.inline(rows)).select(*columns, "action")
 
+    history = current.where(F.col("known_until") != open_end()).withColumn("action", F.lit("untouched"))
+    result = history.unionByName(followed)
+    if not small_batch:
+        return result
     known = open_versions(current).select(*keys).join(incoming.select(*keys), list(keys), "left_semi")
-    first_day = day if default_known_from is None else default_known_from
     begun = incoming.join(known, list(keys), "left_anti").select(
         *keys, *values, first_day.alias("known_from"), open_end().alias("known_until"),
         F.lit("opened").alias("action"),
     )
-    history = current.where(F.col("known_until") != open_end()).withColumn("action", F.lit("untouched"))
-    return history.unionByName(followed.select(*columns, "action")).unionByName(begun)
+    return result.unionByName(begun)
 
 
 def action_counts(applied: DataFrame) -> DataFrame:

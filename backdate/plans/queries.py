@@ -113,18 +113,19 @@ def open_versions(spark: SparkSession, d: str) -> DataFrame:
     return versions.open_versions(derived.price_bar(spark, d))
 
 
-# Every line is either in the stored state or in the batch that follows it.
+# Every line is either in the stored state or in the batch that follows it. The
+# batch is nearly as large as the state, hence small_batch=False below.
 STORED, ARRIVING = "l_linenumber <= 4", "l_linenumber > 4"
 
 
 def apply_batch_prices(spark: SparkSession, d: str) -> DataFrame:
     batch = derived.price_observations(spark, d, where=ARRIVING, carry=derived.LINE_ORDER)
-    return ingest.apply_prices(derived.price_bar(spark, d, where=STORED), batch, INGESTED_ON, derived.LINE_ORDER)
+    return ingest.apply_prices(derived.price_bar(spark, d, where=STORED), batch, INGESTED_ON, derived.LINE_ORDER, small_batch=False)
 
 
 def apply_batch_facts(spark: SparkSession, d: str) -> DataFrame:
     batch = derived.fact_observations(spark, d, where=ARRIVING, carry=derived.LINE_ORDER)
-    return ingest.apply_facts(derived.fundamental_fact(spark, d, where=STORED), batch, INGESTED_ON, derived.LINE_ORDER)
+    return ingest.apply_facts(derived.fundamental_fact(spark, d, where=STORED), batch, INGESTED_ON, derived.LINE_ORDER, small_batch=False)
 
 
 def batch_action_counts(spark: SparkSession, d: str) -> DataFrame:

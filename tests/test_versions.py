@@ -98,6 +98,20 @@ def test_batch_opens_then_repeats_then_corrects(spark):
     ]
 
 
+def test_large_and_small_batches_give_the_same_state(spark):
+    rng = random.Random(2)
+    draw = lambda: [(k, "2024-01-01", rng.choice([None, 1.0, 2.0]), 1) for k in range(60) if rng.random() < 0.6]
+    state = versions.next_state(apply(spark, empty_state(spark), draw(), "2024-01-02"))
+    state = versions.next_state(apply(spark, state, draw(), "2024-01-03"))
+    batch = spark.createDataFrame([(k, seed.day(d), v, s) for k, d, v, s in draw()], "k int, d date, v double, seq int")
+    both = [
+        sorted(tuple(map(str, r)) for r in versions.apply_batch(
+            state, batch, ["k", "d"], ["v"], "2024-01-04", F.col("d"), ["seq"], small_batch=small).collect())
+        for small in (True, False)
+    ]
+    assert both[0] == both[1] and {r[-1] for r in both[0]} == {"untouched", "unchanged", "closed", "opened"}
+
+
 def test_null_then_value_is_a_correction(spark):
     state = versions.next_state(apply(spark, empty_state(spark), [(1, "2024-01-01", None, 1)], "2024-01-01"))
     fixed = apply(spark, state, [(1, "2024-01-01", 3, 1)], "2024-01-05")
