@@ -102,12 +102,10 @@ def _bucket_stats(labelled: DataFrame, bucket: str) -> DataFrame:
     )
 
 
-def _with_rates(rows: DataFrame, own: bool) -> DataFrame:
-    """Smoothed block rates; a labelled url doesn't count itself."""
+def _with_rates(rows: DataFrame) -> DataFrame:
+    """Block rates of the buckets, drawn towards one half where they hold few labelled urls."""
     for bucket in ("suffix", "section"):
         n, blocked = F.coalesce(f"{bucket}_n", F.lit(0)), F.coalesce(f"{bucket}_blocked", F.lit(0.0))
-        if own:
-            n, blocked = n - 1, blocked - F.col("label")
         rows = rows.withColumn(f"{bucket}_rate", (blocked + PRIOR_WEIGHT / 2) / (n + PRIOR_WEIGHT))
     return rows
 
@@ -137,9 +135,9 @@ def filter_urls(
     # Half as many again as are needed meet in the last step of the limit, whatever the size of the table.
     near = labelled.where(F.pmod(order, F.lit(1 << 20)) < min(1 << 20, (train_rows * 3 << 19) // max(1, n_labelled) + 1))
     picked = near.orderBy(F.pmod(order, F.lit(1 << 20)), order, "url", "page_id").limit(train_rows)
-    train = stored(_with_rates(joined(picked), own=True).select(*FEATURES, "label").coalesce(1))
+    train = stored(_with_rates(joined(picked)).select(*FEATURES, "label").coalesce(1))
     n, blocked = train.agg(F.count(F.lit(1)), F.sum("label")).first()
-    scored = _with_rates(joined(rows), own=False)
+    scored = _with_rates(joined(rows))
     if not n or blocked in (0.0, float(n)):
         score = F.lit(1.0 if n and blocked else 0.0)
     else:
