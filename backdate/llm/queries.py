@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from backdate.llm.common import table
 from backdate.llm.host_rules import judge
+from backdate.llm.jaccard import jaccard_classes
 from backdate.llm.mixing import mix_sources
 from backdate.llm.url_filter import filter_urls
 
@@ -34,3 +35,10 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links", "n_linked_texts", "n_shingles"
+    )
