@@ -243,8 +243,8 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     least = classes.where("n_shingles > 0").groupBy("class_id").agg(F.min("row_key").alias("k_key"))
     empty = classes.where("n_shingles = 0").select(F.col("row_key").alias("k_key"))
     kept = stored(least.select("k_key").unionByName(empty).distinct())
-    rows = docs.select(*[F.col(c).alias(c) for c in docs.columns], row_key().alias("k_key"))
     words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("k_key"), words.alias("words"))
     found = rows.join(kept, "k_key")
-    once = found.where(words).dropDuplicates(["k_key"])
-    return once.unionByName(found.where(~words)).select(*docs.columns)
+    once = found.where("words").dropDuplicates(["k_key"])
+    return once.unionByName(found.where("not words")).select("row.*")

@@ -10,6 +10,7 @@ from backdate.llm.common import table
 from backdate.llm.host_rules import judge
 from backdate.llm.jaccard import jaccard_classes
 from backdate.llm.mixing import mix_sources
+from backdate.llm.substring import repeated_passages
 from backdate.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).select(
         "doc_id", "class_id", "n_links", "n_linked_texts", "n_shingles"
     )
+
+
+@query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
