@@ -47,3 +47,10 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/backdate-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a file of the installed public tokenizers lies, the same on all machines."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

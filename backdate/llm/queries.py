@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backdate.llm.common import table
+from backdate.llm.common import table, tokenizer_path
 from backdate.llm.host_rules import judge
 from backdate.llm.jaccard import jaccard_classes
 from backdate.llm.mixing import mix_sources
+from backdate.llm.packing import TOKENIZER as PACK_TOKENIZER
+from backdate.llm.packing import pack
 from backdate.llm.substring import repeated_passages
 from backdate.llm.url_filter import filter_urls
 
@@ -48,3 +50,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(PACK_TOKENIZER))
