@@ -134,12 +134,11 @@ def mix_sources(
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns.
 
-    Rows are matched to their decision by id and key, so equal rows share one.
+    Rows are matched to their decision by key, so equal rows share one.
     """
-    decided = mix_sources(docs).where("copies > 0").select(
-        F.col("doc_id").alias("m_id"), F.col("key").alias("m_key"), "copies"
-    ).distinct()
-    key = _key(docs["doc_id"], docs["source"], docs["text"])
-    joined = docs.join(decided, docs["doc_id"].eqNullSafe(decided["m_id"]) & (key == decided["m_key"]))
-    kept = [docs[c] for c in docs.columns]
-    return joined.select(*kept, F.explode(F.sequence(F.lit(1), "copies")).alias("m_copy")).drop("m_copy")
+    decided = stored(mix_sources(docs).where("copies > 0").select("key", "copies").distinct())
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), _key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key")
+    )
+    taken = rows.join(decided, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    return taken.select("row.*")

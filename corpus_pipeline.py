@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, in stages that are each stored."""
+"""From raw documents to packed training sequences, in stages that are each stored.
+
+Each stage takes the documents that the one before has kept, with the columns of
+``documents``; the last returns the packed pieces. A document that the mix takes
+twice is two rows, and packed twice.
+"""
 
 from __future__ import annotations
 
@@ -6,24 +11,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from backdate.llm.common import stored, table
+from backdate.llm.common import stored, table, tokenizer_path
 from backdate.llm.host_rules import kept_documents
+from backdate.llm.jaccard import one_per_class
 from backdate.llm.mixing import mixed_documents
+from backdate.llm.packing import TOKENIZER, pack
+from backdate.llm.substring import without_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the host-level quality rules keep."""
     return kept_documents(docs)
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts alike in their word 5-grams."""
+    return one_per_class(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one holds."""
+    return without_repeats(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the source weights take them."""
     return mixed_documents(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality rules", quality), ("mixing", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their place in a sequence."""
+    return pack(docs, tokenizer_path(TOKENIZER))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", substring_dedup),
+    ("source mix", source_mix),
+    ("best-fit packing", packing),
+]
 
 # Shingles, chains and packing go beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
