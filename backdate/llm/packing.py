@@ -114,17 +114,17 @@ def _pieces(path: str, length: int, end_id: int):
                     crc.append(zlib.crc32(part))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()),
-                 *[pa.array(c, pa.int64()) for c in (start, size, crc)]],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
+                 *[pa.array(c, pa.int64()) for c in (start, size, crc, row)]],
+                ["doc_id", "piece", "start", "length", "ids_crc32", "row_no"],
             )
 
     return cut
 
 
 def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32`` of the pieces of every document's ids."""
+    """``doc_id, piece, start, length, ids_crc32`` of the pieces of every document's ids, and the row's number in its batch."""
     return docs.select("doc_id", "text").mapInArrow(
-        _pieces(path, length, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"
+        _pieces(path, length, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, row_no long"
     )
 
 
@@ -194,7 +194,8 @@ def ranked(pieces: DataFrame) -> DataFrame:
     """``rank`` of each piece among those of its length, from 0, by ranges of bounded size and their offsets."""
     n = pieces.agg(F.count(F.lit(1))).first()[0]
     salts = max(1, -(-n // RANK_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # The row number parts repeated rows, which may be many.
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "row_no"), F.lit(salts)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = stored(counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before")))
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
