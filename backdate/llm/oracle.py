@@ -76,4 +76,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m {" ".join(f"JOIN v_{name} ON v_{name}.host IS NOT DISTINCT FROM m.host" for name in _RULES)}
 """
 
-ORACLE_SQL = {"op1_mix_sources": MIX, "op7_host_rules": HOST_RULES}
+TOP_INNER = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER best::INTEGER AS rank, vec_id, score FROM s
+WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 5
+"""
+
+ORACLE_SQL = {"op1_mix_sources": MIX, "op7_host_rules": HOST_RULES, "op8_top_inner": TOP_INNER}

@@ -13,6 +13,7 @@ from backdate.llm.mixing import mix_sources
 from backdate.llm.packing import TOKENIZER as PACK_TOKENIZER
 from backdate.llm.packing import pack
 from backdate.llm.substring import repeated_passages
+from backdate.llm.top_inner import top_inner
 from backdate.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +56,8 @@ def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path(PACK_TOKENIZER))
+
+
+@query
+def op8_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
