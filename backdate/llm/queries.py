@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from backdate.llm.common import table, tokenizer_path
 from backdate.llm.host_rules import judge
 from backdate.llm.jaccard import jaccard_classes
+from backdate.llm.main_text import extract_main_text
 from backdate.llm.mixing import mix_sources
 from backdate.llm.packing import TOKENIZER as PACK_TOKENIZER
 from backdate.llm.packing import pack
@@ -61,3 +62,8 @@ def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+@query
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
