@@ -13,6 +13,8 @@ from backdate.llm.main_text import extract_main_text
 from backdate.llm.mixing import mix_sources
 from backdate.llm.packing import TOKENIZER as PACK_TOKENIZER
 from backdate.llm.packing import pack
+from backdate.llm.piece_counts import TOKENIZER as PIECE_TOKENIZER
+from backdate.llm.piece_counts import count_pieces
 from backdate.llm.substring import repeated_passages
 from backdate.llm.top_inner import top_inner
 from backdate.llm.url_filter import filter_urls
@@ -67,3 +69,8 @@ def op8_top_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_TOKENIZER))
