@@ -15,6 +15,7 @@ from backdate.llm.packing import TOKENIZER as PACK_TOKENIZER
 from backdate.llm.packing import pack
 from backdate.llm.piece_counts import TOKENIZER as PIECE_TOKENIZER
 from backdate.llm.piece_counts import count_pieces
+from backdate.llm.scoring import score_documents
 from backdate.llm.substring import repeated_passages
 from backdate.llm.top_inner import top_inner
 from backdate.llm.url_filter import filter_urls
@@ -74,3 +75,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_pieces(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_TOKENIZER))
+
+
+@query
+def op4_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
