@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,10 +39,60 @@ def plain_number(value: Column, digits: int) -> Column:
     return F.coalesce(trimmed, F.lit("None"))
 
 
+def json_number(value: Column) -> Column:
+    """A double as JSON: written out from 0.0001 up to 1e16, else with an exponent; NULL reads ``null``."""
+    shown = value.cast("string")
+    mantissa, exponent = F.substring_index(shown, "E", 1), F.substring_index(shown, "E", -1).try_cast("int")
+    digits = F.regexp_replace(shown.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    short = F.concat(
+        F.regexp_replace(mantissa, r"\.0$", ""), F.when(exponent < 0, "e-").otherwise("e+"),
+        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+    )
+    size = F.abs(value)
+    text = F.when(~F.contains(shown, F.lit("E")), shown).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+    return F.coalesce(text, F.lit("null"))
+
+
+def _each_letter(text: Column, odd: str, shown: Callable[[Column], Column]) -> Column:
+    """The text with each character that matches ``odd`` replaced by what ``shown`` makes of it."""
+    swapped = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(odd), shown(c)).otherwise(c))
+    return F.when(text.rlike(odd), F.array_join(swapped, "")).otherwise(text)
+
+
+def _swapped(text: Column, swaps: Sequence[tuple[str, str]]) -> Column:
+    return reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), swaps, text)
+
+
+def json_string(text: Column) -> Column:
+    """A JSON string in ASCII; NULL reads ``null``."""
+    known = [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\f", "\\f"), ("\b", "\\b")]
+
+    def units(c: Column) -> Column:
+        code = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return F.regexp_replace(code, "([0-9a-f]{4})", r"\\u$1")
+
+    inside = _each_letter(_swapped(text, known), r"[^\x20-\x7e]", units)
+    return F.coalesce(F.concat(F.lit('"'), inside, F.lit('"')), F.lit("null"))
+
+
 def quoted(text: Column) -> Column:
-    """A string literal in single quotes, or in double quotes if it holds only single ones."""
+    """A string literal in single quotes, or in double quotes if it holds only single ones.
+
+    Control, format, private and unassigned characters and all white space but
+    the blank are written as escapes.
+    """
     swaps = [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]
-    escaped = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit(s[1])), swaps, text)
+
+    def code(c: Column) -> Column:
+        whole = F.lower(F.hex(F.encode(c, "UTF-32")))
+        return (
+            F.when(F.startswith(whole, F.lit("000000")), F.concat(F.lit("\\x"), F.right(whole, F.lit(2))))
+            .when(F.startswith(whole, F.lit("0000")), F.concat(F.lit("\\u"), F.right(whole, F.lit(4))))
+            .otherwise(F.concat(F.lit("\\U"), whole))
+        )
+
+    escaped = _each_letter(_swapped(text, swaps), r"[\p{C}\p{Z}&&[^ ]]", code)
     single, double = F.contains(text, F.lit("'")), F.contains(text, F.lit('"'))
     return F.when(single & ~double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(
         F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))

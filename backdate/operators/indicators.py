@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backdate.functions import series
-from backdate.operators.pointintime import bars_in_view, distinct_requests
+from backdate.operators.pointintime import bar_arrays
 from backdate.schemas import (
     HISTORY_LOOKBACK_DAYS,
     INDICATOR_LOOKBACK_DAYS,
@@ -27,20 +27,9 @@ from backdate.schemas import (
 def close_arrays(
     requests: DataFrame, bars: DataFrame, lookback_days: int, price_col: str = "close"
 ) -> DataFrame:
-    """Per request the array ``bars`` of (trade_date, price) in date order; empty if none.
-
-    The requests themselves join the grouping as rows without a bar, so those
-    that see nothing keep their row without a second join.
-    """
-    seen = bars_in_view(requests, bars, lookback_days, [price_col]).select(
-        "ticker", "as_of",
-        F.struct("trade_date", F.col(price_col).cast("double").alias("price")).alias("bar"),
-    )
-    marker = distinct_requests(requests).select(
-        "ticker", "as_of", F.lit(None).cast("struct<trade_date: date, price: double>").alias("bar")
-    )
-    grouped = seen.union(marker).groupBy("ticker", "as_of")
-    return grouped.agg(F.array_sort(F.collect_list("bar")).alias("bars"))
+    """Per request the array ``bars`` of (trade_date, price) in date order; empty if none."""
+    own = bars.select("ticker", "trade_date", price_col, "known_from", "known_until")
+    return bar_arrays(requests, own, lookback_days, F.col(price_col).cast("double"))
 
 
 def prices_of(bars: str) -> Column:

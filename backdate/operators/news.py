@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from backdate.functions.dates import as_date, open_end, published_date
+from backdate.functions.dates import as_date, day_bucket, open_end, published_date
 from backdate.functions.text import first_filled, first_sentences
 from backdate.operators.pointintime import distinct_requests, within_envelope
 from backdate.schemas import (
@@ -44,16 +44,27 @@ def in_top_k_until(news: DataFrame, k: int) -> DataFrame:
     )
 
 
-def news_top_k(requests: DataFrame, news: DataFrame, k: int = NEWS_CAP) -> DataFrame:
+def news_top_k(requests: DataFrame, news: DataFrame, k: int = NEWS_CAP, bucket_days: int = 32) -> DataFrame:
     """The ``k`` newest items published by each request's date, ``position`` 1 = newest.
 
-    Every request meets at most k items, because the join is on the days an
-    item belongs to the top k.
+    An item is offered in the calendar buckets in which it belongs to the top k
+    and dates are asked for, and joined there on ticker and bucket. Outside the
+    bucket it is published in, an item is one of k, so a hot ticker is spread
+    over its buckets at little more than one row per item.
     """
     columns = ["headline", "source", "published_at", "url", "summary"]
     offered = within_envelope(news.select("ticker", *columns), requests, "published_at", None)
     ranked = in_top_k_until(offered, k)
-    seen = ranked.join(distinct_requests(requests), "ticker").where(
+    oldest, newest = (requests.agg(f("as_of")).scalar() for f in (F.min, F.max))
+    low = day_bucket(F.greatest(F.col("published_at"), oldest), bucket_days)
+    high = day_bucket(F.least(F.date_sub("leaves_on", 1), newest), bucket_days)
+    spread = ranked.where(F.col("leaves_on") > F.col("published_at")).select(
+        "*", low.alias("_low"), high.alias("_high")
+    ).where(F.col("_low") <= F.col("_high")).select(
+        "ticker", *columns, "leaves_on", F.explode(F.sequence("_low", "_high")).alias("_bucket")
+    )
+    asked = distinct_requests(requests).withColumn("_bucket", day_bucket(F.col("as_of"), bucket_days))
+    seen = spread.join(asked, ["ticker", "_bucket"]).where(
         (F.col("published_at") <= F.col("as_of")) & (F.col("leaves_on") > F.col("as_of"))
     )
     newest_first = Window.partitionBy("ticker", "as_of").orderBy(F.desc("published_at"), *_TIE_BREAK)
@@ -91,17 +102,24 @@ def undated_news(feed: DataFrame) -> DataFrame:
 def new_items(
     existing: DataFrame,
     cleaned: DataFrame,
-    as_of: dt.date | str | Column,
+    as_of: dt.date | str | Column | DataFrame,
     max_items: int = NEWS_CAP,
 ) -> DataFrame:
     """Cleaned entries to insert: published by ``as_of``, unseen, capped per ticker.
 
+    ``as_of`` is one date, or a table of requests, of which each ticker's latest
+    counts and tickers without one get nothing.
+
     The cap counts new items only, in feed order. Duplicates inside the feed
     are reduced to their first entry, with a map-side combine. The stored table
     is only probed with the feed's keys, so a feed that can be broadcast leaves
     it unshuffled.
     """
-    dated = cleaned.where(F.col("published_at").isNotNull() & (F.col("published_at") <= as_date(as_of)))
+    if isinstance(as_of, DataFrame):
+        last = as_of.groupBy("ticker").agg(F.max("as_of").alias("_last"))
+        dated = cleaned.join(last, "ticker").where(F.col("published_at") <= F.col("_last")).drop("_last")
+    else:
+        dated = cleaned.where(F.col("published_at") <= as_date(as_of))
     values = [c for c in cleaned.columns if c not in NEWS_KEYS and c != "feed_pos"]
     first_seen = dated.groupBy(*NEWS_KEYS).agg(F.min(F.struct("feed_pos", *values)).alias("_first"))
     known = existing.select(*NEWS_KEYS).join(dated.select(*NEWS_KEYS).distinct(), NEWS_KEYS, "left_semi")
@@ -112,7 +130,9 @@ def new_items(
 
 
 def ingest_news(
-    existing: DataFrame, feed: DataFrame, as_of: dt.date | str | Column, max_items: int = NEWS_CAP
+    existing: DataFrame, feed: DataFrame, as_of: dt.date | str | Column | DataFrame, max_items: int = NEWS_CAP,
+    ingested_at: dt.datetime | str | None = None,
 ) -> DataFrame:
-    """Rows to append to the news table after one feed."""
-    return new_items(existing, clean_news(feed), as_of, max_items)
+    """Rows to append to the news table after one feed, stamped with the caller's clock."""
+    stamp = F.lit(None if ingested_at is None else str(ingested_at)).cast("timestamp")
+    return new_items(existing, clean_news(feed), as_of, max_items).withColumn("ingested_at", stamp)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from backdate.functions.text import plain_number, quoted_list, quoted_map
+from backdate.functions.text import json_number, json_string, plain_number, quoted_list, quoted_map
 from backdate.operators.indicators import (
     close_arrays,
     indicator_columns,
@@ -118,17 +118,29 @@ def baseline_prompts(panel: DataFrame) -> DataFrame:
     return panel.select("ticker", "as_of", F.concat_ws("\n", *lines).alias("prompt"))
 
 
+def _json_object(names: tuple[str, ...]) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.array(*[
+        F.concat(F.lit(f'"{n}": '), json_number(F.col(n))) for n in names
+    ]), ", "), F.lit("}"))
+
+
 def analyst_inputs(panel: DataFrame) -> DataFrame:
-    """The three data sections as JSON and the request text made of them."""
-    options = {"ignoreNullFields": "false"}
-    news = F.transform("news", lambda n: F.struct(
-        n["published"].cast("string").alias("date"), n["headline"].alias("headline"), n["summary"].alias("summary")
-    ))
+    """The three data sections as JSON and the request text made of them.
+
+    The JSON has a blank after ``:`` and ``,``, numbers in shortest plain form
+    and everything beyond ASCII escaped.
+    """
+    def item(n: Column) -> Column:
+        fields = {"date": n["published"].cast("string"), "headline": n["headline"], "summary": n["summary"]}
+        return F.concat(F.lit("{"), F.array_join(F.array(*[
+            F.concat(F.lit(f'"{k}": '), json_string(v)) for k, v in fields.items()
+        ]), ", "), F.lit("}"))
+
     sections = panel.select(
         "ticker", "as_of",
-        F.to_json(F.struct(*SNAPSHOT_FIELDS), options).alias("snapshot_json"),
-        F.to_json(F.struct(*INDICATOR_FIELDS), options).alias("indicators_json"),
-        F.to_json(news, options).alias("news_json"),
+        _json_object(SNAPSHOT_FIELDS).alias("snapshot_json"),
+        _json_object(INDICATOR_FIELDS).alias("indicators_json"),
+        F.concat(F.lit("["), F.array_join(F.transform("news", item), ", "), F.lit("]")).alias("news_json"),
     )
     prompt = F.concat_ws(
         "\n",
@@ -158,19 +170,14 @@ def debate_transcripts(arguments: DataFrame) -> DataFrame:
     A transcript is a single prompt, so a run has only as many arguments as a
     model can read at once; :func:`debate_lines` is the form without that bound.
     """
-    return _debates(arguments).select(
+    spoken = F.array_sort(F.collect_list(F.struct("round", "speaker", "line")))
+    return debate_lines(arguments).groupBy("run_id").agg(spoken.alias("debate")).select(
         "run_id",
         F.size("debate").cast("long").alias("n_arguments"),
         F.array_join("debate.line", "\n").alias("transcript"),
     )
 
 
-def _debates(arguments: DataFrame) -> DataFrame:
-    """The arguments of a run as one array in speaking order (see :func:`debate_transcripts`)."""
-    spoken = F.array_sort(F.collect_list(F.struct("round", "speaker", "line")))
-    return debate_lines(arguments).groupBy("run_id").agg(spoken.alias("debate"))
-
-
 def _report_text() -> Column:
     return F.concat_ws(
         "\n",
@@ -186,28 +193,49 @@ def _sections(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
+def _or_problem(prompt: Column) -> list[Column]:
+    """The prompt, or why there is none: a report that is missing or failed its checks."""
+    problem = F.when(F.col("_has_report").isNull(), "no report").otherwise(F.col("problem"))
+    return [F.when(problem.isNull(), prompt).alias("prompt"), problem.alias("problem")]
+
+
+def _checked(reports: DataFrame) -> DataFrame:
+    """Reports with their ``problem``; those that have no such column have none."""
+    if "problem" not in reports.columns:
+        reports = reports.withColumn("problem", F.lit(None).cast("string"))
+    return reports.withColumn("_has_report", F.lit(True))
+
+
 def debater_inputs(reports: DataFrame, arguments: DataFrame) -> DataFrame:
-    """The request text behind each argument: the report and the debate before it."""
-    turns = _debates(arguments).select("run_id", "debate", F.posexplode("debate").alias("_before", "_turn"))
-    earlier = F.when(F.col("_before") == 0, NO_HISTORY).otherwise(
-        F.array_join(F.slice("debate.line", F.lit(1), F.col("_before")), "\n")
-    )
+    """The request text behind each argument: the report and the debate before it.
+
+    Every argument has a row; one of a run without a sound report has the reason
+    in ``problem`` instead of a text. An argument carries the lines before it and
+    not the whole debate.
+    """
+    so_far = Window.partitionBy("run_id").orderBy("round", "speaker", "line").rowsBetween(Window.unboundedPreceding, -1)
+    turns = debate_lines(arguments).withColumn("_earlier", F.collect_list("line").over(so_far))
+    earlier = F.when(F.size("_earlier") == 0, NO_HISTORY).otherwise(F.array_join("_earlier", "\n"))
     opening, closing = DEBATER_CLOSING.split("{}")
     prompt = _sections(
         F.lit(REPORT_HEADING), _report_text(), F.lit(""), F.lit(HISTORY_HEADING), earlier, F.lit(""),
-        F.concat(F.lit(opening), F.col("_turn.round").cast("string"), F.lit(closing)),
+        F.concat(F.lit(opening), F.col("round").cast("string"), F.lit(closing)),
     )
-    return turns.join(reports, "run_id").select(
-        "run_id", F.col("_turn.round").alias("round"),
-        F.element_at(F.array(*[F.lit(s) for s in STANCES]), F.col("_turn.speaker")).alias("stance"),
-        prompt.alias("prompt"),
+    return turns.join(_checked(reports), "run_id", "left").select(
+        "run_id", "round",
+        F.element_at(F.array(*[F.lit(s) for s in STANCES]), F.col("speaker")).alias("stance"),
+        *_or_problem(prompt),
     )
 
 
 def judge_inputs(reports: DataFrame, arguments: DataFrame) -> DataFrame:
-    """The request text for the decision after a debate: the report and the whole debate."""
+    """The request text for the decision after a debate: the report and the whole debate.
+
+    Every run with a report or an argument has a row; without a sound report the
+    reason is in ``problem``.
+    """
     prompt = _sections(
         F.lit(REPORT_HEADING), _report_text(), F.lit(""), F.lit(TRANSCRIPT_HEADING),
         F.coalesce("transcript", F.lit("")), F.lit(""), F.lit(JUDGE_CLOSING),
     )
-    return reports.join(debate_transcripts(arguments), "run_id", "left").select("run_id", prompt.alias("prompt"))
+    return _checked(reports).join(debate_transcripts(arguments), "run_id", "full_outer").select("run_id", *_or_problem(prompt))

@@ -55,6 +55,21 @@ def within_envelope(
     return df
 
 
+def _buckets_asked(requests: DataFrame, lookback_days: int, width: int) -> DataFrame:
+    oldest = F.date_sub("as_of", lookback_days - 1)
+    return distinct_requests(requests).select(
+        "ticker", "as_of",
+        F.explode(F.sequence(day_bucket(oldest, width), day_bucket(F.col("as_of"), width))).alias("_bucket"),
+    )
+
+
+def _bars_offered(requests: DataFrame, bars: DataFrame, lookback_days: int, columns: Sequence[str], width: int) -> DataFrame:
+    return within_envelope(bars, requests, "trade_date", lookback_days, versioned=True).select(
+        "ticker", "trade_date", *columns, "known_from", "known_until",
+        day_bucket(F.col("trade_date"), width).alias("_bucket"),
+    )
+
+
 def bars_in_view(requests: DataFrame, bars: DataFrame, lookback_days: int, columns: Sequence[str]) -> DataFrame:
     """Every bar each request can see: ``(as_of - lookback, as_of]``, as then believed.
 
@@ -63,19 +78,11 @@ def bars_in_view(requests: DataFrame, bars: DataFrame, lookback_days: int, colum
     ticker is spread over its buckets.
     """
     width = max(1, lookback_days // 4)
-    oldest = F.date_sub("as_of", lookback_days - 1)
-    wanted = distinct_requests(requests).select(
-        "ticker", "as_of",
-        F.explode(F.sequence(day_bucket(oldest, width), day_bucket(F.col("as_of"), width))).alias("_bucket"),
-    )
-    offered = within_envelope(bars, requests, "trade_date", lookback_days, versioned=True).select(
-        "ticker", "trade_date", *columns, "known_from", "known_until",
-        day_bucket(F.col("trade_date"), width).alias("_bucket"),
-    )
+    offered = _bars_offered(requests, bars, lookback_days, columns, width)
     return (
-        offered.join(wanted, ["ticker", "_bucket"])
+        offered.join(_buckets_asked(requests, lookback_days, width), ["ticker", "_bucket"])
         .where(
-            (F.col("trade_date") >= oldest)
+            (F.col("trade_date") >= F.date_sub("as_of", lookback_days - 1))
             & (F.col("trade_date") <= F.col("as_of"))
             & believed_on(F.col("as_of"))
         )
@@ -83,6 +90,36 @@ def bars_in_view(requests: DataFrame, bars: DataFrame, lookback_days: int, colum
     )
 
 
+def bar_arrays(requests: DataFrame, bars: DataFrame, lookback_days: int, price: Column) -> DataFrame:
+    """Per request the array ``bars`` of (trade_date, price) in date order; empty if none.
+
+    The versions of a ticker and bucket become one array, made once however many
+    requests read it, so a request meets at most five rows and picks its bars
+    inside them. The requests join the last grouping as rows without a bar, so
+    those that see nothing keep their row without a second join.
+    """
+    width = max(1, lookback_days // 4)
+    names = sorted(c for c in bars.columns if c not in ("ticker", "trade_date", "known_from", "known_until"))
+    offered = _bars_offered(requests, bars, lookback_days, names, width)
+    held = offered.groupBy("ticker", "_bucket").agg(
+        F.collect_list(F.struct("trade_date", price.alias("price"), "known_from", "known_until")).alias("_held")
+    )
+    day = F.col("as_of")
+    seen = F.filter("_held", lambda v: (
+        (v["trade_date"] >= F.date_sub(day, lookback_days - 1)) & (v["trade_date"] <= day)
+        & (v["known_from"] <= day) & (v["known_until"] > day)
+    ))
+    picked = F.transform(seen, lambda v: F.struct(v["trade_date"].alias("trade_date"), v["price"].alias("price")))
+    met = held.join(_buckets_asked(requests, lookback_days, width), ["ticker", "_bucket"]).select(
+        "ticker", "as_of", picked.alias("_bars")
+    )
+    none = F.array().cast("array<struct<trade_date: date, price: double>>")
+    marker = distinct_requests(requests).select("ticker", "as_of", none.alias("_bars"))
+    return met.union(marker).groupBy("ticker", "as_of").agg(
+        F.array_sort(F.flatten(F.collect_list("_bars"))).alias("bars")
+    )
+
+
 def price_history(
     requests: DataFrame, bars: DataFrame, lookback_days: int = HISTORY_LOOKBACK_DAYS
 ) -> DataFrame:

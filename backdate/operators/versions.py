@@ -4,9 +4,9 @@ A version is believed from ``known_from`` (inclusive) to ``known_until``
 (exclusive). Windows come from an append-only observation log, so they cannot
 overlap and nothing is updated in place.
 
-Skew: observations are first reduced to one per key and day with a map-side
-combine, so the per-key windows below see at most one row per calendar day,
-however many rows one key holds.
+Windows need one shuffle, on the key; where one key repeats very often on one
+day, ``reduce_first`` spends a second one to cut those repeats down before they
+meet in a task.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def _others(df: DataFrame, taken: Sequence[str]) -> list[str]:
 
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
-    """The last row of each key by ``order_cols``, as a map-side combined aggregate.
+    """The last row of each key by ``order_cols``; each task sends at most one row per key.
 
     Rows equal in ``order_cols`` are decided by their other values, so the
     result does not depend on the order of arrival.
@@ -36,32 +36,43 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str])
     values = _others(df, keys)
     ranked = [c for c in order_cols if c in values]
     ranked += [c for c in values if c not in ranked]
-    picked = df.groupBy(*keys).agg(F.max(F.struct(*ranked)).alias("_last"))
-    return picked.select(*keys, F.col("_last.*")).select(*df.columns)
+    if not ranked:
+        return df.distinct()
+    last_first = Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in ranked])
+    return df.withColumn("_rn", F.row_number().over(last_first)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def build_versions(
     observations: DataFrame,
     keys: Sequence[str],
     compare_cols: Sequence[str],
-    order_cols: Sequence[str] | None = None,
+    order_cols: Sequence[str] = (),
     default_known_from: Column | None = None,
     observed_on: str = "observed_on",
+    reduce_first: bool = False,
 ) -> DataFrame:
     """Belief windows from an observation log.
 
     Of several observations of a key on one day the last by ``order_cols``
-    counts; without ``order_cols`` the log already has one per key and day. An
-    observation equal to the one before it in all ``compare_cols``
-    adds nothing. The first version of a key starts at ``default_known_from``
-    (else at its own day), every later one on the day it was observed, but
-    never before the first. A version superseded before it could be known
-    keeps an empty window.
+    counts, then by its other values. An observation equal to the one before it
+    in all ``compare_cols`` adds nothing. The first version of a key starts at
+    ``default_known_from`` (else at its own day), every later one on the day it
+    was observed, but never before the first. A version superseded before it
+    could be known keeps an empty window.
+
+    All steps read one sort of one shuffle on the key. With ``reduce_first`` the
+    repeats of a key and day are reduced in a shuffle of their own.
     """
-    daily = observations
-    if order_cols is not None:
-        daily = last_per_key(observations, [*keys, observed_on], order_cols)
+    if reduce_first:
+        observations = last_per_key(observations, [*keys, observed_on], order_cols)
+    values = _others(observations, [*keys, observed_on])
+    ranked = [c for c in order_cols if c in values]
+    ranked += [c for c in values if c not in ranked]
+    in_order = Window.partitionBy(*keys).orderBy(observed_on, *ranked)
     by_day = Window.partitionBy(*keys).orderBy(observed_on)
+    daily = observations.withColumn("_next_day", F.lead(observed_on).over(in_order)).where(
+        F.col("_next_day").isNull() | (F.col("_next_day") != F.col(observed_on))
+    ).drop("_next_day")
 
     unchanged = reduce(
         lambda a, b: a & b, (F.col(c).eqNullSafe(F.lag(c).over(by_day)) for c in compare_cols)
@@ -79,7 +90,7 @@ def build_versions(
         F.greatest(F.col(observed_on), F.col("_start"))
     )
     carried = [c for c in _others(observations, [*keys, observed_on, *WINDOW_COLUMNS])
-               if c not in (order_cols or ()) or c in compare_cols]
+               if c not in order_cols or c in compare_cols]
     return (
         marked.withColumn("known_from", known_from)
         .withColumn("known_until", F.coalesce(F.lead("known_from").over(by_day), open_end()))
@@ -112,11 +123,12 @@ def apply_batch(
     key the last by ``order_cols`` counts. Every key with a history must have an
     open row, which this operator and :func:`build_versions` both guarantee.
 
-    Closed versions take no part in the join. With ``small_batch`` the table is
-    only ever the probed side: while Spark can broadcast the batch, nothing of
-    the table is shuffled, and which keys are new is found from the key columns
-    alone. Without it (a batch as large as the table, say a backfill) one full
-    outer join reads table and batch once each. The result is the same.
+    The table is read once: closed versions pass through the same join, which
+    they can never meet. With ``small_batch`` the table is only ever the probed
+    side, so while Spark can broadcast the batch nothing of the table is
+    shuffled, and which keys are new is found from the key columns alone. Without
+    it (a batch as large as the table, say a backfill) one full outer join does
+    both. The result is the same.
     """
     day = as_date(ingestion_date)
     columns, types = current.columns, {f.name: f.dataType for f in current.schema}
@@ -139,20 +151,17 @@ def apply_batch(
     same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_new.{c}")) for c in compare_cols))
     first_day = day if default_known_from is None else default_known_from
     rows = (
-        F.when(F.col("_stored").isNull(), F.array(version("_new.", first_day, open_end(), "opened")))
+        F.when(F.col("known_until").isNull(), F.array(version("_new.", first_day, open_end(), "opened")))
         .when(F.col("_new").isNull(), F.array(version("", was_from, was_until, "untouched")))
         .when(same, F.array(version("", was_from, was_until, "unchanged")))
         .otherwise(F.array(
             version("", was_from, restart, "closed"), version("_new.", restart, open_end(), "opened"),
         ))
     )
-    arrived = incoming.select(*keys, F.struct(*values).alias("_new"))
-    stored = open_versions(current).withColumn("_stored", F.lit(True))
-    met = stored.join(arrived, list(keys), "left_outer" if small_batch else "full_outer")
-    followed = met.select(*keys, F.inline(rows)).select(*columns, "action")
-
-    history = current.where(F.col("known_until") != open_end()).withColumn("action", F.lit("untouched"))
-    result = history.unionByName(followed)
+    arrived = incoming.select(*keys, F.lit(True).alias("_open"), F.struct(*values).alias("_new"))
+    marked = current.withColumn("_open", F.col("known_until") == open_end())
+    met = marked.join(arrived, [*keys, "_open"], "left_outer" if small_batch else "full_outer")
+    result = met.select(*keys, F.inline(rows)).select(*columns, "action")
     if not small_batch:
         return result
     known = open_versions(current).select(*keys).join(incoming.select(*keys), list(keys), "left_semi")

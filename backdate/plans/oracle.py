@@ -1,7 +1,7 @@
 """The named queries in SQL for DuckDB, written independently of the Spark plans.
 
-Windows over raw rows, recursion for the averages and joins of all pairs: plain
-statements of what the result is, for checking on small data.
+Windows over raw rows, weighted sums and list folds for the averages, joins of
+all pairs: plain statements of what the result is, for checking on small data.
 """
 
 from __future__ import annotations
@@ -139,23 +139,31 @@ verdict AS (
   FROM conversations WHERE conv_id % 7 <> 6 GROUP BY conv_id)"""
 
 METRICS = RUN + "," + MESSAGE + "," + VERDICT + """,
+spent AS (
+  SELECT run_id, count(*) AS calls, list_sum(list(coalesce(prompt_tokens, 0))) AS asked,
+    list_sum(list(coalesce(completion_tokens, 0))) AS answered, sum(latency_s) AS waited
+  FROM agent_message GROUP BY run_id),
 metrics AS (
-  SELECT r.id, r.ticker, r.as_of_date, r.mode, v.recommendation, v.confidence,
-    CAST(coalesce(sum(m.prompt_tokens), 0) AS BIGINT) AS total_prompt_tokens,
-    CAST(coalesce(sum(m.completion_tokens), 0) AS BIGINT) AS total_completion_tokens,
-    CAST(coalesce(sum(m.latency_s), 0) AS DECIMAL(18,3)) AS total_latency_s, count(m.run_id) AS message_count
-  FROM run r JOIN verdict v ON v.run_id = r.id LEFT JOIN agent_message m ON m.run_id = r.id
-  WHERE r.status = 'completed' GROUP BY ALL)"""
+  SELECT id, ticker, as_of_date, mode, recommendation, confidence,
+    coalesce(asked, 0)::BIGINT AS total_prompt_tokens, coalesce(answered, 0)::BIGINT AS total_completion_tokens,
+    coalesce(waited, 0)::DECIMAL(18,3) AS total_latency_s, coalesce(calls, 0) AS message_count
+  FROM (SELECT * FROM run WHERE status = 'completed') JOIN verdict ON run_id = id
+    LEFT JOIN spent ON spent.run_id = id)"""
 
+# Both modes of a ticker and date as lists, every entry of one against every entry of the other.
 PAIRS = METRICS + """,
+sides AS (
+  SELECT ticker, as_of_date, list(x) FILTER (mode = 'baseline') AS base, list(x) FILTER (mode = 'multi_agent') AS multi
+  FROM (SELECT ticker, as_of_date, mode, {'rec': recommendation, 'conf': confidence, 'waited': total_latency_s,
+      'tokens': total_prompt_tokens + total_completion_tokens, 'calls': message_count} AS x FROM metrics)
+  GROUP BY ticker, as_of_date),
+half AS (SELECT ticker, as_of_date, unnest(base) AS b, multi FROM sides),
+whole AS (SELECT ticker, as_of_date, b, unnest(multi) AS m FROM half),
 pairs AS (
-  SELECT b.ticker, b.as_of_date, b.recommendation AS bl_rec, b.confidence AS bl_conf,
-    b.total_prompt_tokens + b.total_completion_tokens AS bl_tokens, b.total_latency_s AS bl_latency,
-    m.recommendation AS ma_rec, m.confidence AS ma_conf,
-    m.total_prompt_tokens + m.total_completion_tokens AS ma_tokens, m.total_latency_s AS ma_latency,
-    m.message_count AS ma_messages, b.recommendation = m.recommendation AS agreement
-  FROM metrics b JOIN metrics m ON b.ticker = m.ticker AND b.as_of_date = m.as_of_date
-    AND b.mode = 'baseline' AND m.mode = 'multi_agent')"""
+  SELECT ticker, as_of_date, b.rec AS bl_rec, b.conf AS bl_conf, b.tokens AS bl_tokens, b.waited AS bl_latency,
+    m.rec AS ma_rec, m.conf AS ma_conf, m.tokens AS ma_tokens, m.waited AS ma_latency, m.calls AS ma_messages,
+    b.rec = m.rec AS agreement
+  FROM whole)"""
 
 IN_VIEW = """r.ticker = b.ticker AND b.trade_date <= r.as_of
     AND b.known_from <= r.as_of AND b.known_until > r.as_of"""
@@ -172,38 +180,36 @@ def _bars(days: int, name: str = "bars") -> str:
   SELECT *, c - lag(c) OVER (PARTITION BY ticker, as_of ORDER BY rn) AS d FROM {name})"""
 
 
-RSI_VALUE = "CASE WHEN l = 0 THEN 100.0 WHEN g = 0 THEN 0.0 ELSE 100.0 - 100.0 / (1.0 + g / l) END"
-
-INDICATORS = _bars(365) + f""",
-seed AS (
-  SELECT ticker, as_of, avg(greatest(d, 0.0::DOUBLE)) AS g, avg(greatest(-d, 0.0::DOUBLE)) AS l
-  FROM bars_chg WHERE rn BETWEEN 2 AND 15 GROUP BY ALL HAVING count(*) = 14),
-rsi AS (
-  SELECT ticker, as_of, 15::BIGINT AS rn, g, l FROM seed
-  UNION ALL
-  SELECT c.ticker, c.as_of, c.rn,
-    r.g * (13.0::DOUBLE / 14) + greatest(c.d, 0.0::DOUBLE) / 14,
-    r.l * (13.0::DOUBLE / 14) + greatest(-c.d, 0.0::DOUBLE) / 14
-  FROM rsi r JOIN bars_chg c ON c.ticker = r.ticker AND c.as_of = r.as_of AND c.rn = r.rn + 1),
-ema AS (
-  SELECT ticker, as_of, rn, c AS f, c AS s, 0.0::DOUBLE AS sig FROM bars WHERE rn = 1
-  UNION ALL
-  SELECT ticker, as_of, rn, f, s, (f - s) * 0.2::DOUBLE + sig * 0.8::DOUBLE FROM (
-    SELECT b.ticker, b.as_of, b.rn, e.sig,
-      b.c * (2.0::DOUBLE / 13) + e.f * (11.0::DOUBLE / 13) AS f,
-      b.c * (2.0::DOUBLE / 27) + e.s * (25.0::DOUBLE / 27) AS s
-    FROM ema e JOIN bars b ON b.ticker = e.ticker AND b.as_of = e.as_of AND b.rn = e.rn + 1)),
-sizes AS (SELECT ticker, as_of, max(n) AS n FROM bars GROUP BY ALL),
+# Averages of gains and losses as weighted sums: each later move weighs 1/14 and fades by 13/14 a bar,
+# the moves before it share one weight between them.
+_FADE = "pow(13.0::DOUBLE / 14, n - greatest(rn, {first}))"
+
+
+def _averages(name: str, first: int, share: str) -> str:
+    """``up`` and ``down`` per request with at least 14 moves; moves up to row ``first`` weigh ``share``."""
+    weight = f"{_FADE.format(first=first)} * CASE WHEN rn <= {first} THEN {share} ELSE 1.0::DOUBLE / 14 END"
+    return f"""
+{name} AS (
+  SELECT ticker, as_of, sum(greatest(d, 0.0::DOUBLE) * {weight}) AS up, sum(greatest(-d, 0.0::DOUBLE) * {weight}) AS down
+  FROM bars_chg WHERE rn > 1 AND n > 14 GROUP BY ticker, as_of)"""
+
+
+# The three exponential averages as one fold over a request's closes.
+_FAST, _SLOW = "(a.f * 11 / 13 + x.f * 2 / 13)", "(a.s * 25 / 27 + x.s * 2 / 27)"
+INDICATORS = _bars(365) + "," + _averages("moves", 15, "1.0::DOUBLE / 14") + f""",
+folded AS (
+  SELECT ticker, as_of, count(*) AS n, list_reduce(
+    list({{'f': c, 's': c, 'sig': 0.0::DOUBLE}} ORDER BY rn),
+    lambda a, x: {{'f': {_FAST}, 's': {_SLOW}, 'sig': a.sig * 0.8::DOUBLE + ({_FAST} - {_SLOW}) * 0.2::DOUBLE}}) AS e
+  FROM bars GROUP BY ticker, as_of),
 indicator AS (
-  SELECT q.ticker, q.as_of, coalesce(z.n, 0) AS n_bars,
-    round(({RSI_VALUE})::DOUBLE, 2) + 0.0 AS rsi_14,
-    CASE WHEN z.n >= 15 THEN round(e.f - e.s, 4) + 0.0 END AS macd,
-    CASE WHEN z.n >= 15 THEN round(e.sig, 4) + 0.0 END AS macd_signal,
-    CASE WHEN z.n >= 15 THEN round(e.f - e.s - e.sig, 4) + 0.0 END AS macd_histogram,
-    e.f AS raw_fast, e.s AS raw_slow, e.sig AS raw_signal
-  FROM requests q LEFT JOIN sizes z ON z.ticker = q.ticker AND z.as_of = q.as_of
-    LEFT JOIN rsi r ON r.ticker = z.ticker AND r.as_of = z.as_of AND r.rn = z.n
-    LEFT JOIN ema e ON e.ticker = z.ticker AND e.as_of = z.as_of AND e.rn = z.n)"""
+  SELECT q.ticker, q.as_of, coalesce(n, 0) AS n_bars,
+    round((CASE WHEN down = 0 THEN 100 WHEN up = 0 THEN 0 ELSE 100 * up / (up + down) END)::DOUBLE, 2) + 0.0 AS rsi_14,
+    e.f AS raw_fast, e.s AS raw_slow, e.sig AS raw_signal,
+    CASE WHEN n >= 15 THEN round(e.f - e.s, 4) + 0.0 END AS macd,
+    CASE WHEN n >= 15 THEN round(e.sig, 4) + 0.0 END AS macd_signal,
+    CASE WHEN n >= 15 THEN round(e.f - e.s - e.sig, 4) + 0.0 END AS macd_histogram
+  FROM requests q LEFT JOIN folded USING (ticker, as_of) LEFT JOIN moves USING (ticker, as_of))"""
 
 
 def _pct(n: int) -> str:
@@ -212,7 +218,7 @@ def _pct(n: int) -> str:
 
 SNAPSHOT = _bars(180, "recent") + f""",
 snapshot AS (
-  SELECT q.ticker, q.as_of, count(c) AS n_bars, round(max(c) FILTER (rn = n), 2) AS last_close,
+  SELECT q.ticker, q.as_of, count(b.rn) AS n_bars, round(max(c) FILTER (rn = n), 2) AS last_close,
     {_pct(1)}, {_pct(5)}, {_pct(21)}
   FROM requests q LEFT JOIN recent b ON b.ticker = q.ticker AND b.as_of = q.as_of
   GROUP BY q.ticker, q.as_of)"""
@@ -357,7 +363,27 @@ report AS (
     || 'Indicators: {{''rsi_14'': ' || CAST(conv_id + 0.25::DOUBLE AS VARCHAR) || '}}' || chr(10)
     || 'News: [' || array_to_string(list_transform(string_split(text, chr(10)), lambda x: {QUOTED}), ', ') || ']' || chr(10)
     AS report_text
-  FROM conversations WHERE turn = 0)"""
+  FROM conversations WHERE turn = 0),
+sound AS (
+  SELECT *, CASE WHEN run_id::BIGINT % 10 = 9 THEN 'no report'
+    WHEN run_id::BIGINT % 9 = 8 THEN 'not valid JSON for the schema' END AS problem
+  FROM report)"""
+
+
+def _json_numbers(*columns: str) -> str:
+    return "'{' || " + " || ', ' || ".join(f"'\"{c}\": ' || coalesce({c}::VARCHAR, 'null')" for c in columns) + " || '}'"
+
+
+def _json_text(x: str) -> str:
+    """Character by character: quotes and backslashes escaped, all but printable ASCII as code units."""
+    high, low = "55296 + ((u - 65536) // 1024)", "56320 + (u - 65536) % 1024"
+    letter = (
+        "CASE WHEN c IN ('\"', '\\') THEN '\\' || c WHEN c = chr(10) THEN '\\n' WHEN c = chr(13) THEN '\\r' WHEN c = chr(9) THEN '\\t' "
+        "WHEN c = chr(12) THEN '\\f' WHEN c = chr(8) THEN '\\b' WHEN unicode(c) BETWEEN 32 AND 126 THEN c "
+        "WHEN unicode(c) < 65536 THEN '\\u' || format('{:04x}', unicode(c)) "
+        f"ELSE '\\u' || format('{{:04x}}', {high}) || '\\u' || format('{{:04x}}', {low}) END"
+    ).replace("(u - ", "(unicode(c) - ")
+    return f"coalesce('\"' || array_to_string(list_transform(string_split({x}, ''), lambda c: {letter}), '') || '\"', 'null')"
 
 
 def _rule(table: str, rule: str, count: str) -> str:
@@ -411,15 +437,7 @@ feed_facts AS (
     'USD' AS currency, 'yfinance' AS source
   FROM figures)"""
 
-_FIRST_SEED = _bars(365) + """,
-walk AS (
-  SELECT ticker, as_of, rn, n, greatest(d, 0.0::DOUBLE) AS g, greatest(-d, 0.0::DOUBLE) AS l
-  FROM bars_chg WHERE rn = 2
-  UNION ALL
-  SELECT c.ticker, c.as_of, c.rn, c.n,
-    w.g * (13.0::DOUBLE / 14) + greatest(c.d, 0.0::DOUBLE) / 14,
-    w.l * (13.0::DOUBLE / 14) + greatest(-c.d, 0.0::DOUBLE) / 14
-  FROM walk w JOIN bars_chg c ON c.ticker = w.ticker AND c.as_of = w.as_of AND c.rn = w.rn + 1)"""
+_FIRST_SEED = _bars(365) + "," + _averages("walk", 2, "1.0::DOUBLE")
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -485,13 +503,14 @@ QUALIFY metric <> 'eps'
 SELECT 'S' || l_suppkey AS ticker, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS trade_date,
   l_extendedprice AS open, l_extendedprice AS high, l_extendedprice AS low, l_extendedprice AS close,
   CAST(l_quantity AS BIGINT) AS volume, l_extendedprice AS adj_close
-FROM lineitem WHERE l_shipdate >= DATE '1999-03-01' - 180 AND l_shipdate <= DATE '1999-03-01'""",
+FROM lineitem WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1999-03-01' - 180 AND DATE '1999-03-01'""",
     "ingest_facts_unpivot": _with(QUARTERLY) + f"""
 SELECT ticker, {_text('period_end')}, metric, value FROM figures""",
     "ingest_facts_clean": _with(_FEED_FACTS) + f"""
 SELECT ticker, metric, {_text('period_start', 'period_end')}, {_double('value')}, currency, source FROM feed_facts""",
     "ingest_news_dedup": _with(FEED, NEW_ITEMS) + f"""
-SELECT ticker, headline, source, {_text('published_at')}, url, summary, feed_pos FROM new_items""",
+SELECT ticker, headline, source, {_text('published_at')}, url, summary, feed_pos, '2002-06-30 12:00:00' AS ingested_at
+FROM new_items""",
     "news_undated": f"""
 SELECT {DOC_TICKER} AS ticker, doc_id AS feed_pos, 'soon' AS pub_date FROM documents WHERE doc_id % 50 = 49""",
     "truncate_sentences": f"SELECT doc_id, {SENTENCES} AS summary FROM documents",
@@ -626,14 +645,13 @@ SELECT ticker, {_text('as_of')}, array_to_string([
   coalesce(lines, '  (no recent news available)'), '',
   'Based only on the data above, decide buy, hold, or sell.'], chr(10)) AS prompt
 FROM panel""",
-    "analyst_inputs": _with(PANEL) + """,
+    "analyst_inputs": _with(PANEL) + f""",
 sections AS (
   SELECT ticker, CAST(as_of AS VARCHAR) AS as_of,
-    CAST(to_json({'last_close': last_close, 'pct_change_1d': pct_change_1d, 'pct_change_5d': pct_change_5d,
-      'pct_change_21d': pct_change_21d}) AS VARCHAR) AS snapshot_json,
-    CAST(to_json({'rsi_14': rsi_14, 'macd': macd, 'macd_signal': macd_signal,
-      'macd_histogram': macd_histogram}) AS VARCHAR) AS indicators_json,
-    coalesce(CAST(to_json(items) AS VARCHAR), '[]') AS news_json
+    {_json_numbers('last_close', 'pct_change_1d', 'pct_change_5d', 'pct_change_21d')} AS snapshot_json,
+    {_json_numbers('rsi_14', 'macd', 'macd_signal', 'macd_histogram')} AS indicators_json,
+    '[' || coalesce(array_to_string(list_transform(items, lambda n: '{{"date": "' || n.date || '", "headline": ' || {_json_text('n.headline')}
+      || ', "summary": ' || {_json_text('n.summary')} || '}}'), ', '), '') || ']' AS news_json
   FROM panel)
 SELECT *, array_to_string(['Price Snapshot: ' || snapshot_json, 'Technical Indicators: ' || indicators_json,
   'News Items: ' || news_json, '', 'Generate your AnalystReport based on this data.'], chr(10)) AS prompt
@@ -642,19 +660,24 @@ FROM sections""",
     "debate_transcripts": _with(ARGUMENTS) + """
 SELECT run_id, count(*) AS n_arguments, string_agg(line, chr(10) ORDER BY round, speaker, line) AS transcript
 FROM debate GROUP BY run_id""",
-    "debater_inputs": _with(ARGUMENTS, REPORTS) + """
+    "debater_inputs": _with(ARGUMENTS, REPORTS) + """,
+spoken AS (
+  SELECT *, coalesce(string_agg(line, chr(10)) OVER (
+      PARTITION BY run_id ORDER BY round, speaker, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'None') AS earlier
+  FROM debate)
 SELECT d.run_id, d.round, CASE d.speaker WHEN 1 THEN 'bull' ELSE 'bear' END AS stance,
-  '--- Analyst Report ---' || chr(10) || r.report_text || chr(10) || chr(10) || '--- Debate History ---' || chr(10)
-  || coalesce(string_agg(d.line, chr(10)) OVER (
-      PARTITION BY d.run_id ORDER BY d.round, d.speaker, d.line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'None')
-  || chr(10) || chr(10) || 'Generate your Round ' || d.round || ' argument.' AS prompt
-FROM debate d JOIN report r ON r.run_id = d.run_id""",
-    "judge_inputs": _with(ARGUMENTS, REPORTS) + """
-SELECT r.run_id, '--- Analyst Report ---' || chr(10) || r.report_text || chr(10) || chr(10)
-  || '--- Debate Transcript ---' || chr(10)
-  || coalesce((SELECT string_agg(line, chr(10) ORDER BY round, speaker, line) FROM debate d WHERE d.run_id = r.run_id), '')
-  || chr(10) || chr(10) || 'Deliver your final JudgeVerdict.' AS prompt
-FROM report r""",
+  CASE WHEN r.run_id IS NULL THEN 'no report' ELSE r.problem END AS problem,
+  CASE WHEN r.problem IS NULL THEN '--- Analyst Report ---' || chr(10) || r.report_text || chr(10) || chr(10)
+    || '--- Debate History ---' || chr(10) || earlier
+    || chr(10) || chr(10) || 'Generate your Round ' || d.round || ' argument.' END AS prompt
+FROM spoken d LEFT JOIN sound r ON r.run_id = d.run_id""",
+    "judge_inputs": _with(ARGUMENTS, REPORTS) + """,
+heard AS (SELECT run_id, string_agg(line, chr(10) ORDER BY round, speaker, line) AS transcript FROM debate GROUP BY run_id)
+SELECT coalesce(r.run_id, h.run_id) AS run_id, CASE WHEN r.run_id IS NULL THEN 'no report' ELSE r.problem END AS problem,
+  CASE WHEN r.problem IS NULL THEN '--- Analyst Report ---' || chr(10) || r.report_text || chr(10) || chr(10)
+    || '--- Debate Transcript ---' || chr(10) || coalesce(transcript, '')
+    || chr(10) || chr(10) || 'Deliver your final JudgeVerdict.' END AS prompt
+FROM (SELECT * FROM sound WHERE run_id::BIGINT % 10 <> 9) r FULL JOIN heard h ON h.run_id = r.run_id""",
     "parse_verdicts": """
 WITH made AS (
   SELECT conv_id || '-' || turn AS run_id, role, text, (conv_id + turn) % 6 AS kind FROM conversations)
@@ -666,9 +689,13 @@ SELECT run_id,
   CASE kind WHEN 1 THEN 'recommendation not allowed' WHEN 2 THEN 'missing confidence'
     WHEN 3 THEN 'not valid JSON for the schema' WHEN 5 THEN 'missing recommendation' END AS problem
 FROM made""",
-    "parse_arguments": _with(ARGUMENTS) + """
-SELECT run_id, stance, round, CAST(NULL AS VARCHAR) AS problem, len(claims) AS n_claims,
-  array_to_string(claims, chr(10)) AS claims, len(rebuttal_to) AS n_rebuttals FROM argument""",
+    "parse_arguments": _with(ARGUMENTS) + """,
+made AS (SELECT *, (run_id::BIGINT + round) % 7 AS kind FROM argument)
+SELECT run_id, CASE WHEN kind NOT IN (1, 2, 3) THEN stance END AS stance, CASE WHEN kind NOT IN (1, 2, 3) THEN round END AS round,
+  CASE kind WHEN 1 THEN 'stance not allowed' WHEN 2 THEN 'missing claims' WHEN 3 THEN 'not valid JSON for the schema' END AS problem,
+  CASE WHEN kind NOT IN (1, 2, 3) THEN len(claims) END AS n_claims,
+  CASE WHEN kind NOT IN (1, 2, 3) THEN array_to_string(claims, chr(10)) END AS claims,
+  CASE WHEN kind NOT IN (1, 2, 3) THEN len(rebuttal_to) END AS n_rebuttals FROM made""",
     "final_attempts": _with(MESSAGE) + """,
 numbered AS (
   SELECT *, sum(CASE WHEN attempt = 1 THEN 1 ELSE 0 END)
@@ -687,8 +714,8 @@ FROM conversations""",
 
     "rsi_first_seed": _with(REQUESTS, PRICE_BAR, _FIRST_SEED) + """
 SELECT q.ticker, CAST(q.as_of AS VARCHAR) AS as_of,
-  CASE WHEN l = 0 AND g = 0 THEN 'nan'::DOUBLE WHEN l = 0 THEN 100.0 ELSE round(100.0 - 100.0 / (1.0 + g / l), 2) END AS rsi_14
-FROM requests q LEFT JOIN walk w ON w.ticker = q.ticker AND w.as_of = q.as_of AND w.rn = w.n AND w.n > 14""",
+  CASE WHEN down = 0 AND up = 0 THEN 'nan'::DOUBLE WHEN down = 0 THEN 100.0 ELSE round(100 * up / (up + down), 2) END AS rsi_14
+FROM requests q LEFT JOIN walk USING (ticker, as_of)""",
     "macd_short": _with(REQUESTS, PRICE_BAR, INDICATORS) + f"""
 SELECT ticker, {_text('as_of')},
   CASE WHEN n_bars > 26 THEN round(raw_fast - raw_slow, 2) + 0.0 END AS macd,

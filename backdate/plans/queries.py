@@ -5,7 +5,7 @@ Results are flat: dates and times as text, decimals as doubles.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,8 @@ from backdate.operators.indicators import indicators, price_snapshot
 from backdate.schemas import (
     CONFIDENCES,
     FACT_KEYS,
+    HISTORY_LOOKBACK_DAYS,
+    INDICATOR_LOOKBACK_DAYS,
     MACD_SLOW,
     MODES,
     PRICE_KEYS,
@@ -31,6 +33,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KNOWN_ON = "1999-03-01"
 PERIOD_END = "1998-12-31"
 INGESTED_ON = "2002-06-30"
+CLOCK = "2002-06-30 12:00:00"
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -53,20 +56,32 @@ def plain(df: DataFrame) -> DataFrame:
 
 # -- point-in-time reads ------------------------------------------------------
 
+def _bars_for(
+    spark: SparkSession, d: str, requests: DataFrame, lookback_days: int, measures: Sequence[str] = ("close",)
+) -> DataFrame:
+    """The bars that the requests can see, with their bounds in the scan."""
+    return derived.price_bar(spark, d, measures, asked=requests, lookback_days=lookback_days)
+
+
 def indicators_panel(spark: SparkSession, d: str) -> DataFrame:
-    return indicators(derived.requests(spark, d), derived.price_bar(spark, d, ["close"]))
+    requests = derived.requests(spark, d)
+    return indicators(requests, _bars_for(spark, d, requests, INDICATOR_LOOKBACK_DAYS))
 
 
 def price_history(spark: SparkSession, d: str) -> DataFrame:
-    return pointintime.price_history(derived.requests(spark, d), derived.price_bar(spark, d))
+    requests = derived.requests(spark, d)
+    bars = _bars_for(spark, d, requests, HISTORY_LOOKBACK_DAYS, derived.PRICE_MEASURES)
+    return pointintime.price_history(requests, bars)
 
 
 def price_snapshots(spark: SparkSession, d: str) -> DataFrame:
-    return price_snapshot(derived.requests(spark, d), derived.price_bar(spark, d, ["close"]))
+    requests = derived.requests(spark, d)
+    return price_snapshot(requests, _bars_for(spark, d, requests, HISTORY_LOOKBACK_DAYS))
 
 
 def daily_changes(spark: SparkSession, d: str) -> DataFrame:
-    return pointintime.daily_changes(derived.requests(spark, d), derived.price_bar(spark, d, ["close"]))
+    requests = derived.requests(spark, d)
+    return pointintime.daily_changes(requests, _bars_for(spark, d, requests, HISTORY_LOOKBACK_DAYS))
 
 
 def prices_known_on(spark: SparkSession, d: str) -> DataFrame:
@@ -74,16 +89,19 @@ def prices_known_on(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facts_as_of(spark: SparkSession, d: str) -> DataFrame:
-    return pointintime.facts_as_of(derived.fundamental_fact(spark, d), derived.requests(spark, d))
+    requests = derived.requests(spark, d)
+    return pointintime.facts_as_of(derived.fundamental_fact(spark, d, asked=requests), requests)
 
 
 def facts_of_metric(spark: SparkSession, d: str) -> DataFrame:
-    facts, requests = derived.fundamental_fact(spark, d), derived.requests(spark, d)
+    requests = derived.requests(spark, d)
+    facts = derived.fundamental_fact(spark, d, asked=requests)
     return pointintime.facts_as_of(facts, requests, metrics=["net_income"])
 
 
 def facts_exact_period(spark: SparkSession, d: str) -> DataFrame:
-    facts, requests = derived.fundamental_fact(spark, d), derived.requests(spark, d)
+    requests = derived.requests(spark, d)
+    facts = derived.fundamental_fact(spark, d, asked=requests)
     return pointintime.facts_as_of(facts, requests, period_end=PERIOD_END)
 
 
@@ -182,23 +200,18 @@ def ingest_facts_unpivot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _quarterly_feed(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as rows and all quarter ends as columns, as a feed delivers them."""
-    by_metric = _quarterly_by_metric(spark, d)
-    quarters = [f"{year}-{end}" for year in range(1995, 2002) for end in ("03-31", "06-30", "09-30", "12-31")]
+    """One row per ticker, line item and period end, whatever the periods are."""
     items = F.array(
         F.struct(F.lit("Total Revenue").alias("line_item"), F.col("revenue").alias("figure")),
         F.struct(F.lit("Net Income").alias("line_item"), F.col("net_income").alias("figure")),
         F.struct(F.lit("Basic EPS").alias("line_item"), F.col("eps").alias("figure")),
         F.struct(F.lit("Gross Profit").alias("line_item"), F.col("revenue").alias("figure")),
     )
-    long = by_metric.select("ticker", F.col("period_end").cast("string").alias("period_end"), F.inline(items))
-    return long.groupBy("ticker", "line_item").agg(
-        *[F.max(F.when(F.col("period_end") == q, F.col("figure"))).cast("double").alias(q) for q in quarters]
-    )
+    return _quarterly_by_metric(spark, d).select("ticker", "period_end", F.inline(items))
 
 
 def ingest_facts_clean(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.clean_facts(_quarterly_feed(spark, d))
+    return ingest.clean_fact_rows(_quarterly_feed(spark, d))
 
 
 def _news_feed(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +240,7 @@ def ingest_news_dedup(spark: SparkSession, d: str) -> DataFrame:
     """The whole feed meets a table that already holds its English items."""
     feed = _news_feed(spark, d)
     stored = news.clean_news(feed.where("lang = 'en'")).where("published_at is not null")
-    return news.ingest_news(stored, feed, "1999-09-30", max_items=8)
+    return news.ingest_news(stored, feed, "1999-09-30", max_items=8, ingested_at=CLOCK)
 
 
 def news_undated(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +296,8 @@ def ingest_all_counts(spark: SparkSession, d: str) -> DataFrame:
 # -- quality --------------------------------------------------------------------
 
 def lookahead_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return quality.lookahead_leaks(derived.fundamental_fact(spark, d), derived.requests(spark, d), FACT_KEYS)
+    requests = derived.requests(spark, d)
+    return quality.lookahead_leaks(derived.fundamental_fact(spark, d, asked=requests), requests, FACT_KEYS)
 
 
 def leak_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -292,7 +306,8 @@ def leak_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def asof_bound_check(spark: SparkSession, d: str) -> DataFrame:
     requests = derived.requests(spark, d)
-    history = pointintime.price_history(requests, derived.price_bar(spark, d, ["open", "high", "low", "close", "volume"]))
+    bars = _bars_for(spark, d, requests, HISTORY_LOOKBACK_DAYS, derived.PRICE_MEASURES)
+    history = pointintime.price_history(requests, bars)
     return quality.asof_bound_check(requests, history, news.news_top_k(requests, derived.news_item(spark, d)))
 
 
@@ -435,8 +450,9 @@ def purge_runs(spark: SparkSession, d: str) -> DataFrame:
 # -- panel and text -----------------------------------------------------------------
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
+    requests = derived.requests(spark, d)
     return panel.research_panel(
-        derived.requests(spark, d), derived.price_bar(spark, d, ["close"]), derived.news_item(spark, d)
+        requests, _bars_for(spark, d, requests, INDICATOR_LOOKBACK_DAYS), derived.news_item(spark, d)
     )
 
 
@@ -454,7 +470,10 @@ def analyst_inputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _arguments(spark: SparkSession, d: str) -> DataFrame:
-    """Turns as debate arguments: each line a claim, the last one also a rebuttal after the opening."""
+    """Turns as debate arguments: each line a claim, the last one also a rebuttal after the opening.
+
+    A system turn instructs the speakers and is no argument of either side.
+    """
     lines = F.split("text", "\n")
     stance = F.when(F.col("role") == "user", STANCES[0]).otherwise(STANCES[1])
     none = F.array().cast("array<string>")
@@ -476,7 +495,7 @@ def debate_transcripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, d: str) -> DataFrame:
-    """The opening turn of each conversation as an analyst report, written as JSON and read back."""
+    """The opening turn of most conversations as an analyst report, written as JSON and read back."""
     size, lines = F.length("text").cast("double"), F.split("text", "\n")
     number = F.col("conv_id").cast("double")
     written = derived.source(spark, d, "conversations").where("turn = 0").select(
@@ -488,7 +507,12 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
             lines.alias("key_points"),
         )).alias("payload"),
     )
-    return responses.parse_reports(written).where("problem is null").drop("problem")
+    cut = F.expr("substring(payload, 1, length(payload) - 1)")
+    # Every ninth run's report is broken off, every tenth's is missing.
+    written = written.where(F.col("run_id").cast("long") % 10 != 9).withColumn(
+        "payload", F.when(F.col("run_id").cast("long") % 9 == 8, cut).otherwise(F.col("payload"))
+    )
+    return responses.parse_reports(written)
 
 
 def debater_inputs(spark: SparkSession, d: str) -> DataFrame:
@@ -521,8 +545,14 @@ def parse_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parse_arguments(spark: SparkSession, d: str) -> DataFrame:
-    """Arguments written as JSON and read back."""
-    written = _arguments(spark, d).select("run_id", F.to_json(F.struct("stance", "round", "claims", "rebuttal_to")).alias("payload"))
+    """Arguments written as JSON and read back; some are broken off, of no side, or without claims."""
+    kind = F.pmod(F.col("run_id").cast("long") + F.col("round"), F.lit(7))
+    made = _arguments(spark, d).withColumns({
+        "stance": F.when(kind == 1, "neutral").otherwise(F.col("stance")),
+        "claims": F.when(kind != 2, F.col("claims")),
+    })
+    payload = F.to_json(F.struct("stance", "round", "claims", "rebuttal_to"))
+    written = made.select("run_id", F.when(kind == 3, F.substring(payload, 1, 20)).otherwise(payload).alias("payload"))
     parsed = responses.parse_arguments(written)
     return parsed.select(
         "run_id", "stance", "round", "problem",
@@ -553,14 +583,16 @@ def normalise_messages(spark: SparkSession, d: str) -> DataFrame:
 # -- alternate indicators --------------------------------------------------------------
 
 def rsi_first_seed(spark: SparkSession, d: str) -> DataFrame:
-    result = indicators(derived.requests(spark, d), derived.price_bar(spark, d, ["close"]), seed="first")
+    requests = derived.requests(spark, d)
+    result = indicators(requests, _bars_for(spark, d, requests, INDICATOR_LOOKBACK_DAYS), seed="first")
     return result.select("ticker", "as_of", "rsi_14")
 
 
 def macd_short(spark: SparkSession, d: str) -> DataFrame:
     """Two decimals, more than 26 bars."""
+    requests = derived.requests(spark, d)
     result = indicators(
-        derived.requests(spark, d), derived.price_bar(spark, d, ["close"]),
+        requests, _bars_for(spark, d, requests, INDICATOR_LOOKBACK_DAYS),
         seed="first", digits=2, min_bars_macd=MACD_SLOW + 1,
     )
     return result.select("ticker", "as_of", "macd", "macd_signal", "macd_histogram")

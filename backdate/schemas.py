@@ -44,7 +44,7 @@ FACT_VALUE = T.DecimalType(28, 4)
 LATENCY = T.DecimalType(8, 3)
 
 # ---------------------------------------------------------------------------
-# Engine tables
+# The engine's tables, needed for equal results.
 # ---------------------------------------------------------------------------
 COMPANY = "ticker string not null, name string not null, sector string, exchange string"
 
@@ -94,12 +94,18 @@ TABLES = {
     "verdict": VERDICT,
 }
 
+# What a row says where its writer says nothing.
+DEFAULTS = {
+    "run": {"status": "running", "debate_rounds": DEBATE_ROUNDS},
+    "agent_message": {"attempt": 1, "success": True},
+}
+
 PRICE_KEYS = ["ticker", "trade_date"]
 FACT_KEYS = ["ticker", "metric", "period_end"]
 NEWS_KEYS = ["ticker", "headline", "published_at"]
 
 # ---------------------------------------------------------------------------
-# Landing feeds and payloads
+# Landing feeds and payloads, needed to read the same inputs.
 # ---------------------------------------------------------------------------
 PRICE_FEED = (
     "ticker string, trade_date date, open double, high double, low double, close double, volume bigint"

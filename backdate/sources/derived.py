@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from backdate.functions.text import first_sentences
-from backdate.operators.versions import build_versions, last_per_key
+from backdate.operators.versions import build_versions
 from backdate.schemas import FACT_KEYS, FACT_LAG_DAYS, MODES, PRICE_KEYS, SUMMARY_SENTENCES
 
 REQUEST_DATES = ("1997-06-30", "1999-03-01", "2001-06-30")
@@ -66,21 +66,31 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _compared(keys: Sequence[str], needed: Sequence[str]) -> list[str]:
+    """The columns that order repeats of a key and day, up to the last one that is needed: what follows changes nothing."""
+    order = [c for c in LINE_ORDER if c not in keys]
+    return order[: 1 + max(order.index(c) for c in needed if c in order)]
+
+
 def _lines(
-    spark: SparkSession, sf_dir: str, keys: Sequence[str], needed: Sequence[str], where: str | None = None
+    spark: SparkSession, sf_dir: str, where: str | None = None, asked: DataFrame | None = None, lookback_days: int | None = None
 ) -> DataFrame:
-    """Line items, the last one per key and observation day.
+    """Line items; ``where`` is on their own columns, so that it reaches the scan.
 
-    Reduced on the raw columns: they are narrower than the figures made of them,
-    and those are then computed for the kept rows only. The order is compared up
-    to the last column that is needed; what follows it could not change them.
+    ``asked`` are requests: lines shipped after the last of them, or longer ago
+    than the look-back of the first, are left out, also in the scan.
     """
-    order = [c for c in LINE_ORDER if c not in keys]
-    compared = order[: 1 + max(order.index(c) for c in needed if c in order)]
     lines = source(spark, sf_dir, "lineitem")
     if where is not None:
         lines = lines.where(where)
-    return last_per_key(lines.select(*keys, *compared), keys, compared)
+    if asked is not None:
+        after = asked.agg(F.date_add(F.max("as_of"), 1).cast("timestamp_ntz")).scalar()
+        lines = lines.where(F.col("l_shipdate") < after)
+        if lookback_days is not None:
+            first = asked.agg(F.min("as_of").alias("first")).where(F.col("first").isNotNull())
+            oldest = first.select(F.date_sub("first", lookback_days).cast("timestamp_ntz")).scalar()
+            lines = lines.where(F.col("l_shipdate") >= oldest)
+    return lines
 
 
 PRICE_MEASURES = ("open", "high", "low", "close", "volume")
@@ -88,12 +98,13 @@ PRICE_MEASURES = ("open", "high", "low", "close", "volume")
 
 def price_observations(
     spark: SparkSession, sf_dir: str, measures: Sequence[str] = PRICE_MEASURES,
-    where: str | None = None, carry: Sequence[str] = (),
+    where: str | None = None, carry: Sequence[str] = (), asked: DataFrame | None = None, lookback_days: int | None = None,
 ) -> DataFrame:
-    """The price log: one observation per supplier, ship day and line number.
+    """The price log: supplier, ship day and the day observed, 30 days later per line number.
 
-    It is observed 30 days later per line number. Only the ``measures`` a query
-    needs go along with the compared ``adj_close``, and the raw columns to ``carry``.
+    Only the ``measures`` a query needs go along with the compared ``adj_close``,
+    and the raw columns to ``carry``. Several lines of a day and number are as
+    many observations.
     """
     raw, price, day = F.col, F.col("l_extendedprice").cast("decimal(18,4)"), F.to_date("l_shipdate")
 
@@ -102,45 +113,48 @@ def price_observations(
         return (raw("l_extendedprice").cast("decimal(14,2)") * rate).cast("decimal(18,4)")
 
     made = {
-        "open": ("l_extendedprice", lambda: price),
-        "high": ("l_tax", lambda: share(1 + raw("l_tax").cast("decimal(4,2)"))),
-        "low": ("l_discount", lambda: share(1 - raw("l_discount").cast("decimal(4,2)"))),
-        "close": ("l_extendedprice", lambda: price),
-        "volume": ("l_quantity", lambda: raw("l_quantity").cast("long")),
+        "open": lambda: price,
+        "high": lambda: share(1 + raw("l_tax").cast("decimal(4,2)")),
+        "low": lambda: share(1 - raw("l_discount").cast("decimal(4,2)")),
+        "close": lambda: price,
+        "volume": lambda: raw("l_quantity").cast("long"),
     }
-    needed = ["l_extendedprice", *[made[m][0] for m in measures], *carry]
-    return _lines(spark, sf_dir, ["l_shipdate", "l_suppkey", "l_linenumber"], needed, where).select(
+    return _lines(spark, sf_dir, where, asked, lookback_days).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         day.alias("trade_date"),
-        *[made[m][1]().alias(m) for m in measures],
+        *[made[m]().alias(m) for m in measures],
         price.alias("adj_close"),
         F.date_add(day, 30 * (F.col("l_linenumber") - 1)).alias("observed_on"),
         *carry,
     )
 
 
+RAW_OF_MEASURE = {
+    "open": "l_extendedprice", "high": "l_tax", "low": "l_discount", "close": "l_extendedprice", "volume": "l_quantity",
+}
+
+
 def price_bar(
-    spark: SparkSession, sf_dir: str, measures: Sequence[str] = PRICE_MEASURES, where: str | None = None
+    spark: SparkSession, sf_dir: str, measures: Sequence[str] = PRICE_MEASURES, where: str | None = None,
+    asked: DataFrame | None = None, lookback_days: int | None = None,
 ) -> DataFrame:
-    log = price_observations(spark, sf_dir, measures, where)
-    return build_versions(log, PRICE_KEYS, ["adj_close"], default_known_from=F.col("trade_date"))
+    """Versions of daily prices; with ``asked``, of the days those requests can see."""
+    order = _compared(["l_linenumber"], ["l_extendedprice", *[RAW_OF_MEASURE[m] for m in measures]])
+    log = price_observations(spark, sf_dir, measures, where, order, asked, lookback_days)
+    return build_versions(log, PRICE_KEYS, ["adj_close"], order, F.col("trade_date"))
 
 
 def fact_observations(
-    spark: SparkSession, sf_dir: str, where: str | None = None, carry: Sequence[str] = ()
+    spark: SparkSession, sf_dir: str, where: str | None = None, carry: Sequence[str] = (), asked: DataFrame | None = None
 ) -> DataFrame:
-    """The figure log: one observation per supplier, return flag and ship day.
-
-    It states the quarter's figure, later the later in the quarter it shipped.
-    """
+    """The figure log: supplier, metric and quarter, observed later the later in the quarter it shipped."""
     shipped = F.to_date("l_shipdate")
     start = F.to_date(F.trunc(shipped, "quarter"))
     end = F.date_sub(F.add_months(start, 3), 1)
     metric = F.when(F.col("l_returnflag") == "A", "revenue").when(
         F.col("l_returnflag") == "N", "net_income"
     ).otherwise("eps")
-    needed = ["l_orderkey", "l_extendedprice", *carry]
-    return _lines(spark, sf_dir, ["l_shipdate", "l_suppkey", "l_returnflag"], needed, where).select(
+    return _lines(spark, sf_dir, where, asked).select(
         _ticker(F.col("l_suppkey")).alias("ticker"),
         metric.alias("metric"),
         end.alias("period_end"),
@@ -153,11 +167,13 @@ def fact_observations(
     )
 
 
-def fundamental_fact(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
-    log = fact_observations(spark, sf_dir, where)
-    return build_versions(
-        log, FACT_KEYS, ["value"], default_known_from=F.date_add("period_end", FACT_LAG_DAYS)
-    )
+def fundamental_fact(
+    spark: SparkSession, sf_dir: str, where: str | None = None, asked: DataFrame | None = None
+) -> DataFrame:
+    """Versions of quarterly figures; with ``asked``, complete for quarters that were over on those dates."""
+    order = _compared([], ["l_orderkey", "l_extendedprice"])
+    log = fact_observations(spark, sf_dir, where, order, asked)
+    return build_versions(log, FACT_KEYS, ["value"], order, F.date_add("period_end", FACT_LAG_DAYS))
 
 
 def news_item(spark: SparkSession, sf_dir: str) -> DataFrame:

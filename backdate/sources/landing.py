@@ -18,8 +18,15 @@ def _read(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
     return reader.format(fmt).load(path)
 
 
-def in_ingest_window(prices: DataFrame, as_of: dt.date | str, lookback_days: int) -> DataFrame:
-    """Days ``[as_of - lookback, as_of]``: both ends belong to the feed window."""
+def in_ingest_window(prices: DataFrame, as_of: dt.date | str | DataFrame, lookback_days: int) -> DataFrame:
+    """Days ``[as_of - lookback, as_of]``: both ends belong to the feed window.
+
+    With a table of requests for ``as_of``, days in a window of the row's own ticker.
+    """
+    if isinstance(as_of, DataFrame):
+        wanted = as_of.select(F.col("ticker").alias("_t"), "as_of").distinct()
+        inside = (F.col("trade_date") >= F.date_sub("as_of", lookback_days)) & (F.col("trade_date") <= F.col("as_of"))
+        return prices.join(wanted, (F.col("ticker") == F.col("_t")) & inside, "left_semi")
     last = as_date(as_of)
     return prices.where((F.col("trade_date") >= F.date_sub(last, lookback_days)) & (F.col("trade_date") <= last))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from backdate.schemas import TABLES
+from backdate.schemas import DEFAULTS, TABLES
 
 
 def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
@@ -17,11 +19,39 @@ def read_table(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """Declared columns, order and types; columns that are absent become NULL."""
-    return df.select(*[
-        (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-        for f in T.StructType.fromDDL(TABLES[table])
-    ])
+    """Declared columns, order and types; absent columns take the table's default, else NULL.
+
+    A column declared ``not null`` that is absent and has no default raises here,
+    a NULL in one when the rows are written.
+    """
+    fields = T.StructType.fromDDL(TABLES[table]).fields
+    defaults = DEFAULTS.get(table, {})
+    lacking = [f.name for f in fields if not f.nullable and f.name not in df.columns and f.name not in defaults]
+    if lacking:
+        raise ValueError(f"{table} needs {', '.join(lacking)}")
+
+    def column(f: T.StructField) -> Column:
+        default = F.lit(defaults.get(f.name))
+        value = F.col(f.name) if f.name in df.columns else default
+        if f.name in df.columns and f.name in defaults:
+            value = F.coalesce(value, default)
+        value = value.cast(f.dataType)
+        if not f.nullable:
+            value = F.when(value.isNull(), F.raise_error(F.lit(f"NULL in {table}.{f.name}"))).otherwise(value)
+        return value.alias(f.name)
+
+    return df.select(*[column(f) for f in fields])
+
+
+def begin_runs(requests: DataFrame, mode: str, started_at: dt.datetime | str, **models: str) -> DataFrame:
+    """Run rows for requests: ``running`` since the caller's clock, named by a hash of what makes a run."""
+    start = F.lit(str(started_at)).cast("timestamp")
+    columns = {name: F.lit(value) for name, value in models.items()}
+    return conform(
+        requests.select("ticker", F.col("as_of").alias("as_of_date"), F.lit(mode).alias("mode"), start.alias("started_at")).withColumns({
+            "id": F.substring(F.sha2(F.concat_ws("|", "ticker", "as_of_date", "mode", "started_at"), 256), 1, 32), **columns,
+        }), "run",
+    )
 
 
 def append_rows(df: DataFrame, path: str, table: str) -> None:
@@ -29,17 +59,20 @@ def append_rows(df: DataFrame, path: str, table: str) -> None:
     conform(df, table).write.mode("append").parquet(path)
 
 
-def write_versions(df: DataFrame, path: str, key_date: str, files_per_year: int = 1) -> None:
+def write_versions(df: DataFrame, path: str, key_date: str, keys: Sequence[str], files_per_year: int) -> None:
     """Replace the touched years of a versioned table.
 
-    Partitioned by year of its valid time and clustered by ticker in the files,
-    so date bounds prune folders and ticker lookups skip row groups.
+    Partitioned by year of its valid time; a year's rows are dealt to
+    ``files_per_year`` files by a hash of the whole key, so a hot ticker is in
+    all of them, and sorted by ticker and date inside, so that both prune.
     """
-    year = F.year(key_date)
+    spread = F.pmod(F.xxhash64(*keys), F.lit(files_per_year))
+    tasks = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
     (
-        df.withColumn("valid_year", year)
-        .repartition("valid_year", F.pmod(F.xxhash64("ticker"), F.lit(files_per_year)))
+        df.withColumn("valid_year", F.year(key_date)).withColumn("_file", spread)
+        .repartition(max(int(tasks), files_per_year), "valid_year", "_file")
         .sortWithinPartitions("valid_year", "ticker", key_date)
+        .drop("_file")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("valid_year")
@@ -47,8 +80,8 @@ def write_versions(df: DataFrame, path: str, key_date: str, files_per_year: int
     )
 
 
-def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -> None:
-    """Save as a catalog table bucketed and sorted by its whole key.
+def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str) -> None:
+    """Save as a catalog table at ``path``, bucketed and sorted by its whole key.
 
     Per-key windows and joins on that key then read it without a shuffle. The
     whole key spreads evenly; the ticker alone would put a hot one in one bucket.
@@ -56,7 +89,7 @@ def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int) -
     (
         df.repartition(buckets, *keys)
         .write.mode("overwrite").format("parquet")
-        .bucketBy(buckets, *keys).sortBy(*keys)
+        .bucketBy(buckets, *keys).sortBy(*keys).option("path", path)
         .saveAsTable(name)
     )
 
@@ -66,32 +99,55 @@ def dump(df: DataFrame, path: str, order_by: Sequence[str], fmt: str = "json") -
     df.orderBy(*order_by).write.mode("overwrite").format(fmt).save(path)
 
 
-def publish(tables: Mapping[str, DataFrame], root: str, version: int) -> None:
-    """Write a set of tables under a new version, then name it in one manifest row.
+MANIFEST = "version long, tables array<string>, writer string, batch long"
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """One row per publish; empty before the first."""
+    try:
+        return spark.read.schema(MANIFEST).json(f"{root}/_manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def publish(
+    tables: Mapping[str, DataFrame], root: str, version: int | None = None, batch: tuple[str, int] | None = None
+) -> int:
+    """Write a set of tables under a new version, then name it in one manifest row; returns the version.
 
     Readers see the old set until the manifest commits, and the whole new set
-    after. A version is written once: running it again replaces unnamed data.
+    after. The version is the next one, or a higher one that the caller gives;
+    one that is already published raises. ``batch`` names a writer and its batch:
+    the same batch again publishes nothing and returns what it had published.
     """
     spark = next(iter(tables.values())).sparkSession
-    if version <= (published_version(spark, root) or 0):
-        return
+    known = manifest(spark, root)
+    if batch is not None:
+        done = known.where((F.col("writer") == batch[0]) & (F.col("batch") == batch[1])).first()
+        if done is not None:
+            return done["version"]
+    newest = known.agg(F.max("version")).first()[0] or 0
+    version = newest + 1 if version is None else version
+    if version <= newest:
+        raise ValueError(f"version {version} is not above the published {newest} under {root}")
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/{name}/version={version}")
-    manifest = spark.createDataFrame([(version, sorted(tables))], "version long, tables array<string>")
-    manifest.coalesce(1).write.mode("append").json(f"{root}/_manifest")
+    writer, number = batch or (None, None)
+    row = spark.createDataFrame([(version, sorted(tables), writer, number)], MANIFEST)
+    row.coalesce(1).write.mode("append").json(f"{root}/_manifest")
+    return version
 
 
 def published_version(spark: SparkSession, root: str) -> int | None:
-    """Newest version named in the manifest (one row per publish)."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_manifest")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    manifest = spark.read.schema("version long, tables array<string>").json(f"{root}/_manifest")
-    return manifest.agg(F.max("version")).first()[0]
+    """Newest version named in the manifest."""
+    return manifest(spark, root).agg(F.max("version")).first()[0]
 
 
 def read_published(spark: SparkSession, root: str, table: str) -> DataFrame:
-    version = published_version(spark, root)
-    if version is None:
-        raise FileNotFoundError(f"nothing published under {root}")
-    return spark.read.parquet(f"{root}/{table}/version={version}")
+    """A table as of the newest version that has it."""
+    found = manifest(spark, root).where(F.array_contains("tables", table)).agg(F.max("version")).first()[0]
+    if found is None:
+        raise FileNotFoundError(f"no {table} published under {root}")
+    return spark.read.parquet(f"{root}/{table}/version={found}")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from backdate.sources.tables import publish, published_version, read_published
+from backdate.sources.tables import manifest, publish, read_published
 
 
 def append_observations(stream: DataFrame, path: str, checkpoint: str, valid_date: str) -> StreamingQuery:
@@ -39,19 +39,20 @@ def apply_stream(
 ) -> StreamingQuery:
     """Apply each micro-batch to a published versioned table.
 
-    ``apply(current, batch)`` returns the next state. A batch's id fixes the
-    version it publishes, so a batch that is run again after a failure changes
-    nothing twice. Each batch rewrites the table: meant for daily files, while
-    :func:`append_observations` is the form for frequent small batches.
+    ``apply(current, batch)`` returns the next state. The manifest holds which
+    query (by the id in its checkpoint) and batch made each version, so a batch
+    that is run again after a failure changes nothing twice, while a query with
+    a new checkpoint goes on from the newest version. Each batch rewrites the
+    table: meant for daily files, while :func:`append_observations` is the form
+    for frequent small batches.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        version, newest = batch_id + 1, published_version(spark, root)
-        if newest is not None and version <= newest:
-            return
-        current = initial if newest is None else read_published(spark, root, table)
-        publish({table: apply(current, batch)}, root, version)
+        query = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        known = manifest(spark, root).where(F.array_contains("tables", table)).limit(1).count()
+        current = read_published(spark, root, table) if known else initial
+        publish({table: apply(current, batch)}, root, batch=(query, batch_id))
 
     return (
         stream.writeStream.foreachBatch(one_batch)

@@ -10,7 +10,7 @@ import pytest
 import seed
 from pyspark.sql import functions as F
 
-from backdate.functions.text import plain_number, quoted_list
+from backdate.functions.text import json_number, json_string, plain_number, quoted_list
 from backdate.operators import evaluate, panel, responses
 
 
@@ -109,15 +109,28 @@ def test_panel_prompt_and_analyst_input(spark):
         "  rsi_14: None", "  macd: None", "  macd_signal: None", "  macd_histogram: None", "", "Recent news:",
         "  (no recent news available)", "", "Based only on the data above, decide buy, hold, or sell.",
     ]
-    assert "  [2024-02-08] (Wall Street Journal) iPhone Sales in China Decline for Third Consecutive Quarter — Shipments fell 13%." in prompts["2024-03-01"]
+    assert "  [2024-02-08] (Market Courier) Fewer phones shipped in the east — The third quarter in a row." in prompts["2024-03-01"]
     given = {str(r.as_of): r for r in panel.analyst_inputs(rows).collect()}
     assert json.loads(given["2024-01-05"].indicators_json) == {"rsi_14": None, "macd": None, "macd_signal": None, "macd_histogram": None}
     assert json.loads(given["2024-03-01"].news_json)[0]["date"] == "2024-02-08"
     assert json.loads(given["2024-03-01"].snapshot_json)["last_close"] == 180.75
+    for r in given.values():
+        for text in (r.snapshot_json, r.indicators_json, r.news_json):
+            assert text == json.dumps(json.loads(text))
+
+
+def test_json_is_written_as_python_writes_it(spark):
+    numbers = [0.0, -0.0, 12345678.5, 0.00012, -0.00095, 1e16, 1.5e-05, 123456789012345.6, 1e15, 180.75, 100.0, 3e17, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(numbers)], "i int, x double")
+    assert [r[0] for r in df.orderBy("i").select(json_number(F.col("x"))).collect()] == [json.dumps(x) for x in numbers]
+    texts = ["", "plain", 'say "x" \\ y', "a\nb\tc\rd\fe\bf", "ö—é", "😀 astral", "\x00\x1f\x7f", "\u2028", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    assert [r[0] for r in df.orderBy("i").select(json_string(F.col("x"))).collect()] == [json.dumps(x) for x in texts]
 
 
 def test_texts_read_like_python_literals(spark):
-    lists = [[], ["a"], ["it's", 'say "x"', "both ' and \""], ["line\nbreak", "tab\t", "back\\slash"], ["é—"]]
+    lists = [[], ["a"], ["it's", 'say "x"', "both ' and \""], ["line\nbreak", "tab\t", "back\\slash"], ["é—"],
+             ["\x00\x1b\x7f", "soft\xadhyphen", "no\xa0break", "\u200b\u2028", "😀\U000e0001"]]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, x array<string>")
     got = [r[0] for r in df.orderBy("i").select(quoted_list(F.col("x"))).collect()]
     assert got == [repr(x) for x in lists]

@@ -128,21 +128,32 @@ def test_folds_equal_a_step_by_step_loop(spark):
         assert rows[n].macd_histogram == pytest.approx(fast - slow - signal, abs=0.0000501)
 
 
-def test_first_seed_variant_equals_pandas(spark):
-    import pandas as pd
-
+def test_first_seed_variant_carries_averages_over_gaps(spark):
     closes = [10, 11, 12, None, 13, 12, 14, 15, 13, 12, 11, 12, 14, 15, 16, 17, None, None, 15, 18, 17, 16,
               19, 20, 18, 17, 21, 22, 20, 19, 23]
-    s = pd.Series([float("nan") if c is None else float(c) for c in closes])
-    delta = s.diff()
-    gain = delta.clip(lower=0).ewm(alpha=1 / 14, min_periods=14, adjust=False).mean().iloc[-1]
-    loss = (-delta.clip(upper=0)).ewm(alpha=1 / 14, min_periods=14, adjust=False).mean().iloc[-1]
-    line = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
-    signal = line.ewm(span=9, adjust=False).mean()
+
+    def faded(values, keep):
+        """Weighted mean from the first value on; a gap fades what is held, and the next value weighs against that."""
+        held, old = None, 1.0
+        for v in values:
+            if held is None:
+                held = v
+                continue
+            old *= keep
+            if v is not None:
+                held, old = (held * old + v * (1 - keep)) / (old + 1 - keep), 1.0
+            yield held
+
+    moves = [None if a is None or b is None else b - a for a, b in zip(closes, closes[1:])]
+    *_, gain = faded([m if m is None else max(m, 0) for m in moves], 13 / 14)
+    *_, loss = faded([m if m is None else max(-m, 0) for m in moves], 13 / 14)
+    lines = [f - s for f, s in zip(faded(closes, 11 / 13), faded(closes, 25 / 27))]
+    *_, signal = faded([0.0, *lines], 0.8)
+    line = lines[-1]
     asked = seed.requests(spark, ("T", "2024-06-30"))
     row = indicators(asked, seed.close_series(spark, closes), seed="first", digits=2, min_bars_macd=27).first()
-    assert row.rsi_14 == round(100 - 100 / (1 + gain / loss), 2)
-    assert row.macd == round(line.iloc[-1], 2) and row.macd_signal == round(signal.iloc[-1], 2)
+    assert row.rsi_14 == round(100 * gain / (gain + loss), 2)
+    assert row.macd == round(line, 2) and row.macd_signal == round(signal, 2)
     short = indicators(seed.requests(spark, ("T", "2024-01-26")), seed.close_series(spark, closes),
                        seed="first", digits=2, min_bars_macd=27).first()
     assert short.n_bars == 26 and short.macd is None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 import seed
 from pyspark.sql import functions as F
 
@@ -32,9 +33,10 @@ def test_versions_are_replaced_by_year(spark, tmp_path):
     path = str(tmp_path / "bars")
     bars = seed.bars(spark)
     old = bars.withColumn("trade_date", F.add_months("trade_date", -12))
-    tables.write_versions(old.unionByName(bars), path, "trade_date")
-    tables.write_versions(bars.where("trade_date < '2024-02-01'"), path, "trade_date")
+    tables.write_versions(old.unionByName(bars), path, "trade_date", PRICE_KEYS, 4)
+    tables.write_versions(bars.where("trade_date < '2024-02-01'"), path, "trade_date", PRICE_KEYS, 4)
     stored = spark.read.parquet(path)
+    assert len(stored.where("valid_year = 2023").inputFiles()) == 8  # four of either year, one ticker in all
     assert stored.where("valid_year = 2023").count() == 43 and stored.where("valid_year = 2024").count() == 21
 
 
@@ -53,16 +55,16 @@ def test_small_batch_does_not_shuffle_the_table(spark, tmp_path):
     applied = ingest.apply_prices(current, batch, "2024-06-01")
     applied.collect()
     final = applied._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
-    # Below a shuffle there is only the batch, grouped by key.
+    # Below a shuffle there is only the batch, cut to one row per key.
     for above, below in zip(final, final[1:]):
-        assert not ("Exchange hashpartitioning" in above and "Aggregate" not in below)
+        assert not ("Exchange hashpartitioning" in above and "Aggregate" not in below and "WindowGroupLimit" not in below)
     assert {r.action: r.n_rows for r in versions.action_counts(applied).collect()} == {"untouched": 41, "closed": 2, "opened": 2}
 
 
 def test_bucketed_table_is_read_without_a_shuffle(spark, tmp_path):
     spark.sql(f"CREATE DATABASE bucketed LOCATION '{tmp_path / 'db'}'")
     try:
-        tables.save_bucketed(seed.bars(spark), "bucketed.bars", PRICE_KEYS, 4)
+        tables.save_bucketed(seed.bars(spark), "bucketed.bars", PRICE_KEYS, 4, str(tmp_path / "bars"))
         stored = spark.table("bucketed.bars")
         assert shuffles(versions.latest_version(stored, PRICE_KEYS)) == []
         assert versions.latest_version(stored, PRICE_KEYS).count() == 41
@@ -80,8 +82,26 @@ def test_publish_is_all_or_nothing_and_repeatable(spark, tmp_path):
     assert tables.read_published(spark, root, "a").count() == 3
     tables.publish({"a": spark.range(7), "b": spark.range(8)}, root, 2)
     assert [tables.read_published(spark, root, t).count() for t in "ab"] == [7, 8]
-    tables.publish({"a": spark.range(1)}, root, 2)
+    with pytest.raises(ValueError, match="not above the published 2"):
+        tables.publish({"a": spark.range(1)}, root, 2)
     assert tables.read_published(spark, root, "a").count() == 7
+    assert tables.publish({"a": spark.range(4)}, root, batch=("q", 0)) == 3
+    assert tables.publish({"a": spark.range(9)}, root, batch=("q", 0)) == 3
+    assert tables.publish({"a": spark.range(9)}, root, batch=("r", 0)) == 4
+    assert [tables.read_published(spark, root, t).count() for t in "ab"] == [9, 8]
+
+
+def test_run_rows_have_defaults_and_no_null_keys(spark, tmp_path):
+    asked = seed.requests(spark, ("AAPL", "2024-03-01"), ("MSFT", "2024-03-01"))
+    runs = tables.begin_runs(asked, "baseline", "2024-03-02 10:00:00", analyst_model="m")
+    again = tables.begin_runs(asked, "baseline", "2024-03-02 10:00:00", analyst_model="m")
+    rows = runs.collect()
+    assert {r.status for r in rows} == {"running"} and {r.debate_rounds for r in rows} == {1}
+    assert {r.analyst_model for r in rows} == {"m"} and len({r.id for r in rows}) == 2 and set(rows) == set(again.collect())
+    with pytest.raises(ValueError, match="run needs id"):
+        tables.conform(asked.withColumnRenamed("as_of", "as_of_date").withColumn("mode", F.lit("baseline")), "run")
+    with pytest.raises(Exception, match="NULL in run.mode"):
+        tables.append_rows(runs.withColumn("mode", F.lit(None).cast("string")), str(tmp_path / "run"), "run")
 
 
 def test_lineage_is_cut_in_the_shared_folder(spark):
@@ -105,7 +125,7 @@ def test_stream_applies_each_file_once(spark, tmp_path):
         day = batch.agg(F.max("observed_on")).first()[0]
         return versions.next_state(ingest.apply_facts(current, batch.drop("observed_on"), day))
 
-    def run():
+    def run(check=check):
         stream = spark.readStream.schema(FACT_LOG).parquet(landing)
         query = streaming.apply_stream(stream, root, "fundamental_fact", initial, apply, check)
         assert query.awaitTermination(120)
@@ -116,8 +136,17 @@ def test_stream_applies_each_file_once(spark, tmp_path):
     run()
     run()
     assert tables.published_version(spark, root) == 2
-    rows = {(r.ticker, float(r.value), str(r.known_until)) for r in tables.read_published(spark, root, "fundamental_fact").collect()}
-    assert rows == {("A", 1.0, "2024-03-05"), ("A", 1.5, "9999-12-31"), ("B", 2.0, "9999-12-31")}
+
+    def rows():
+        stored = tables.read_published(spark, root, "fundamental_fact").collect()
+        return {(r.ticker, float(r.value), str(r.known_until)) for r in stored}
+
+    assert rows() == {("A", 1.0, "2024-03-05"), ("A", 1.5, "9999-12-31"), ("B", 2.0, "9999-12-31")}
+    # A new checkpoint counts its batches from 0 again; what it reads is applied all the same.
+    landing = str(tmp_path / "other")
+    spark.createDataFrame(log_rows(("C", 7.0, "2024-03-06")), FACT_LOG).write.parquet(landing)
+    run(str(tmp_path / "check2"))
+    assert tables.published_version(spark, root) == 3 and ("C", 7.0, "9999-12-31") in rows() and len(rows()) == 4
 
 
 def test_streamed_log_gives_the_same_versions(spark, tmp_path):
