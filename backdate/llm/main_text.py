@@ -178,7 +178,7 @@ def _letters(node: Node) -> tuple[int, int]:
 
 
 TEXT_BLOCKS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6 li td dd dt figcaption".split())
-WRAPS = frozenset("div section article main td body".split())
+WRAPS = frozenset("div section article main body".split())
 
 
 def best_container(nodes: list[Node]) -> tuple[Node, int] | None:

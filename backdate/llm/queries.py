@@ -54,7 +54,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "end", "ref_id", "ref_start", "ref_end", "equal_words"
+    )
 
 
 @query

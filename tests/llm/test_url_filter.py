@@ -1,0 +1,77 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from backdate.llm.url_filter import filter_urls, lexical, split_url
+
+PAGES = "page_id long, url string, html string, label string, host string, rule string, suffix string"
+
+
+def pages(spark, urls):
+    return spark.createDataFrame([(i, u, None, "x", "y", "z", "s") for i, u in enumerate(urls)], PAGES)
+
+
+def judged(spark, urls, **options):
+    return {r.page_id: r for r in filter_urls(pages(spark, urls), **options).collect()}
+
+
+def test_rules(spark):
+    cases = {
+        "http://A.Example.COM/en/x": ("a.example.com", "/en/x", "example.com/en/", "block"),
+        "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://b.www.example.com/en/?q": ("b.www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "http://x.com/": ("x.com", "/", "com/", "allow"),
+        "http://x.com": ("x.com", "", None, None),
+        "http://telecom/": ("telecom", "/", None, None),
+        "x://p.net/es/1#a": ("p.net", "/es/1", "net/es/", "block"),
+        "x://net/fr/": ("net", "/fr/", "net/fr/", "block"),
+        "x://p.net/ES/1": ("p.net", "/ES/1", None, None),
+        "a://b://c.com/": ("b:", "//c.com/", None, None),
+        "http://q.com?x=/y": ("q.com", "", None, None),
+        "no scheme.com/": ("", "", None, None),
+        "": ("", "", None, None),
+        None: ("", "", None, None),
+        "http://İ.com/": ("İ.com", "/", "com/", "allow"),
+    }
+    got = judged(spark, list(cases))
+    for i, (url, (host, path, rule, verdict)) in enumerate(cases.items()):
+        r = got[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule), url
+        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block"), url
+
+
+def test_features(spark):
+    u = "https://a-b.example.org/x/y9/?a=1&b=22#f"
+    r = lexical(split_url(pages(spark, [u, ""]))).orderBy("page_id").collect()
+    assert (r[0].depth, r[0].host_labels, r[0].n_params, r[0].n_hyphens, r[0].has_fragment, r[0].secure) == (2, 3, 2, 1, 1, 1)
+    assert r[0].digit_ratio == pytest.approx(4 / len(u))
+    from collections import Counter
+    from math import log2
+
+    assert r[0].entropy == pytest.approx(-sum(n / len(u) * log2(n / len(u)) for n in Counter(u).values()))
+    assert r[1].entropy == 0.0 and r[1].digit_ratio == 0.0
+
+
+def test_held_out_accuracy(spark):
+    """Labelled by section; the trees find it on suffixes they have not seen."""
+    rules = [("block", "com/bad/"), ("allow", "com/good/"), ("block", "net/bad/"), ("allow", "net/good/")]
+    urls = [f"http://h{i % 37}.{s}/{k}/{i}" for i in range(400) for s in ("com", "net") for k in ("bad", "good")]
+    unseen = [f"http://o{i}.org/{k}/{i}" for i in range(50) for k in ("bad", "good")]
+    got = judged(spark, urls + unseen, rules=rules)
+    right = sum((got[len(urls) + i].verdict == "block") == ("bad" in u) for i, u in enumerate(unseen))
+    assert right >= 95
+    again = judged(spark, urls + unseen, rules=rules)
+    assert {i: r.block_score for i, r in got.items()} == {i: r.block_score for i, r in again.items()}
+
+
+def test_nothing_to_learn(spark):
+    assert {r.verdict for r in judged(spark, ["http://a.org/", None]).values()} == {"allow"}
+    assert {r.verdict for r in judged(spark, ["http://a.org/", "http://p.net/es/"]).values()} == {"block"}
+    empty = filter_urls(pages(spark, ["x"]).where("false"))
+    assert empty.count() == 0 and empty.columns[:5] == ["page_id", "host", "path", "rule", "verdict"]
+
+
+def test_no_python_in_the_plan(spark):
+    plan = filter_urls(pages(spark, ["http://a.com/", "http://p.net/es/"] * 9))._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow")) and F
