@@ -120,34 +120,52 @@ def coverage_gaps(requests: DataFrame, bars: DataFrame, min_rows: int = COVERAGE
 
 # -- declared constraints ---------------------------------------------------
 
-def _violations(table: str, rule: str, count: DataFrame) -> DataFrame:
-    return count.select(
-        F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
-        F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("violations"),
-    )
-
-
-def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One row: surplus rows over distinct keys."""
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return per_key.agg(F.sum(F.col("_n") - 1).alias("n"))
-
-
-def orphans(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-    """One row: child rows without a parent. Counted per key first, so a hot key is one row."""
-    per_key = child.where(F.col(child_key).isNotNull()).groupBy(F.col(child_key).alias("_k")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    return per_key.join(parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti").agg(
-        F.sum("_n").alias("n")
+def _counts(totals: DataFrame, names: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """One row of totals as one row per rule; ``names`` are (column, table, rule)."""
+    return totals.select(F.inline(F.array(*[
+        F.struct(
+            F.lit(table).alias("table_name"), F.lit(rule).alias("rule"),
+            F.coalesce(F.col(column), F.lit(0)).cast("long").alias("violations"),
+        ) for column, table, rule in names
+    ])))
+
+
+def _table_rules(df: DataFrame, table: str, key: Sequence[str], rules: Mapping[str, Column]) -> DataFrame:
+    """The key's surplus rows and all per-row rules of a table, in one pass: per key first, so a hot key is one row."""
+    broken = {f"_r{i}": (rule, condition) for i, (rule, condition) in enumerate(rules.items())}
+    counted = [F.count_if(condition).alias(c) for c, (_, condition) in broken.items()]
+    names = [(c, table, rule) for c, (rule, _) in broken.items()]
+    if not key:
+        return _counts(df.agg(*counted), names)
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), *counted)
+    totals = per_key.agg(F.sum(F.col("_n") - 1).alias("_surplus"), *[F.sum(c).alias(c) for c in broken])
+    return _counts(totals, [("_surplus", table, f"primary key ({', '.join(key)})"), *names])
+
+
+def _references(tables: Mapping[str, DataFrame], foreign_keys: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """Child rows without a parent for all foreign keys at once.
+
+    Each table gives its values as a child and as a parent in one pass; they
+    meet by value, counted before the shuffle.
+    """
+    held = -1
+    parts = []
+    for name, df in tables.items():
+        roles = [
+            F.struct(F.lit(f"{p}.{pk}").alias("domain"), F.col(ck).cast("string").alias("value"), F.lit(i).alias("rule"))
+            for i, (c, ck, p, pk) in enumerate(foreign_keys) if c == name
+        ] + [
+            F.struct(F.lit(f"{name}.{pk}").alias("domain"), F.col(pk).cast("string").alias("value"), F.lit(held).alias("rule"))
+            for pk in sorted({pk for _, _, p, pk in foreign_keys if p == name})
+        ]
+        if roles:
+            parts.append(df.select(F.inline(F.array(*roles))))
+    met = reduce(DataFrame.unionByName, parts).where(F.col("value").isNotNull()).groupBy("domain", "value").agg(
+        F.max(F.col("rule") == held).alias("_held"),
+        *[F.count_if(F.col("rule") == i).alias(f"_f{i}") for i in range(len(foreign_keys))],
     )
-
-
-def _row_rules(df: DataFrame, table: str, rules: Mapping[str, Column]) -> DataFrame:
-    """All per-row rules of a table in one scan."""
-    counted = df.agg(*[F.count_if(broken).alias(name) for name, broken in rules.items()])
-    long = counted.unpivot([], list(rules), "rule", "violations")
-    return long.select(F.lit(table).alias("table_name"), "rule", "violations")
+    totals = met.where(~F.col("_held")).agg(*[F.sum(f"_f{i}").alias(f"_f{i}") for i in range(len(foreign_keys))])
+    return _counts(totals, [(f"_f{i}", c, f"{ck} references {p}") for i, (c, ck, p, _) in enumerate(foreign_keys)])
 
 
 def constraint_violations(
@@ -160,23 +178,19 @@ def constraint_violations(
     """One row per declared rule with its number of violations.
 
     ``foreign_keys`` are (child table, column, parent table, column); ``allowed``
-    maps (table, column) to its permitted values. NULL passes an ``allowed`` rule.
+    maps (table, column) to its permitted values. NULL passes an ``allowed`` and a
+    foreign key rule. A table is read once for its own rules and once for all
+    foreign keys it takes part in.
     """
-    reports = [
-        _violations(t, f"primary key ({', '.join(k)})", duplicate_keys(tables[t], k))
-        for t, k in primary_keys.items()
-    ]
-    reports += [
-        _violations(c, f"{ck} references {p}", orphans(tables[c], ck, tables[p], pk))
-        for c, ck, p, pk in foreign_keys
-    ]
-    per_row: dict[str, dict[str, Column]] = {}
+    per_row: dict[str, dict[str, Column]] = {t: {} for t in primary_keys}
     for table, columns in (not_null or {}).items():
         per_row.setdefault(table, {}).update({f"{c} not null": F.col(c).isNull() for c in columns})
     for (table, column), values in (allowed or {}).items():
         broken = F.col(column).isNotNull() & ~F.col(column).isin(*values)
         per_row.setdefault(table, {})[f"{column} in ({', '.join(values)})"] = broken
-    reports += [_row_rules(tables[t], t, rules) for t, rules in per_row.items()]
+    reports = [_table_rules(tables[t], t, primary_keys.get(t, ()), rules) for t, rules in per_row.items()]
+    if foreign_keys:
+        reports.append(_references(tables, foreign_keys))
     return reduce(DataFrame.unionByName, reports)
 
 
