@@ -19,7 +19,7 @@ WS = (
 REQUESTS = """
 requests AS (
   SELECT 'S' || s_suppkey AS ticker, as_of FROM supplier,
-    (VALUES (DATE '1997-06-30'), (DATE '1999-03-01'), (DATE '2001-06-30')) v(as_of))"""
+    (VALUES (DATE '1995-01-20'), (DATE '1997-06-30'), (DATE '1999-03-01'), (DATE '2001-06-30')) v(as_of))"""
 
 COMPANY = """
 company AS (
@@ -250,33 +250,33 @@ figures AS (
   ON revenue, net_income, eps INTO NAME metric VALUE value)"""
 
 
-def _applied(log: str, keys: str, value: str, first: str) -> str:
-    """State from line numbers up to 4, batch from the others."""
-    state = _versions("state", log, keys, value, first, "l_linenumber <= 4")
+def _applied(log: str, keys: str, value: str, first: str, batch: str | None = None, to: str = "applied") -> str:
+    """State from line numbers up to 4, batch from the others, or as given."""
+    state = _versions(f"{to}_state", log, keys, value, first, "l_linenumber <= 4")
     on = " AND ".join(f"o.{k} = b.{k}" for k in keys.split(", "))
+    batch = batch or f"""SELECT * FROM {log} WHERE l_linenumber > 4
+  QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {LINE_DESC}) = 1"""
     return state + f""",
-batch AS (
-  SELECT * FROM {log} WHERE l_linenumber > 4
-  QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {LINE_DESC}) = 1),
-met AS (
+{to}_batch AS ({batch}),
+{to}_met AS (
   SELECT o, b, o.ticker IS NOT NULL AS has_old, b.ticker IS NOT NULL AS has_new,
     o.{value} IS DISTINCT FROM b.{value} AS differs
-  FROM (SELECT * FROM state WHERE known_until = {OPEN}) o FULL JOIN batch b ON {on}),
-applied AS (
-  SELECT *, 'untouched' AS action FROM state WHERE known_until <> {OPEN}
+  FROM (SELECT * FROM {to}_state WHERE known_until = {OPEN}) o FULL JOIN {to}_batch b ON {on}),
+{to} AS (
+  SELECT *, 'untouched' AS action FROM {to}_state WHERE known_until <> {OPEN}
   UNION ALL BY NAME
   SELECT unnest(o), CASE WHEN NOT has_new THEN 'untouched' ELSE 'unchanged' END AS action
-  FROM met WHERE has_old AND (NOT has_new OR NOT differs)
+  FROM {to}_met WHERE has_old AND (NOT has_new OR NOT differs)
   UNION ALL BY NAME
   SELECT * REPLACE (greatest(DATE '2002-06-30', known_from) AS known_until), 'closed' AS action
-  FROM (SELECT unnest(o) FROM met WHERE has_old AND has_new AND differs)
+  FROM (SELECT unnest(o) FROM {to}_met WHERE has_old AND has_new AND differs)
   UNION ALL BY NAME
   SELECT *, {OPEN} AS known_until, 'opened' AS action FROM (
     SELECT unnest(b), greatest(DATE '2002-06-30', o.known_from) AS known_from
-    FROM met WHERE has_old AND has_new AND differs)
+    FROM {to}_met WHERE has_old AND has_new AND differs)
   UNION ALL BY NAME
   SELECT *, {first} AS known_from, {OPEN} AS known_until, 'opened' AS action
-  FROM (SELECT unnest(b) FROM met WHERE NOT has_old))"""
+  FROM (SELECT unnest(b) FROM {to}_met WHERE NOT has_old))"""
 
 
 def _text(*columns: str) -> str:
@@ -440,6 +440,28 @@ feed_facts AS (
 _FIRST_SEED = _bars(365) + "," + _averages("walk", 2, "1.0::DOUBLE")
 
 
+ASKED = """
+asked AS (
+  SELECT 'S' || s_suppkey AS ticker, CASE WHEN s_suppkey % 2 = 0 THEN DATE '1999-09-30' ELSE DATE '1998-06-30' END AS as_of
+  FROM supplier WHERE s_suppkey % 2 = 0 OR s_suppkey % 4 = 1)"""
+
+ASKED_ITEMS = """
+asked_items AS (
+  SELECT f.* FROM (
+    SELECT feed.* FROM feed JOIN asked USING (ticker) WHERE published_at <= as_of
+    QUALIFY row_number() OVER (PARTITION BY ticker, headline, published_at ORDER BY feed_pos) = 1) f
+  WHERE NOT EXISTS (
+    SELECT 1 FROM feed s WHERE s.lang = 'en' AND s.published_at IS NOT NULL
+      AND s.ticker = f.ticker AND s.headline = f.headline AND s.published_at = f.published_at)
+  QUALIFY row_number() OVER (PARTITION BY f.ticker ORDER BY f.feed_pos) <= 8)"""
+
+
+def _content(table: str, action: str, source: str, columns: str) -> str:
+    """Columns in the order of their names; a semicolon stands for a comma within one."""
+    shown = ", ".join(f"coalesce(({c})::VARCHAR, '-')" for c in columns.split(", ")).replace(";", ",")
+    return f"SELECT '{table}' AS table_name, {action} AS action, concat_ws('|', {shown}) AS content FROM {source}"
+
+
 ORACLE_SQL: dict[str, str] = {
     "indicators_panel": _with(REQUESTS, PRICE_BAR, INDICATORS) + f"""
 SELECT ticker, {_text('as_of')}, n_bars, rsi_14, macd, macd_signal, macd_histogram FROM indicator""",
@@ -482,17 +504,22 @@ WHERE published_at <= DATE '1999-03-01'""",
 SELECT {PRICE_ROW}, action FROM applied""",
     "apply_batch_facts": _with(FACT_LOG, _applied("fact_log", FACT_KEYS, "value", "period_end + 45")) + f"""
 SELECT {FACT_ROW}, action FROM applied""",
-    "batch_action_counts": _with(PRICE_LOG, _applied("price_log", PRICE_KEYS, "close", "trade_date")) + """
+    "batch_action_counts": _with(PRICE_LOG, _applied("price_log", PRICE_KEYS, "close", "trade_date", batch=f"""
+  SELECT * FROM price_log QUALIFY row_number() OVER (PARTITION BY {PRICE_KEYS} ORDER BY {LINE_DESC}) = 1""")) + """
 SELECT action, count(*) AS n_rows FROM applied GROUP BY action""",
-    "version_invariants": _with(PRICE_BAR, FACTS) + "\nUNION ALL\n".join(
+    "version_invariants": _with(PRICE_BAR, FACTS) + f""", broken AS (
+  SELECT * REPLACE (CASE WHEN day(trade_date) = 17 THEN {OPEN}
+    WHEN day(trade_date) = 13 AND known_until <> {OPEN} THEN known_from - 1 ELSE known_until END AS known_until)
+  FROM price_bar)
+""" + "\nUNION ALL\n".join(
         f"""SELECT '{name}' AS table_name, rule, CAST(violations AS BIGINT) AS violations FROM (
   SELECT 'reversed_window' AS rule, count(*) AS violations FROM {table} WHERE known_until < known_from
   UNION ALL SELECT 'overlap', count(*) FROM (
-    SELECT 1 FROM {table} WHERE known_until > known_from
-    QUALIFY lag(known_until) OVER (PARTITION BY {keys} ORDER BY known_from) > known_from)
+    SELECT 1 FROM {table} QUALIFY known_until > known_from AND max(known_until) OVER (
+      PARTITION BY {keys} ORDER BY known_from, known_until ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > known_from)
   UNION ALL SELECT 'many_open', coalesce(sum(n - 1), 0) FROM (
     SELECT count(*) AS n FROM {table} WHERE known_until = {OPEN} GROUP BY {keys}))"""
-        for name, table, keys in (("price_bar", "price_bar", PRICE_KEYS), ("fundamental_fact", "fact", FACT_KEYS))
+        for name, table, keys in (("price_bar", "broken", PRICE_KEYS), ("fundamental_fact", "fact", FACT_KEYS))
     ),
     "reseed_facts": _with(FACTS) + f"""
 SELECT {FACT_ROW} FROM fact
@@ -549,6 +576,19 @@ counted AS (
   UNION ALL SELECT 'fundamental_fact', 'opened', count(*) FROM fact_met WHERE has_new AND (NOT has_old OR differs))
 SELECT table_name, action, n_rows FROM counted WHERE n_rows > 0""",
 
+    "ingest_all_rows": _with(
+        COMPANY, PRICE_LOG, FACT_LOG, FEED, _FEED_FACTS, ASKED, ASKED_ITEMS,
+        _applied("price_log", PRICE_KEYS, "close", "trade_date", to="price", batch="""
+  SELECT p.* FROM price_log p JOIN asked USING (ticker) WHERE trade_date BETWEEN as_of - 180 AND as_of
+  QUALIFY row_number() OVER (PARTITION BY ticker, trade_date ORDER BY close DESC, high DESC, low DESC, volume DESC) = 1"""),
+        _applied("fact_log", FACT_KEYS, "value", "period_end + 45", to="fact", batch="""
+  SELECT feed_facts.* FROM feed_facts JOIN asked USING (ticker)"""),
+    ) + "\n" + "\nUNION ALL\n".join([
+        _content("company", "'written'", "company", "exchange, name, sector, ticker"),
+        _content("price_bar", "action", "price", "close, close, high, known_from, known_until, low, close, ticker, trade_date, volume"),
+        _content("fundamental_fact", "action", "fact", "currency, known_from, known_until, metric, period_end, period_start, source, ticker, value"),
+        _content("news_item", "'written'", "asked_items", "headline, '2002-06-30 12:00:00', published_at, source, summary, ticker, url"),
+    ]),
     "lookahead_leaks": _with(LEAKS) + f"""
 SELECT ticker, {_text('as_of')}, metric, {_text('period_end')}, {_double('naive_value')}, {_text('naive_known_from')},
   naive_source, {_double('asof_value')}, {_text('asof_known_from')}, asof_source, leaked,
@@ -618,14 +658,13 @@ FROM agent_message WHERE agent_name = 'assistant'""",
     "confident_verdicts": _with(VERDICT) + "SELECT * FROM verdict WHERE confidence = 'high'",
     "experiment_grid": _with(REQUESTS) + f"""
 SELECT ticker, {_text('as_of')}, mode FROM requests, (VALUES ('baseline'), ('multi_agent')) v(mode)""",
-    "purge_runs": _with(RUN, MESSAGE, VERDICT) + """
-SELECT id AS run_id, count(*) AS n_rows, 'run' AS table_name FROM run WHERE status <> 'failed' GROUP BY id
-UNION ALL
-SELECT run_id, count(*), 'verdict' FROM verdict
-WHERE run_id NOT IN (SELECT id FROM run WHERE status = 'failed') GROUP BY run_id
-UNION ALL
-SELECT run_id, count(*), 'agent_message' FROM agent_message
-WHERE run_id NOT IN (SELECT id FROM run WHERE status = 'failed') GROUP BY run_id""",
+    "purge_runs": _with(RUN, MESSAGE, VERDICT) + ", doomed AS (SELECT id FROM run WHERE status = 'failed')\n" + "\nUNION ALL\n".join(
+        f"SELECT table_name, content FROM ({_content(table, 'NULL', source, columns)})" for table, source, columns in (
+            ("run", "run ANTI JOIN doomed USING (id)", "as_of_date, id, mode, status, ticker"),
+            ("verdict", "verdict ANTI JOIN doomed ON id = run_id", "confidence, reasoning, recommendation, run_id, strongest_counterpoint"),
+            ("agent_message", "agent_message ANTI JOIN doomed ON id = run_id", "agent_name, attempt, completion_tokens, strftime(created_at; '%Y-%m-%d %H:%M:%S'), latency_s::DOUBLE, model, payload, prompt_tokens, run_id, success"),
+        )
+    ),
 
     "research_panel": _with(PANEL) + f"""
 SELECT ticker, {_text('as_of')}, n_bars, last_close, pct_change_1d, pct_change_5d, pct_change_21d,

@@ -6,11 +6,13 @@ Results are flat: dates and times as text, decimals as doubles.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from backdate.functions.dates import open_end
 from backdate.functions.text import first_sentences
 from backdate.operators import evaluate, ingest, maintenance, news, panel, pointintime, quality, responses, versions
 from backdate.operators.indicators import indicators, price_snapshot
@@ -54,6 +56,11 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*[flat(f) for f in df.schema])
 
 
+def _content(df: DataFrame) -> Column:
+    """A row as text: its columns in the order of their names."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in sorted(df.columns) if c != "action"])
+
+
 # -- point-in-time reads ------------------------------------------------------
 
 def _bars_for(
@@ -147,11 +154,22 @@ def apply_batch_facts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_action_counts(spark: SparkSession, d: str) -> DataFrame:
-    return versions.action_counts(apply_batch_prices(spark, d))
+    """With a batch that repeats the stored lines, so that some versions stay unchanged."""
+    batch = derived.price_observations(spark, d, carry=derived.LINE_ORDER)
+    stored = derived.price_bar(spark, d, where=STORED)
+    return versions.action_counts(ingest.apply_prices(stored, batch, INGESTED_ON, derived.LINE_ORDER, small_batch=False))
+
+
+def _broken_bars(spark: SparkSession, d: str) -> DataFrame:
+    """Bars of which some windows end before they start, and some never end."""
+    day, until = F.dayofmonth("trade_date"), F.col("known_until")
+    ends = F.when(day == 17, open_end()).when((day == 13) & (until != open_end()), F.date_sub("known_from", 1)).otherwise(until)
+    return derived.price_bar(spark, d, []).withColumn("known_until", ends)
 
 
 def version_invariants(spark: SparkSession, d: str) -> DataFrame:
-    prices = versions.version_invariants(derived.price_bar(spark, d, []), PRICE_KEYS)
+    """For prices with planted faults and for facts as they are."""
+    prices = versions.version_invariants(_broken_bars(spark, d), PRICE_KEYS)
     facts = versions.version_invariants(derived.fundamental_fact(spark, d), FACT_KEYS)
     return prices.withColumn("table_name", F.lit("price_bar")).unionByName(
         facts.withColumn("table_name", F.lit("fundamental_fact"))
@@ -263,8 +281,7 @@ def company_upsert(spark: SparkSession, d: str) -> DataFrame:
     return versions.upsert(derived.company(spark, d), ingest.clean_companies(feed), ["ticker"])
 
 
-def ingest_all_counts(spark: SparkSession, d: str) -> DataFrame:
-    """One full ingest of all tickers, as rows per table and action."""
+def _ingest_all(spark: SparkSession, d: str, as_of: str | DataFrame, prices: DataFrame, small_batch: bool) -> dict[str, DataFrame]:
     feed = _news_feed(spark, d)
     state = {
         "company": derived.company(spark, d),
@@ -275,22 +292,34 @@ def ingest_all_counts(spark: SparkSession, d: str) -> DataFrame:
     companies = derived.company(spark, d).select(
         "ticker", F.col("name").alias("longName"), F.lit("").alias("shortName"), "sector", "exchange"
     )
-    landing = {
-        "company": companies,
-        "prices": derived.price_observations(spark, d, where=ARRIVING),
-        "news": feed,
-        "quarterly": _quarterly_feed(spark, d),
-    }
-    done = ingest.ingest_batch(landing, state, as_of="1999-09-30", ingestion_date=INGESTED_ON)
-    counts = [
-        versions.action_counts(df if "action" in df.columns else df.withColumn("action", F.lit("written")))
-        .withColumn("table_name", F.lit(name))
-        for name, df in done.items()
-    ]
-    first, *rest = counts
-    for more in rest:
-        first = first.unionByName(more)
-    return first
+    landing = {"company": companies, "prices": prices, "news": feed, "quarterly": _quarterly_feed(spark, d)}
+    done = ingest.ingest_batch(landing, state, as_of, INGESTED_ON, small_batch=small_batch, ingested_at=CLOCK)
+    return {t: df if "action" in df.columns else df.withColumn("action", F.lit("written")) for t, df in done.items()}
+
+
+def ingest_all_counts(spark: SparkSession, d: str) -> DataFrame:
+    """One full ingest of all tickers, as rows per table and action."""
+    done = _ingest_all(spark, d, "1999-09-30", derived.price_observations(spark, d, where=ARRIVING), True)
+    return reduce(DataFrame.unionByName, [
+        versions.action_counts(df).withColumn("table_name", F.lit(name)) for name, df in done.items()
+    ])
+
+
+def ingest_all_rows(spark: SparkSession, d: str) -> DataFrame:
+    """An ingest for a table of requests, every row of the next state as text.
+
+    Half of the tickers ask as of one date and a quarter as of an earlier one.
+    The price feed repeats what is stored, so many versions stay as they are.
+    """
+    number = F.substring("ticker", 2, 20).cast("long")
+    last = F.when(number % 2 == 0, "1999-09-30").when(number % 4 == 1, "1998-06-30").cast("date")
+    asked = derived.company(spark, d).select("ticker", last.alias("as_of")).where("as_of is not null")
+    done = _ingest_all(spark, d, asked, derived.price_observations(spark, d), False)
+
+    return reduce(DataFrame.unionByName, [
+        plain(df).select(F.lit(name).alias("table_name"), "action", _content(plain(df)).alias("content")) if name == "news_item"
+        else df.select(F.lit(name).alias("table_name"), "action", _content(df).alias("content")) for name, df in done.items()
+    ])
 
 
 # -- quality --------------------------------------------------------------------
@@ -436,15 +465,14 @@ def experiment_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def purge_runs(spark: SparkSession, d: str) -> DataFrame:
-    """What is left of each table after the failed runs are deleted with their children."""
+    """The rows left of each table, as text, after the failed runs are deleted with their children."""
     run, verdict, message = _experiments(spark, d)
     doomed = run.where("status = 'failed'").select("id")
     left = maintenance.purge_runs(run, verdict, message, doomed)
-    run_left, verdict_left, message_left = (
-        df.groupBy(F.col(key).alias("run_id")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table_name", F.lit(name))
-        for df, key, name in zip(left, ("id", "run_id", "run_id"), ("run", "verdict", "agent_message"))
-    )
-    return run_left.unionByName(verdict_left).unionByName(message_left)
+    return reduce(DataFrame.unionByName, [
+        plain(df).select(F.lit(name).alias("table_name"), _content(plain(df)).alias("content"))
+        for df, name in zip(left, ("run", "verdict", "agent_message"))
+    ])
 
 
 # -- panel and text -----------------------------------------------------------------
@@ -626,6 +654,7 @@ NAMED: dict[str, Query] = {
     "truncate_sentences": truncate_sentences,
     "company_upsert": company_upsert,
     "ingest_all_counts": ingest_all_counts,
+    "ingest_all_rows": ingest_all_rows,
     "lookahead_leaks": lookahead_leaks,
     "leak_summary": leak_summary,
     "asof_bound_check": asof_bound_check,

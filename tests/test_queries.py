@@ -41,7 +41,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 30
+    assert entry.entry(spark).count() == 40
 
 
 def test_hot_news_are_cut_before_the_shuffle(spark):
