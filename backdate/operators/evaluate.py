@@ -47,27 +47,30 @@ def _tokens() -> Column:
     return F.col("total_prompt_tokens") + F.col("total_completion_tokens")
 
 
-def compare_runs(run: DataFrame, verdict: DataFrame, message: DataFrame) -> DataFrame:
+def compare_runs(runs: DataFrame, verdict: DataFrame, message: DataFrame) -> DataFrame:
     """Every baseline run beside every multi-agent run of the same ticker and date.
 
-    Both sides ask for all message totals (the count in a filter that always
-    holds), so that Spark shuffles and sums the messages once and reuses it.
+    Both sides come from one pass over the runs of a ticker and date, so the
+    messages are summed once.
     """
-    metrics = run_metrics(run, verdict, message).where(F.col("message_count") >= 0)
-    shared = ["ticker", "as_of_date"]
+    run = F.struct(
+        F.col("recommendation").alias("rec"), F.col("confidence").alias("conf"), _tokens().alias("tokens"),
+        F.col("total_latency_s").alias("latency"), F.col("message_count").alias("messages"),
+    )
 
-    def side(mode: str, prefix: str) -> DataFrame:
-        return metrics.where(F.col("mode") == mode).select(
-            *shared,
-            F.col("recommendation").alias(f"{prefix}_rec"),
-            F.col("confidence").alias(f"{prefix}_conf"),
-            _tokens().alias(f"{prefix}_tokens"),
-            F.col("total_latency_s").alias(f"{prefix}_latency"),
-            F.col("message_count").alias(f"{prefix}_messages"),
-        )
+    def side(mode: str) -> Column:
+        return F.collect_list(F.when(F.col("mode") == mode, run))
 
-    pairs = side(BASELINE, "bl").drop("bl_messages").join(side(MULTI_AGENT, "ma"), shared)
-    return pairs.withColumn("agreement", F.col("bl_rec") == F.col("ma_rec"))
+    shared = ["ticker", "as_of_date"]
+    sides = run_metrics(runs, verdict, message).groupBy(*shared).agg(
+        side(BASELINE).alias("_bl"), side(MULTI_AGENT).alias("_ma")
+    )
+    pairs = sides.select(*shared, F.explode("_bl").alias("bl"), "_ma").select(*shared, "bl", F.explode("_ma").alias("ma"))
+    fields = [*((s, f) for s in ("bl", "ma") for f in ("rec", "conf", "tokens", "latency")), ("ma", "messages")]
+    return pairs.select(
+        *shared, *[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s, f in fields],
+        (F.col("bl.rec") == F.col("ma.rec")).alias("agreement"),
+    )
 
 
 def in_report_order(pairs: DataFrame) -> DataFrame:
@@ -83,6 +86,7 @@ def comparison_report(pairs: DataFrame) -> DataFrame:
     def latency(side: str) -> Column:
         return F.concat(F.format_string("%.1f", F.col(f"{side}_latency").cast("double")), F.lit("s"))
 
+    # The report's labels.
     return pairs.select(
         "ticker", "as_of_date",
         decision("bl").alias("baseline"),
