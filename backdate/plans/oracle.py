@@ -19,7 +19,7 @@ WS = (
 REQUESTS = """
 requests AS (
   SELECT 'S' || s_suppkey AS ticker, as_of FROM supplier,
-    (VALUES (DATE '1995-01-20'), (DATE '1997-06-30'), (DATE '1999-03-01'), (DATE '2001-06-30')) v(as_of))"""
+    (VALUES (DATE '1997-06-30'), (DATE '1999-03-01'), (DATE '2001-06-30')) v(as_of))"""
 
 COMPANY = """
 company AS (
@@ -466,6 +466,10 @@ ORACLE_SQL: dict[str, str] = {
     "indicators_panel": _with(REQUESTS, PRICE_BAR, INDICATORS) + f"""
 SELECT ticker, {_text('as_of')}, n_bars, rsi_14, macd, macd_signal, macd_histogram FROM indicator""",
 
+    "indicators_early": _with(REQUESTS.replace("(DATE '1997-06-30'), (DATE '1999-03-01'), (DATE '2001-06-30')",
+                                               "(DATE '1995-01-20'), (DATE '1995-03-10')"), PRICE_BAR, INDICATORS) + f"""
+SELECT ticker, {_text('as_of')}, n_bars, rsi_14, macd, macd_signal, macd_histogram FROM indicator""",
+
     "price_history": _with(REQUESTS, PRICE_BAR) + f"""
 SELECT r.ticker, CAST(r.as_of AS VARCHAR) AS as_of, {_text('trade_date')}, CAST(close AS DOUBLE) AS open,
   {_double('high', 'low', 'close', 'volume')}

@@ -33,6 +33,7 @@ from backdate.sources import derived
 Query = Callable[[SparkSession, str], DataFrame]
 
 KNOWN_ON = "1999-03-01"
+EARLY = ("1995-01-20", "1995-03-10")
 PERIOD_END = "1998-12-31"
 INGESTED_ON = "2002-06-30"
 CLOCK = "2002-06-30 12:00:00"
@@ -75,6 +76,12 @@ def indicators_panel(spark: SparkSession, d: str) -> DataFrame:
     return indicators(requests, _bars_for(spark, d, requests, INDICATOR_LOOKBACK_DAYS))
 
 
+def indicators_early(spark: SparkSession, d: str) -> DataFrame:
+    """So early in the data that some series are too short."""
+    requests = derived.requests(spark, d, EARLY)
+    return indicators(requests, _bars_for(spark, d, requests, INDICATOR_LOOKBACK_DAYS))
+
+
 def price_history(spark: SparkSession, d: str) -> DataFrame:
     requests = derived.requests(spark, d)
     bars = _bars_for(spark, d, requests, HISTORY_LOOKBACK_DAYS, derived.PRICE_MEASURES)
@@ -628,6 +635,7 @@ def macd_short(spark: SparkSession, d: str) -> DataFrame:
 
 NAMED: dict[str, Query] = {
     "indicators_panel": indicators_panel,
+    "indicators_early": indicators_early,
     "price_history": price_history,
     "price_snapshot": price_snapshots,
     "daily_changes": daily_changes,

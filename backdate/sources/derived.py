@@ -15,7 +15,7 @@ from backdate.functions.text import first_sentences
 from backdate.operators.versions import build_versions
 from backdate.schemas import FACT_KEYS, FACT_LAG_DAYS, MODES, PRICE_KEYS, SUMMARY_SENTENCES
 
-REQUEST_DATES = ("1995-01-20", "1997-06-30", "1999-03-01", "2001-06-30")
+REQUEST_DATES = ("1997-06-30", "1999-03-01", "2001-06-30")
 
 # A total order over repeated line items of one key and day.
 LINE_ORDER = [
@@ -58,11 +58,11 @@ def company(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every supplier on four dates, the first so early that few bars are known."""
+def requests(spark: SparkSession, sf_dir: str, dates: Sequence[str] = REQUEST_DATES) -> DataFrame:
+    """Every supplier on some dates."""
     return source(spark, sf_dir, "supplier").select(
         _ticker(F.col("s_suppkey")).alias("ticker"),
-        F.explode(F.array(*[F.lit(d).cast("date") for d in REQUEST_DATES])).alias("as_of"),
+        F.explode(F.array(*[F.lit(d).cast("date") for d in dates])).alias("as_of"),
     )
 
 
