@@ -97,21 +97,22 @@ def host_verdicts(failed: DataFrame, trusted_rate: float = TRUSTED_RATE) -> Data
     )
     counts = stored(counts)
     rate = lambda r: F.col(r) / F.col("n")
-    # One row, whatever the number of hosts.
+    # One row of numbers, whatever the number of hosts.
     moments = counts.agg(
         F.avg("n").alias("mean_n"), F.avg(1 / F.col("n")).alias("inv_n"),
         *[(F.sum(r) / F.sum("n")).alias(f"{r}_mean") for r in RULES],
         *[F.var_pop(rate(r)).alias(f"{r}_var") for r in RULES],
-    )
+    ).first()
 
     def posterior(r: str) -> Column:
-        m, v = F.col(f"{r}_mean"), F.col(f"{r}_var")
-        chance = m * (1 - m) * F.col("inv_n")
-        beyond = v - chance
-        strength = F.when(beyond > 0, F.greatest(m * (1 - m) / beyond - 1, F.lit(1.0))).otherwise(F.col("mean_n"))
+        m, v = F.lit(moments[f"{r}_mean"]).cast("double"), F.lit(moments[f"{r}_var"]).cast("double")
+        beyond = v - m * (1 - m) * F.lit(moments["inv_n"]).cast("double")
+        strength = F.when(beyond > 0, F.greatest(m * (1 - m) / beyond - 1, F.lit(1.0))).otherwise(
+            F.lit(moments["mean_n"]).cast("double")
+        )
         return (F.col(r) + m * strength) / (F.col("n") + strength)
 
-    return counts.join(F.broadcast(moments)).select(
+    return counts.select(
         "host", F.col("n").alias("host_docs"),
         *[posterior(r).alias(f"{r}_rate") for r in RULES],
         *[(posterior(r) > trusted_rate).alias(f"{r}_distrusted") for r in RULES],
