@@ -6,9 +6,9 @@ until one is missing. Levels are cut off below, so a count read back is at most
 the true one and above it divided by b, but for false positives.
 
 The filter is cut by hash into blocks that tasks fill and into shards of bounded
-size; a shard is what the driver gathers and broadcasts at a time. A text's
-levels are read shard by shard in passes without a shuffle, so a filter larger
-than one broadcast costs passes, not n-grams. The most frequent words, a bounded
+size; a shard is what the driver gathers and broadcasts at a time, and as many
+as fit in a worker are read in one pass over the texts. Passes follow each other
+without a shuffle, so a larger filter costs passes, not n-grams. The most frequent words, a bounded
 table, are broadcast with their exact counts.
 
 The score interpolates bigrams with single words: a word after another has
@@ -43,7 +43,8 @@ PRIOR = 0.1
 LEVEL_BASE = 1.5
 BITS_PER_ENTRY, PROBES = 10, 6  # about 1 false positive in 120 probes
 BLOCK_TOKENS = 1 << 18  # bigrams of training text to a block, about
-SHARD_BYTES = 128 << 20
+SHARD_BYTES = 16 << 20  # gathered and broadcast at a time
+PASS_BYTES = 128 << 20  # held by a worker at a time
 HOT_WORDS = 1 << 17
 STRENGTH = 200.0  # m
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash; it is also what stands before a text
@@ -234,38 +235,55 @@ def frequent_words(counts: DataFrame, most: int = HOT_WORDS) -> tuple[np.ndarray
     return word[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def _probe(shard: Broadcast, bits: int, last: dict | None):
-    """Fill in the levels of one shard; the last pass scores."""
+def _probe(shards: list[Broadcast], bits: int, hot_words: Broadcast, last: dict | None):
+    """Fill in the levels of some shards; the last pass scores.
+
+    A chunk's words and pairs are probed once each, frequent words not at all.
+    """
+
+    def probed(hashes: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
+        block = _block(hashes, bits)
+        for shard in shards:
+            shard.value.probe(keys, block, levels)
 
     def levels_in(batch: pa.RecordBatch) -> Iterator[tuple]:
+        hot, hot_counts = hot_words.value
         filled = batch.column("levels").to_pylist()
         at = 0
         for part, raw, places in chunks(batch, "text"):
             tokens, first = tokens_of(words_of(raw, places, lower=True))
-            pairs = pairs_of(tokens)
             own = filled[at : at + part.num_rows]
             at += part.num_rows
             levels = np.zeros((2, len(tokens)), np.uint8)
             if own and own[0] is not None:
-                levels = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in own], axis=1).copy()
-            shard.value.probe(tokens, _block(tokens, bits), levels[0])
-            shard.value.probe(_pair_key(pairs), _block(pairs, bits), levels[1])
-            yield part, tokens, first, levels
+                levels = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in own], axis=1)
+            found = []
+            words, which = np.unique(tokens, return_inverse=True)
+            place = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
+            is_hot = hot[place] == words if len(hot) else np.zeros(len(words), bool)
+            exact = np.where(is_hot, hot_counts[place], 0) if len(hot) else np.zeros(len(words), np.int64)
+            new = np.zeros(int((~is_hot).sum()), np.uint8)
+            probed(words[~is_hot], words[~is_hot], new)
+            of_words = np.zeros(len(words), np.uint8)
+            of_words[~is_hot] = new
+            found.append(of_words[which])
+            pairs, back = np.unique(pairs_of(tokens), return_inverse=True)
+            new = np.zeros(len(pairs), np.uint8)
+            probed(pairs, _pair_key(pairs), new)
+            found.append(new[back])
+            # A level is found in one shard and 0 in all others.
+            yield part, tokens, first, np.maximum(levels, np.array(found)), is_hot[which], exact[which]
 
     def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, _, first, levels in levels_in(batch):
+            for part, _, first, levels, _, _ in levels_in(batch):
                 out = [levels[:, a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield part.set_column(part.schema.get_field_index("levels"), "levels", pa.array(out, pa.binary()))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, hot_counts = last["hot"].value
         rest = last["tokens"] + PRIOR * (last["distinct"] + 1)
         for batch in batches:
-            for part, tokens, first, levels in levels_in(batch):
-                at = np.minimum(np.searchsorted(hot, tokens), max(0, len(hot) - 1))
-                is_hot = hot[at] == tokens if len(hot) else np.zeros(len(tokens), bool)
-                exact = hot_counts[at] if len(hot) else np.zeros(len(tokens))
+            for part, tokens, first, levels, is_hot, exact in levels_in(batch):
                 low = np.where(is_hot, exact, AT_LEAST[levels[0]])
                 high = np.where(is_hot, exact, AT_MOST[levels[0]])
                 before = np.concatenate([[last["texts"]], high[:-1]])
@@ -292,7 +310,9 @@ def _probe(shard: Broadcast, bits: int, last: dict | None):
     return score if last else go_on
 
 
-def score_documents(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_documents(
+    docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot_words: int = HOT_WORDS, pass_bytes: int = PASS_BYTES
+) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row of ``docs (doc_id, text)``."""
     spark = docs.sparkSession
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
@@ -303,15 +323,17 @@ def score_documents(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot_words:
     end = counts.where(F.col("word") == int(signed(np.array([END]))[0])).first()
     shards = shards_of(blocks, bits, shard_bytes)
     hot = spark.sparkContext.broadcast(frequent_words(counts, hot_words))
-    last = {"hot": hot, "tokens": n, "distinct": distinct, "texts": end["n"] if end else 0}
+    last = {"tokens": n, "distinct": distinct, "texts": end["n"] if end else 0}
     kept = "row_no long, doc_id long, held_out boolean, text string, levels binary"
     scored = own.withColumns({"row_no": F.monotonically_increasing_id(), "levels": F.lit(None).cast("binary")}).select(
         "row_no", "doc_id", "held_out", "text", "levels"
     )
-    for shard in shards[:-1]:
-        scored = scored.mapInArrow(_probe(shard, bits, None), kept)
+    together = max(1, pass_bytes // shard_bytes)
+    passes = [shards[i : i + together] for i in range(0, len(shards), together)]
+    for some in passes[:-1]:
+        scored = scored.mapInArrow(_probe(some, bits, hot, None), kept)
     scored = stored(scored.mapInArrow(
-        _probe(shards[-1], bits, last),
+        _probe(passes[-1], bits, hot, last),
         "row_no long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
         "words array<long>, often array<long>",
     ))

@@ -35,7 +35,7 @@ def brute(rows, strength=200.0):
         yield i, held(i), len(own), sum(single[w] > 0 for w in own), n, base, score
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_bytes": 4000, "hot_words": 40}])
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 4000, "hot_words": 40, "pass_bytes": 8000}])
 def test_scores_by_brute_force(make_docs, options):
     rng = random.Random(15)
     phrases = [sentence(rng, 6, 800) for _ in range(60)]
