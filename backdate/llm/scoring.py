@@ -41,7 +41,7 @@ from backdate.llm.fingerprints import Words, chunks, mix, signed, words_of
 FOLDS, HELD_OUT = 10, 0
 PRIOR = 0.1
 LEVEL_BASE = 1.5
-BITS_PER_ENTRY, PROBES = 10, 6  # about 1 false positive in 120 probes
+BITS_PER_ENTRY, PROBES = 8, 5  # about 1 false positive in 45 probes
 BLOCK_TOKENS = 1 << 18  # bigrams of training text to a block, about
 SHARD_BYTES = 16 << 20  # gathered and broadcast at a time
 PASS_BYTES = 128 << 20  # held by a worker at a time
@@ -49,7 +49,7 @@ HOT_WORDS = 1 << 17
 STRENGTH = 200.0  # m
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash; it is also what stands before a text
 PAIR, LEVEL, PROBE = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
-FLUSH_TOKENS = 1 << 22
+FLUSH_TOKENS = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
