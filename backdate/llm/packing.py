@@ -32,7 +32,7 @@ LENGTH = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 RANK_ROWS = 50_000  # rows of one length ranked in one task, about
-MOST_WORDS = 400_000  # words whose ids a worker remembers
+MOST_WORDS = 1_000_000  # words whose ids a worker remembers
 
 # How the tokenizer's own file splits normalised text, and the same for ASCII without white space.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
