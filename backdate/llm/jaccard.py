@@ -205,10 +205,11 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n_words
 def jaccard_classes(
     docs: DataFrame, n_words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL
 ) -> DataFrame:
-    """``doc_id, class_id, n_links, n_linked_texts, n_shingles, row_key`` of every row of ``docs (doc_id, text)``.
+    """``doc_id, class_id, n_links, n_linked_texts, n_shingles, row_key, class_key`` of every row of ``docs (doc_id, text)``.
 
     ``class_id`` is the least id of the class, that is of all documents reached
-    over links. ``n_links`` counts the other documents similar to this one,
+    over links; classes may share it where ids are NULL or not unique.
+    ``class_key`` tells all classes apart and is NULL without words. ``n_links`` counts the other documents similar to this one,
     copies of its own set included, ``n_linked_texts`` the different sets.
     """
     signed_docs = stored(signatures(docs, n_words, threshold, recall))
@@ -226,13 +227,13 @@ def jaccard_classes(
     least = stored(named.groupBy("component").agg(F.min("doc_id").alias("class_id")))
     facts = stored(
         named.join(least, "component").join(counted, "node", "left").join(nodes.select("node", "copies"), "node")
-        .select(F.col("node").alias("f_node"), "class_id", "copies",
+        .select(F.col("node").alias("f_node"), F.col("component").alias("class_key"), "class_id", "copies",
                 F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("linked_rows", F.lit(0)).alias("linked_rows"))
     )
     return signed_docs.join(facts, signed_docs["node"] == facts["f_node"], "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("copies") - 1 + F.col("linked_rows"), F.lit(0)).alias("n_links"),
-        F.coalesce("links", F.lit(0)).alias("n_linked_texts"), "n_shingles", "row_key",
+        F.coalesce("links", F.lit(0)).alias("n_linked_texts"), "n_shingles", "row_key", "class_key",
     )
 
 
@@ -240,7 +241,7 @@ def one_per_class(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the least id, with its own columns; all documents without words."""
     classes = jaccard_classes(docs).where((F.col("n_shingles") == 0) | F.col("class_id").eqNullSafe(F.col("doc_id")))
     # Of rows that share the least id, the one of least key.
-    least = classes.where("n_shingles > 0").groupBy("class_id").agg(F.min("row_key").alias("k_key"))
+    least = classes.where("n_shingles > 0").groupBy("class_key").agg(F.min("row_key").alias("k_key"))
     empty = classes.where("n_shingles = 0").select(F.col("row_key").alias("k_key"))
     kept = stored(least.select("k_key").unionByName(empty).distinct())
     words = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)

@@ -73,6 +73,16 @@ def test_one_document_of_each_class(make_docs):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(least.values()))
 
 
+def test_one_document_of_each_class_without_ids_or_with_one_id(make_docs):
+    rng = random.Random(7)
+    texts = [sentence(rng, 60, 10**6) for _ in range(9)]
+    rows = [(None, t, "a") for t in texts[:5]] + [(None, change(rng, texts[0], 1), "b"), (None, texts[1], "b")]
+    rows += [(3, t, "a") for t in texts[5:8]] + [(3, texts[5], "b"), (None, texts[6], "b"), (9, texts[7], "b"), (4, texts[8], "a")]
+    left = [(r.doc_id, r.text) for r in one_per_class(make_docs(rows)).collect()]
+    assert len(left) == 9
+    assert set(left[i] for i in range(9)) >= {(None, t) for t in texts[1:5]} | {(3, t) for t in texts[5:8]} | {(4, texts[8])}
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
 def test_bands_reach_the_recall(threshold):
     bands, rows = bands_for(threshold)
