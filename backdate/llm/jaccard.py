@@ -161,14 +161,7 @@ def _verify(n_words: int, threshold: float):
         edges = np.flatnonzero(np.diff(component)) + 1
         for a, b in zip([0, *edges], [*edges, len(component)], strict=True):
             x, y = np.searchsorted(owner, [a, b])
-            # The same node twice (one id for two texts) is one row.
-            rows = np.unique(node[a:b], return_index=True)[1]
-            if len(rows) < b - a:
-                place = np.full(b - a, -1)
-                place[rows] = np.arange(len(rows))
-                own = place[owner[x:y] - a]
-                found.append(one_group(node[a:b][rows], side[a:b][rows], copies[a:b][rows], own[own >= 0], grams[x:y][own >= 0], crossed))
-            elif b - a > 1:
+            if b - a > 1:
                 found.append(one_group(node[a:b], side[a:b], copies[a:b], owner[x:y] - a, grams[x:y], crossed))
         cols = [np.concatenate([np.asarray(f[i], np.int64) for f in found] or [np.zeros(0, np.int64)]) for i in range(4)]
         return pa.table(cols, names=["node", "root", "links", "linked_rows"])
@@ -179,9 +172,10 @@ def _verify(n_words: int, threshold: float):
 def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n_words: int, threshold: float) -> DataFrame:
     """``node, root, links, linked_rows`` per node and pair of blocks, each pair of nodes compared once.
 
-    ``root`` is a node connected to it. ``nodes`` has ``node, doc_id, copies, n_bytes``.
+    ``root`` is a node connected to it. ``nodes`` has ``node, row_key, copies, n_bytes``;
+    the row of that key has the node's text.
     """
-    members = stored(nodes.join(groups, "node").select("node", "doc_id", "copies", "n_bytes", "component"))
+    members = stored(nodes.join(groups, "node").select("node", "row_key", "copies", "n_bytes", "component"))
     sizes = stored(members.groupBy("component").agg(F.greatest(
         F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)
     ).cast("int").alias("blocks")))
@@ -190,10 +184,11 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n_words
     cut = members.join(sizes, "component").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
-    texts = docs.select(F.col("doc_id").alias("t_id"), "text")
+    # Equal rows have one key; they are dropped before the shuffle, so each node meets its own text once.
+    texts = docs.select(row_key().alias("row_key"), "text").dropDuplicates(["row_key"])
     # A group of one block shares a task with others; else a task is a pair of blocks.
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component"))
-    placed = cut.join(texts, cut["doc_id"].eqNullSafe(texts["t_id"])).select(
+    placed = cut.join(texts, "row_key").select(
         task.alias("task"), (F.col("blocks") > 1).alias("large"), "component", "node", "block", "copies", "text",
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
     ).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
@@ -215,7 +210,8 @@ def jaccard_classes(
     signed_docs = stored(signatures(docs, n_words, threshold, recall))
     known = signed_docs.where("node is not null")
     ids = known.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_bytes").alias("n_bytes")
+        F.min("doc_id").alias("doc_id"), F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("copies"),
+        F.max("n_bytes").alias("n_bytes"),
     )
     nodes = stored(ids)
     banded = stored(known.select("node", "bands").dropDuplicates(["node"]))

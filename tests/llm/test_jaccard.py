@@ -83,6 +83,18 @@ def test_one_document_of_each_class_without_ids_or_with_one_id(make_docs):
     assert set(left[i] for i in range(9)) >= {(None, t) for t in texts[1:5]} | {(3, t) for t in texts[5:8]} | {(4, texts[8])}
 
 
+def test_links_are_verified_on_the_rows_own_text(make_docs):
+    """Links by text, whatever ids the rows have: all NULL, all the same, or the same for different texts."""
+    rng = random.Random(12)
+    bases = [sentence(rng, 60, 10**6) for _ in range(12)]
+    texts = [t for b in bases for t in (b, change(rng, b, 1), b)]
+    links, _ = brute(list(zip(range(len(texts)), texts, texts, strict=True)))
+    for ids in ([None] * 36, [7] * 36, [i % 5 if i % 3 else None for i in range(36)]):
+        got = jaccard_classes(make_docs(list(zip(ids, texts, texts, strict=True)))).collect()
+        assert sorted(r.n_links for r in got) == sorted(links.values())
+        assert len({r.class_key for r in got}) == 12
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95])
 def test_bands_reach_the_recall(threshold):
     bands, rows = bands_for(threshold)
