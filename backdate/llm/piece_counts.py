@@ -1,7 +1,11 @@
 """Token counts by a Viterbi pass that carries only the best score and its number of pieces.
 
-The vocabulary's scores are taken as unigram log probabilities: a word's pieces
-are the split with the highest sum. An Aho-Corasick automaton finds all pieces
+The vocabulary's scores are taken as if they were unigram log probabilities: a
+word's pieces are the split with the highest sum. The file is a BPE file, whose
+scores are merge ranks (-2, -3 ... -31740) and no probabilities. The sum then
+favours several early merges over one late whole word, so the counts are those
+of a unigram reading of the file, higher than those of its own tokenizer, which
+applies merges. An Aho-Corasick automaton finds all pieces
 that end at each character; the pass keeps, per character, the best sum and how
 many pieces make it, never the pieces. Ties are settled as the public tokenizer
 library does: of splits with equal sums the one whose last piece is longest.
