@@ -69,6 +69,16 @@ def test_a_block_gives_back_levels():
     assert not absent.any()  # a block of another shard
 
 
+def test_keys_not_held_are_rarely_read_as_held():
+    """About 1 in 120 probes."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 1 << 62, 240_000).astype(np.uint64)
+    shard = Shard(0, [fill(keys[:40_000], levels_of(rng.geometric(0.2, 40_000)))])
+    levels = np.zeros(200_000, np.uint8)
+    shard.probe(keys[40_000:], np.zeros(200_000, np.int64), levels)
+    assert (levels > 0).mean() < 0.01
+
+
 def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     got = score_documents(odd_docs).collect()
     want = {(i, n, round(base, 6)) for i, _, n, _, _, base, _ in brute([(r.doc_id, r.text) for r in odd_docs.collect()])}
