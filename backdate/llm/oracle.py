@@ -87,4 +87,20 @@ SELECT query_id, row_number() OVER best::INTEGER AS rank, vec_id, score FROM s
 WINDOW best AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER best <= 5
 """
 
-ORACLE_SQL = {"op1_mix_sources": MIX, "op7_host_rules": HOST_RULES, "op8_top_inner": TOP_INNER}
+LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT id, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+s AS (SELECT key, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS n, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key),
+g AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id IS DISTINCT FROM s.keeper AS gone
+      FROM k LEFT JOIN s ON s.key = k.key AND s.n >= 5)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM g GROUP BY id
+"""
+
+ORACLE_SQL = {
+    "op1_mix_sources": MIX, "op7_host_rules": HOST_RULES, "op8_top_inner": TOP_INNER,
+    "op12_drop_shared_lines": LINES,
+}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from backdate.llm.common import table, tokenizer_path
 from backdate.llm.host_rules import judge
 from backdate.llm.jaccard import jaccard_classes
+from backdate.llm.line_dedup import line_digest
 from backdate.llm.main_text import extract_main_text
 from backdate.llm.mixing import mix_sources
 from backdate.llm.packing import TOKENIZER as PACK_TOKENIZER
@@ -82,3 +83,8 @@ def op6_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_drop_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_digest(table(spark, sf_dir, "documents"))
