@@ -100,7 +100,42 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTE
 FROM g GROUP BY id
 """
 
+AUDIT = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         {'A': len(words) < 50, 'B': 100 * len(list_distinct(words)) < 65 * len(words),
+          'C': 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text),
+          'D': regexp_matches(text, '[#$%&*|]'), 'E': coalesce(w.doc_id > least, false)} AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id),
+m AS (
+  SELECT part, good, toxic, concat(CASE WHEN fails.A THEN 'A' END, CASE WHEN fails.B THEN 'B' END, CASE WHEN fails.C THEN 'C' END,
+                                   CASE WHEN fails.D THEN 'D' END, CASE WHEN fails.E THEN 'E' END) AS failed, count(*) AS n
+  FROM f GROUP BY ALL),
+o AS (SELECT '' AS filter_order UNION ALL
+      SELECT filter_order || c FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(c) WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS f, substr(filter_order, 1, step - 1) AS earlier
+      FROM o, range(1, 6) r(step) WHERE length(filter_order) = 5),
+c AS (
+  SELECT part, filter_order, step::INTEGER AS step, f, n, good, toxic, contains(failed, f) AS fails, failed = f AS only_this,
+         translate(failed, earlier, '') <> failed AS gone
+  FROM s, m),
+t AS (
+  SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT fails), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND fails), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND fails), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (WHERE only_this), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND fails AND toxic), 0)::BIGINT AS toxic_lost
+  FROM c GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM t
+"""
+
 ORACLE_SQL = {
+    "op11_filter_audit": AUDIT,
     "op1_mix_sources": MIX, "op7_host_rules": HOST_RULES, "op8_top_inner": TOP_INNER,
     "op12_drop_shared_lines": LINES,
 }

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from backdate.llm.common import table, tokenizer_path
+from backdate.llm.filter_audit import filter_audit
 from backdate.llm.host_rules import judge
 from backdate.llm.jaccard import jaccard_classes
 from backdate.llm.line_dedup import line_digest
@@ -88,3 +89,8 @@ def op4_score_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_drop_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
