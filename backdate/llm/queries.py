@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from backdate.llm.common import table, tokenizer_path
+from backdate.llm.cross_tokens import TOKENIZER_A, TOKENIZER_B, alignment_digest
 from backdate.llm.filter_audit import filter_audit
 from backdate.llm.host_rules import judge
 from backdate.llm.jaccard import jaccard_classes
@@ -94,3 +95,8 @@ def op12_drop_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digest(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER_A), tokenizer_path(TOKENIZER_B))
