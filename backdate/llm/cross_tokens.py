@@ -3,10 +3,11 @@
 Each text is tokenised whole by both. Byte offsets at which tokens of both end are
 shared ends; where both next tokens also begin with a space, the text is cut into
 windows. A window is its two tuples of token ids, which is all its alignment depends
-on, so a worker aligns a window once and remembers it, however often it comes.
+on, so a block of documents (some megabytes of text) aligns a window once and
+remembers it, however often it comes.
 
-A document is then a list of windows, and a block of documents (some megabytes of
-text) holds each of its windows and each pair of ids once. Counts of pairs are summed
+A document is then a list of windows, and its block holds each of these and each
+pair of ids once. Counts of pairs are summed
 over blocks, not over links, and looked up once per block and pair; the documents'
 sums are taken from their windows where block and counts meet again. So what is
 shuffled is a number per word of text and the distinct pairs of a block, and the best
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backdate.llm.common import stored
+from backdate.llm.fingerprints import chunks
 
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
-BLOCK_BYTES = 16 << 20
-CALL_BYTES = 1 << 18  # text given to a tokenizer at once
-MEMO_BYTES = 32 << 20  # ids of remembered windows; a window's alignment is a small multiple of that
+BLOCK_BYTES = 4 << 20
+MEMO_BYTES = 48 << 20  # what a worker remembers of splits
+ENTRY_BYTES = 200  # of a remembered split, besides its letters
 SHIFT = 16  # a pair of ids is one number, the first id above the second
 LOW = (1 << SHIFT) - 1
 DIGEST = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
@@ -80,10 +82,10 @@ class _Bytes:
     def _split(self, part: str) -> bytes:
         letters = "".join([self.letters[b] for b in part.encode()])
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(letters)], np.uint16).tobytes()
-        self.held += len(part)
+        self.held += ENTRY_BYTES + len(part)
         if self.held > MEMO_BYTES:
             self.known.clear()
-            self.held = len(part)
+            self.held = 0
         self.known[part] = ids
         return ids
 
@@ -117,68 +119,44 @@ class _Pieces:
         return [np.array(ids, np.uint16) for ids in self.model.encode(texts, out_type=int, num_threads=1)]
 
 
-Alignment = tuple[str, int, list[int]]
-
-
-def align(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> Alignment:
-    """The groups of two runs of tokens over the same bytes as text, their number, and the linked pairs as numbers."""
-    if len(a) == 1 == len(b):
-        return f"{a[0]}|{b[0]}", 1, [a[0] << SHIFT | b[0]]
-    groups, pairs, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-    end_a, end_b = size_a[a[0]], size_b[b[0]]
-    while True:
-        pairs.append(a[i] << SHIFT | b[j])
-        if end_a == end_b:
-            i, j = i + 1, j + 1
-            groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-            if i == len(a):
-                return ";".join(groups), len(groups), pairs
-            from_i, from_j = i, j
-            end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
-        elif end_a < end_b:
-            i += 1
-            end_a += size_a[a[i]]
-        else:
-            j += 1
-            end_b += size_b[b[j]]
+Window = tuple[bytes, bytes]
 
 
-Window = tuple[bytes, bytes]
+def align(windows: list[Window], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many links each window has, and all their pairs in order.
+
+    Both sides of a window cover the same bytes, so the windows can be laid end to
+    end: then every piece between two neighbouring ends, of whichever side, is one link.
+    """
+    a, b = (np.frombuffer(b"".join([w[side] for w in windows]), np.uint16).astype(np.int64) for side in (0, 1))
+    ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
+    ends = np.union1d(ends_a, ends_b)
+    pairs = a[np.searchsorted(ends_a, ends)] << SHIFT | b[np.searchsorted(ends_b, ends)]
+    window_ends = ends_a[np.cumsum([len(w[0]) // 2 for w in windows]) - 1]
+    return np.diff(np.searchsorted(ends, window_ends, "right"), prepend=0), pairs
 
 
 class Aligner:
-    """Windows of texts, with what a worker remembers of them."""
+    """Both tokenizers, and the windows and groups of texts."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = _Bytes(path_a), _Pieces(path_b)
         for side in (self.a, self.b):
             if len(side.tokens) > LOW + 1:
                 raise ValueError("vocabularies of up to 65,536 ids")
-        self.sizes = [[len(t) for t in side.tokens] for side in (self.a, self.b)]
-        self.size_a, self.size_b = (np.array(s, np.int64) for s in self.sizes)
+        self.size_a, self.size_b = (np.array([len(t) for t in side.tokens], np.int64) for side in (self.a, self.b))
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in side.tokens]) for side in (self.a, self.b))
-        self.memo: dict[Window, Alignment] = {}
-        self.held = 0
+        # An id as it stands in the text of the groups: inside or at the end of its side of a group.
+        self.written = [f"{i}{mark}" for mark in ",|,;" for i in range(LOW + 1)]
 
-    def aligned(self, window: Window) -> Alignment:
-        got = self.memo.get(window)
-        if got is None:
-            a, b = (memoryview(ids).cast("H").tolist() for ids in window)
-            got = align(a, b, *self.sizes)
-            self.held += len(window[0]) + len(window[1])
-            if self.held > MEMO_BYTES:
-                self.memo.clear()
-                self.held = len(window[0]) + len(window[1])
-            self.memo[window] = got
-        return got
-
-    def windows(self, text: str, a: np.ndarray, b: np.ndarray) -> list[Window]:
-        """The text's windows in order; none if the tokens do not spell it."""
+    def cut(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[list[Window], int, str]:
+        """The text's windows in order, the number of its groups, and the groups as text; nothing if the tokens do not spell it."""
         if not text or not len(a) or not len(b):
-            return []
+            return [], 0, ""
         spelt = b" " + text.encode()
-        if any(b"".join([side.tokens[i] for i in ids.tolist()]) != spelt for side, ids in ((self.a, a), (self.b, b))):
-            return []
+        for side, ids in ((self.a, a), (self.b, b)):
+            if b"".join(map(side.tokens.__getitem__, ids.tolist())) != spelt:
+                return [], 0, ""
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         at = np.searchsorted(ends_b, ends_a)  # both end at the text's end
         last_a = np.flatnonzero(ends_b[at] == ends_a)
@@ -187,10 +165,21 @@ class Aligner:
         cut = np.append(np.flatnonzero(inner), len(last_a) - 1)
         to_a, to_b = (2 * (last_a[cut] + 1)).tolist(), (2 * (last_b[cut] + 1)).tolist()
         raw_a, raw_b = a.tobytes(), b.tobytes()
-        return [
+        windows = [
             (raw_a[s:e], raw_b[u:v])
             for s, e, u, v in zip([0, *to_a[:-1]], to_a, [0, *to_b[:-1]], to_b, strict=True)
         ]
+        return windows, len(last_a), self._groups(a, b, last_a, last_b)
+
+    def _groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
+        ids = [a.astype(np.int64), b.astype(np.int64) + 2 * (LOW + 1)]
+        for side, last in zip(ids, (last_a, last_b), strict=True):
+            side[last] += LOW + 1
+        # A token comes after its own side's earlier tokens and those of the other side up to its group.
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(np.append(0, last_b[:-1] + 1), np.diff(last_a, prepend=-1))] = ids[0]
+        order[np.arange(len(b)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))] = ids[1]
+        return "".join(map(self.written.__getitem__, order.tolist()))[:-1]
 
 
 @cache
@@ -199,47 +188,42 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
 
 
 class _Block:
-    """Documents of some megabytes of text and the windows they are made of, each held once."""
+    """Documents of some megabytes of text and the windows they are made of, each aligned and held once."""
 
     def __init__(self, number: int):
         self.number, self.bytes = number, 0
         self.index: dict[Window, int] = {}
-        self.text: list[str] = []  # of each window: its groups, how many they are, how many links, and the links
-        self.n_groups: list[int] = []
-        self.n_links: list[int] = []
-        self.pairs: list[int] = []
+        self.links: list[np.ndarray] = []  # of the windows in order: how many links, and their pairs
+        self.pairs: list[np.ndarray] = []
         self.docs: list[tuple] = []
+        self.sizes: list[int] = []
         self.places: list[np.ndarray] = []
 
-    def _new(self, aligner: Aligner, window: Window) -> int:
-        text, n_groups, pairs = aligner.aligned(window)
-        self.text.append(text)
-        self.n_groups.append(n_groups)
-        self.n_links.append(len(pairs))
-        self.pairs += pairs
-        place = self.index[window] = len(self.text) - 1
-        return place
-
-    def add(self, aligner: Aligner, doc_id: int | None, text: str, a: np.ndarray, b: np.ndarray) -> None:
-        windows, index = aligner.windows(text, a, b), self.index
-        places = []
-        for w in windows:
-            place = index.get(w)
-            places.append(self._new(aligner, w) if place is None else place)
-        self.bytes += len(text)
-        some = bool(windows)
-        self.docs.append((doc_id, len(a) if some else 0, len(b) if some else 0, ";".join([self.text[p] for p in places])))
-        self.places.append(np.array(places, np.int32))
+    def add(self, aligner: Aligner, ids: list[int | None], texts: list[str]) -> None:
+        index, windows = self.index, []
+        for doc_id, text, a, b in zip(ids, texts, aligner.a.ids_of(texts), aligner.b.ids_of(texts), strict=True):
+            own, n_groups, groups = aligner.cut(text, a, b)
+            windows += own
+            n_a, n_b = (len(a), len(b)) if own else (0, 0)
+            self.docs.append((doc_id, n_a, n_b, n_groups, n_a + n_b - n_groups, groups))
+            self.sizes.append(len(own))
+            self.bytes += len(text)
+        new = list(dict.fromkeys([w for w in windows if w not in index]))
+        if new:
+            links, pairs = align(new, aligner.size_a, aligner.size_b)
+            self.links.append(links)
+            self.pairs.append(pairs)
+            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
+        self.places.append(np.array(list(map(index.__getitem__, windows)), np.int32))
 
     def batch(self) -> pa.RecordBatch:
         """A row per document, and one last row with the block's windows and pairs."""
-        n, sizes = len(self.docs), np.array([len(p) for p in self.places], np.int64)
-        flat, ends = np.concatenate(self.places), np.append(0, np.cumsum(sizes))
-        links = np.array(self.n_links, np.int64)
-        pairs, place = np.unique(np.array(self.pairs, np.int64), return_inverse=True)
+        n, none = len(self.docs), np.zeros(0, np.int64)
+        flat, ends = np.concatenate(self.places), np.append(0, np.cumsum(self.sizes))
+        links = np.concatenate([none, *self.links])
+        pairs, place = np.unique(np.concatenate([none, *self.pairs]), return_inverse=True)
         counts = np.bincount(place, np.repeat(np.bincount(flat, minlength=len(links)), links), len(pairs)).astype(np.int64)
-        doc_id, n_a, n_b, groups = (list(c) for c in zip(*self.docs, strict=True))
-        totals = [summed(np.array(of, np.int64), flat, ends) for of in (self.n_groups, self.n_links)]
+        *numbers, groups = (list(c) for c in zip(*self.docs, strict=True))
 
         def last(values: np.ndarray, kind: pa.DataType) -> pa.Array:
             """A list column that only the last row has."""
@@ -250,7 +234,7 @@ class _Block:
         return pa.RecordBatch.from_arrays([
             pa.array(np.full(n + 1, self.number), pa.int64()),
             pa.array([True] * n + [False]),
-            *[pa.array([*c, None], pa.int64()) for c in (doc_id, n_a, n_b, *[t.tolist() for t in totals])],
+            *[pa.array([*c, None], pa.int64()) for c in numbers],
             pa.array([*groups, None], pa.string()),
             pa.concat_arrays([windows, pa.nulls(1, windows.type)]),
             last(pairs, pa.int64()), last(counts, pa.int64()), last(np.cumsum(links) - links, pa.int32()), last(place, pa.int32()),
@@ -278,21 +262,18 @@ def _aligned(path_a: str, path_b: str, block_bytes: int):
         number = TaskContext.get().partitionId() << 32
         block = _Block(number)
         for batch in batches:
-            texts, ids = batch.column("text").fill_null("").to_pylist(), batch.column("doc_id").to_pylist()
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= CALL_BYTES):
-                    size += len(texts[to])
-                    to += 1
-                some = texts[at:to]
-                for doc_id, text, a, b in zip(ids[at:to], some, aligner.a.ids_of(some), aligner.b.ids_of(some), strict=True):
-                    block.add(aligner, doc_id, text, a, b)
+            for part, _, places in chunks(batch, "text"):
+                ids, texts = part.column("doc_id").to_pylist(), part.column("text").fill_null("").to_pylist()
+                # Blocks smaller than a chunk cut it.
+                cuts = [0, *(np.flatnonzero(np.diff(places // block_bytes)) + 1).tolist()]
+                for at, to in zip(cuts, [*cuts[1:], len(texts)], strict=True):
+                    if at == to:
+                        continue
+                    block.add(aligner, ids[at:to], texts[at:to])
                     if block.bytes >= block_bytes:
                         yield block.batch()
                         number += 1
                         block = _Block(number)
-                at = to
         if block.docs:
             yield block.batch()
 
