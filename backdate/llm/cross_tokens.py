@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -33,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from backdate.llm.common import stored
-from backdate.llm.fingerprints import chunks
+from backdate.llm.fingerprints import BASE, INVERSE, STEP, _power, chunks, mix
 
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20
-MEMO_BYTES = 48 << 20  # what a worker remembers of splits
+MEMO_BYTES = 48 << 20  # what a worker remembers of splits, and of units
 ENTRY_BYTES = 200  # of a remembered split, besides its letters
 SHIFT = 16  # a pair of ids is one number, the first id above the second
 LOW = (1 << SHIFT) - 1
@@ -62,6 +63,9 @@ SPLIT = re.compile(
 )
 
 
+UNIT = re.compile(" *[^ ]+| +")
+
+
 class _Bytes:
     """The byte-level tokenizer, of a space and the text. Its model never looks across a split, so splits are remembered."""
 
@@ -103,36 +107,85 @@ class _Bytes:
 
 
 class _Pieces:
-    """The tokenizer of pieces, which puts the space before the text itself."""
+    """The tokenizer of pieces, of a space and the text. No piece goes on past a letter into a space, so units are remembered."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_file=path)
         names = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
+        if any("\u2581" in name.lstrip("\u2581") for name in names):
+            raise ValueError("a piece reaches into the next word")
         self.tokens = [
             bytes([int(name[3:5], 16)]) if self.model.is_byte(i) else name.replace("\u2581", " ").encode()
             for i, name in enumerate(names)
         ]
+        self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(ids, np.uint16) for ids in self.model.encode(texts, out_type=int, num_threads=1)]
-
-
-Window = tuple[bytes, bytes]
-
-
-def align(windows: list[Window], size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.held > MEMO_BYTES:
+            self.known.clear()
+            self.held = 0
+        units = [UNIT.findall(" " + text) if text else [] for text in texts]
+        new = list({u for own in units for u in own if u not in self.known})
+        # The model puts a unit's first space there itself; of a text that is nothing else it makes no piece.
+        for unit, ids in zip(new, self.model.encode([u[1:] for u in new], out_type=int, num_threads=1), strict=True):
+            self.known[unit] = np.array(ids if unit != " " else [self.model.piece_to_id("\u2581")], np.uint16).tobytes()
+            self.held += ENTRY_BYTES + len(unit)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.uint16) for own in units]
+
+
+def run_hashes(ids: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each run of ids, from sums over all that are shifted to the run's start."""
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum((ids.astype(np.uint64) + np.uint64(1)) * _power(BASE, len(ids)), out=sums[1:])
+    return mix((sums[start + n] - sums[start]) * _power(INVERSE, len(ids) + 1)[start] + n.astype(np.uint64))
+
+
+@dataclass
+class Windows:
+    """Windows laid end to end: the ids of both sides, and how many of them each window has."""
+
+    a: np.ndarray
+    b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Windows:
+        sides = []
+        for ids, n in ((self.a, self.n_a), (self.b, self.n_b)):
+            shift = (np.cumsum(n) - n)[rows] - (np.cumsum(n[rows]) - n[rows])
+            sides.append(ids[np.arange(n[rows].sum()) + np.repeat(shift, n[rows])])
+        return Windows(*sides, self.n_a[rows], self.n_b[rows])
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the first of each pair of id tuples, and which of these every window is."""
+        key = np.zeros(len(self.n_a), np.uint64)
+        for ids, n in ((self.a, self.n_a), (self.b, self.n_b)):
+            key = mix(key * STEP + run_hashes(ids, np.cumsum(n) - n, n))
+        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        again = self.take(first[same])
+        if all(np.array_equal(getattr(self, c), getattr(again, c)) for c in ("n_a", "n_b", "a", "b")):
+            return first, same
+        # Two tuples had one hash: compare the tuples themselves.
+        ends = zip(np.cumsum(self.n_a).tolist(), self.n_a.tolist(), np.cumsum(self.n_b).tolist(), self.n_b.tolist(), strict=True)
+        known: dict[tuple[bytes, bytes], int] = {}
+        same = np.array([known.setdefault((self.a[i - n : i].tobytes(), self.b[j - m : j].tobytes()), len(known)) for i, n, j, m in ends])
+        return np.unique(same, return_index=True)[1], same
+
+
+def align(windows: Windows, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many links each window has, and all their pairs in order.
 
-    Both sides of a window cover the same bytes, so the windows can be laid end to
-    end: then every piece between two neighbouring ends, of whichever side, is one link.
+    Both sides of a window cover the same bytes, so laid end to end every piece
+    between two neighbouring ends, of whichever side, is one link.
     """
-    a, b = (np.frombuffer(b"".join([w[side] for w in windows]), np.uint16).astype(np.int64) for side in (0, 1))
+    a, b = windows.a.astype(np.int64), windows.b.astype(np.int64)
     ends_a, ends_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
     ends = np.union1d(ends_a, ends_b)
     pairs = a[np.searchsorted(ends_a, ends)] << SHIFT | b[np.searchsorted(ends_b, ends)]
-    window_ends = ends_a[np.cumsum([len(w[0]) // 2 for w in windows]) - 1]
+    window_ends = ends_a[np.cumsum(windows.n_a) - 1]
     return np.diff(np.searchsorted(ends, window_ends, "right"), prepend=0), pairs
 
 
@@ -149,27 +202,22 @@ class Aligner:
         # An id as it stands in the text of the groups: inside or at the end of its side of a group.
         self.written = [f"{i}{mark}" for mark in ",|,;" for i in range(LOW + 1)]
 
-    def cut(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[list[Window], int, str]:
-        """The text's windows in order, the number of its groups, and the groups as text; nothing if the tokens do not spell it."""
+    def cut(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, str] | None:
+        """How many ids of either side each window has, the number of groups, and the groups as text; None if the tokens do not spell it."""
         if not text or not len(a) or not len(b):
-            return [], 0, ""
+            return None
         spelt = b" " + text.encode()
         for side, ids in ((self.a, a), (self.b, b)):
             if b"".join(map(side.tokens.__getitem__, ids.tolist())) != spelt:
-                return [], 0, ""
+                return None
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         at = np.searchsorted(ends_b, ends_a)  # both end at the text's end
         last_a = np.flatnonzero(ends_b[at] == ends_a)
         last_b = at[last_a]
         inner = self.spaced_a[a[last_a[:-1] + 1]] & self.spaced_b[b[last_b[:-1] + 1]]
         cut = np.append(np.flatnonzero(inner), len(last_a) - 1)
-        to_a, to_b = (2 * (last_a[cut] + 1)).tolist(), (2 * (last_b[cut] + 1)).tolist()
-        raw_a, raw_b = a.tobytes(), b.tobytes()
-        windows = [
-            (raw_a[s:e], raw_b[u:v])
-            for s, e, u, v in zip([0, *to_a[:-1]], to_a, [0, *to_b[:-1]], to_b, strict=True)
-        ]
-        return windows, len(last_a), self._groups(a, b, last_a, last_b)
+        n_a, n_b = (np.diff(last[cut], prepend=-1) for last in (last_a, last_b))
+        return n_a, n_b, len(last_a), self._groups(a, b, last_a, last_b)
 
     def _groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
         ids = [a.astype(np.int64), b.astype(np.int64) + 2 * (LOW + 1)]
@@ -192,51 +240,43 @@ class _Block:
 
     def __init__(self, number: int):
         self.number, self.bytes = number, 0
-        self.index: dict[Window, int] = {}
-        self.links: list[np.ndarray] = []  # of the windows in order: how many links, and their pairs
-        self.pairs: list[np.ndarray] = []
         self.docs: list[tuple] = []
-        self.sizes: list[int] = []
-        self.places: list[np.ndarray] = []
+        self.windows: list[tuple[np.ndarray, ...]] = []
 
     def add(self, aligner: Aligner, ids: list[int | None], texts: list[str]) -> None:
-        index, windows = self.index, []
         for doc_id, text, a, b in zip(ids, texts, aligner.a.ids_of(texts), aligner.b.ids_of(texts), strict=True):
-            own, n_groups, groups = aligner.cut(text, a, b)
-            windows += own
-            n_a, n_b = (len(a), len(b)) if own else (0, 0)
-            self.docs.append((doc_id, n_a, n_b, n_groups, n_a + n_b - n_groups, groups))
-            self.sizes.append(len(own))
+            got = aligner.cut(text, a, b)
+            if got is None:
+                self.docs.append((doc_id, 0, 0, 0, 0, 0, ""))
+            else:
+                n_a, n_b, n_groups, groups = got
+                self.windows.append((a, b, n_a, n_b))
+                self.docs.append((doc_id, len(a), len(b), n_groups, len(a) + len(b) - n_groups, len(n_a), groups))
             self.bytes += len(text)
-        new = list(dict.fromkeys([w for w in windows if w not in index]))
-        if new:
-            links, pairs = align(new, aligner.size_a, aligner.size_b)
-            self.links.append(links)
-            self.pairs.append(pairs)
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-        self.places.append(np.array(list(map(index.__getitem__, windows)), np.int32))
-
-    def batch(self) -> pa.RecordBatch:
+
+    def batch(self, aligner: Aligner) -> pa.RecordBatch:
         """A row per document, and one last row with the block's windows and pairs."""
-        n, none = len(self.docs), np.zeros(0, np.int64)
-        flat, ends = np.concatenate(self.places), np.append(0, np.cumsum(self.sizes))
-        links = np.concatenate([none, *self.links])
-        pairs, place = np.unique(np.concatenate([none, *self.pairs]), return_inverse=True)
+        n, nothing = len(self.docs), (np.zeros(0, np.uint16), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        windows = Windows(*[np.concatenate(c) for c in zip(nothing, *self.windows, strict=True)])
+        first, flat = windows.distinct()
+        links, codes = align(windows.take(first), aligner.size_a, aligner.size_b)
+        pairs, place = np.unique(codes, return_inverse=True)
         counts = np.bincount(place, np.repeat(np.bincount(flat, minlength=len(links)), links), len(pairs)).astype(np.int64)
-        *numbers, groups = (list(c) for c in zip(*self.docs, strict=True))
+        *numbers, sizes, groups = (list(c) for c in zip(*self.docs, strict=True))
+        ends = np.append(0, np.cumsum(sizes))
 
         def last(values: np.ndarray, kind: pa.DataType) -> pa.Array:
             """A list column that only the last row has."""
             nulls = pa.nulls(n, pa.list_(kind))
             return pa.concat_arrays([nulls, pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))])
 
-        windows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+        places = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
         return pa.RecordBatch.from_arrays([
             pa.array(np.full(n + 1, self.number), pa.int64()),
             pa.array([True] * n + [False]),
             *[pa.array([*c, None], pa.int64()) for c in numbers],
             pa.array([*groups, None], pa.string()),
-            pa.concat_arrays([windows, pa.nulls(1, windows.type)]),
+            pa.concat_arrays([places, pa.nulls(1, places.type)]),
             last(pairs, pa.int64()), last(counts, pa.int64()), last(np.cumsum(links) - links, pa.int32()), last(place, pa.int32()),
         ], ALIGNED_NAMES)
 
@@ -271,11 +311,11 @@ def _aligned(path_a: str, path_b: str, block_bytes: int):
                         continue
                     block.add(aligner, ids[at:to], texts[at:to])
                     if block.bytes >= block_bytes:
-                        yield block.batch()
+                        yield block.batch(aligner)
                         number += 1
                         block = _Block(number)
         if block.docs:
-            yield block.batch()
+            yield block.batch(aligner)
 
     return run
 

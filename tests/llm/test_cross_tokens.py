@@ -99,6 +99,7 @@ def test_tokens_are_those_of_the_library():
     rng = random.Random(48)
     letters = [chr(c) for c in (*range(0x250), *range(0x2000, 0x2070))]
     texts = ODD + ["".join(rng.choice(letters) for _ in range(40)) for _ in range(400)]
+    assert [ids.tolist() for ids in op._Pieces(PATHS[1]).ids_of(texts)] == SentencePieceProcessor(model_file=PATHS[1]).encode(texts)
     texts += ["".join(rng.choice(" \t\n\r\x85\xa0 ab1'.") for _ in range(30)) for _ in range(400)]
     for text, ids in zip(texts, side.ids_of(texts)):
         assert ids.tolist() == whole.encode(" " + text, add_special_tokens=False).ids, repr(text)
@@ -112,13 +113,29 @@ def test_a_worker_that_forgets_gives_the_same(monkeypatch):
         block = op._Block(0)
         for t in texts:
             block.add(aligner, [None], [t])
-        return block.batch()
+        return block.batch(aligner)
 
     remembering = all_of(op.Aligner(*PATHS))
     monkeypatch.setattr(op, "MEMO_BYTES", 2000)
     assert all_of(op.Aligner(*PATHS)).equals(remembering)
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    rng = np.random.default_rng(50)
+    n_a, n_b = rng.integers(1, 4, 300), rng.integers(1, 3, 300)
+    windows = op.Windows(*[rng.integers(0, 3, n.sum()).astype(np.uint16) for n in (n_a, n_b)], n_a, n_b)
+    sides = [np.split(ids, np.cumsum(n)[:-1]) for ids, n in ((windows.a, n_a), (windows.b, n_b))]
+    keys = [(tuple(a.tolist()), tuple(b.tolist())) for a, b in zip(*sides)]
+
+    def check():
+        first, same = windows.distinct()
+        assert len(first) == len(set(keys)) and [keys[first[k]] for k in same] == keys
+
+    check()
+    monkeypatch.setattr(op, "run_hashes", lambda ids, start, n: np.zeros(len(n), np.uint64))
+    check()
+
+
 def test_odd_rows_and_empty_tables(spark, odd_docs, no_docs, brute):
     rows = odd_docs.collect()
     want, _, _ = brute([r.text for r in rows])
