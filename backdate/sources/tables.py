@@ -64,15 +64,21 @@ def write_versions(df: DataFrame, path: str, key_date: str, keys: Sequence[str],
 
     Partitioned by year of its valid time; a year's rows are dealt to
     ``files_per_year`` files by a hash of the whole key, so a hot ticker is in
-    all of them, and sorted by ticker and date inside, so that both prune.
+    all of them, and sorted by ticker and date inside, so that both prune. Rows
+    go to tasks by number, not by a hash of year and file: each file of a year
+    has a task that none of the year's other files shares, and years that meet
+    in a task are written to a file each.
     """
-    spread = F.pmod(F.xxhash64(*keys), F.lit(files_per_year))
-    tasks = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    file = F.pmod(F.xxhash64(*keys), F.lit(files_per_year)).cast("int")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rounds = max(1, -(-tasks // files_per_year))  # years side by side
+    year = F.coalesce(F.year(key_date), F.lit(0))
     (
-        df.withColumn("valid_year", F.year(key_date)).withColumn("_file", spread)
-        .repartition(max(int(tasks), files_per_year), "valid_year", "_file")
+        df.withColumn("valid_year", F.year(key_date))
+        .withColumn("_task", (year % rounds * files_per_year + file).cast("int"))
+        .repartitionById(rounds * files_per_year, "_task")
         .sortWithinPartitions("valid_year", "ticker", key_date)
-        .drop("_file")
+        .drop("_task")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("valid_year")
