@@ -90,6 +90,16 @@ def bars_in_view(requests: DataFrame, bars: DataFrame, lookback_days: int, colum
     )
 
 
+def held_bars(requests: DataFrame, bars: DataFrame, lookback_days: int, price: Column) -> DataFrame:
+    """``_held``, the versions of a ticker and calendar bucket as one array, made once however many requests read it."""
+    width = max(1, lookback_days // 4)
+    names = sorted(c for c in bars.columns if c not in ("ticker", "trade_date", "known_from", "known_until"))
+    offered = _bars_offered(requests, bars, lookback_days, names, width)
+    return offered.groupBy("ticker", "_bucket").agg(
+        F.collect_list(F.struct("trade_date", price.alias("price"), "known_from", "known_until")).alias("_held")
+    )
+
+
 def bar_arrays(requests: DataFrame, bars: DataFrame, lookback_days: int, price: Column) -> DataFrame:
     """Per request the array ``bars`` of (trade_date, price) in date order; empty if none.
 
@@ -99,11 +109,7 @@ def bar_arrays(requests: DataFrame, bars: DataFrame, lookback_days: int, price:
     those that see nothing keep their row without a second join.
     """
     width = max(1, lookback_days // 4)
-    names = sorted(c for c in bars.columns if c not in ("ticker", "trade_date", "known_from", "known_until"))
-    offered = _bars_offered(requests, bars, lookback_days, names, width)
-    held = offered.groupBy("ticker", "_bucket").agg(
-        F.collect_list(F.struct("trade_date", price.alias("price"), "known_from", "known_until")).alias("_held")
-    )
+    held = held_bars(requests, bars, lookback_days, price)
     day = F.col("as_of")
     seen = F.filter("_held", lambda v: (
         (v["trade_date"] >= F.date_sub(day, lookback_days - 1)) & (v["trade_date"] <= day)

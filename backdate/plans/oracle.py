@@ -462,9 +462,19 @@ def _content(table: str, action: str, source: str, columns: str) -> str:
     return f"SELECT '{table}' AS table_name, {action} AS action, concat_ws('|', {shown}) AS content FROM {source}"
 
 
+_PANEL_ROWS = _with(REQUESTS, PRICE_BAR, INDICATORS) + f"""
+SELECT ticker, {_text('as_of')}, n_bars, rsi_14, macd, macd_signal, macd_histogram FROM indicator"""
+
 ORACLE_SQL: dict[str, str] = {
-    "indicators_panel": _with(REQUESTS, PRICE_BAR, INDICATORS) + f"""
-SELECT ticker, {_text('as_of')}, n_bars, rsi_14, macd, macd_signal, macd_histogram FROM indicator""",
+    "indicators_mapped": _PANEL_ROWS,
+
+    "trailing_closes": _with(PRICE_BAR, "requests AS (SELECT DISTINCT ticker, trade_date AS as_of FROM price_log)") + f"""
+SELECT r.ticker, CAST(r.as_of AS VARCHAR) AS as_of, count(*) AS n_bars, CAST(min(close) AS DOUBLE) AS lowest,
+  CAST(max(close) AS DOUBLE) AS highest, CAST(sum(close) AS DOUBLE) / count(*) AS mean
+FROM requests r JOIN price_bar b ON {IN_VIEW} AND b.trade_date > r.as_of - 30
+GROUP BY r.ticker, r.as_of""",
+
+    "indicators_panel": _PANEL_ROWS,
 
     "indicators_early": _with(REQUESTS.replace("(DATE '1997-06-30'), (DATE '1999-03-01'), (DATE '2001-06-30')",
                                                "(DATE '1995-01-20'), (DATE '1995-03-10')"), PRICE_BAR, INDICATORS) + f"""

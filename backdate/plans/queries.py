@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from backdate.functions.dates import open_end
 from backdate.functions.text import first_sentences
-from backdate.operators import evaluate, ingest, maintenance, news, panel, pointintime, quality, responses, versions
-from backdate.operators.indicators import indicators, price_snapshot
+from backdate.operators import evaluate, ingest, maintenance, news, panel, pointintime, quality, responses, sweep, versions
+from backdate.operators.indicators import indicators, indicators_by_maps, price_snapshot
 from backdate.schemas import (
     CONFIDENCES,
     FACT_KEYS,
@@ -35,6 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 KNOWN_ON = "1999-03-01"
 EARLY = ("1995-01-20", "1995-03-10")
 PERIOD_END = "1998-12-31"
+TRAILING_DAYS = 30
 INGESTED_ON = "2002-06-30"
 CLOCK = "2002-06-30 12:00:00"
 
@@ -76,6 +77,18 @@ def indicators_panel(spark: SparkSession, d: str) -> DataFrame:
     return indicators(requests, _bars_for(spark, d, requests, INDICATOR_LOOKBACK_DAYS))
 
 
+def indicators_mapped(spark: SparkSession, d: str) -> DataFrame:
+    """The panel by maps of buckets instead of arrays of bars."""
+    requests = derived.requests(spark, d)
+    return indicators_by_maps(requests, _bars_for(spark, d, requests, INDICATOR_LOOKBACK_DAYS))
+
+
+def trailing_closes(spark: SparkSession, d: str) -> DataFrame:
+    """Dense requests: every ticker on every day it was traded, and the closes of 30 days as believed on that day."""
+    traded = derived.price_observations(spark, d, ()).select("ticker", F.col("trade_date").alias("as_of"))
+    return sweep.trailing(traded, derived.price_bar(spark, d, ("close",)), TRAILING_DAYS)
+
+
 def indicators_early(spark: SparkSession, d: str) -> DataFrame:
     """So early in the data that some series are too short."""
     requests = derived.requests(spark, d, EARLY)
@@ -635,6 +648,8 @@ def macd_short(spark: SparkSession, d: str) -> DataFrame:
 
 NAMED: dict[str, Query] = {
     "indicators_panel": indicators_panel,
+    "indicators_mapped": indicators_mapped,
+    "trailing_closes": trailing_closes,
     "indicators_early": indicators_early,
     "price_history": price_history,
     "price_snapshot": price_snapshots,
