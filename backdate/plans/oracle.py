@@ -468,6 +468,25 @@ SELECT ticker, {_text('as_of')}, n_bars, rsi_14, macd, macd_signal, macd_histogr
 ORACLE_SQL: dict[str, str] = {
     "indicators_mapped": _PANEL_ROWS,
 
+    "late_price_delta": _with(
+        PRICE_LOG, _versions("old", "price_log", PRICE_KEYS, "close", "trade_date", "l_returnflag <> 'R'"),
+        _versions("whole", "price_log", PRICE_KEYS, "close", "trade_date"),
+        """
+late AS (SELECT DISTINCT ticker, trade_date FROM price_log WHERE l_returnflag = 'R'),
+counted AS (
+  SELECT ticker, trade_date, close, known_from, known_until, count(*) FILTER (WHERE s = 0) AS n_old, count(*) FILTER (WHERE s = 1) AS n_new
+  FROM (SELECT 0 AS s, ticker, trade_date, close, known_from, known_until FROM old
+        UNION ALL SELECT 1, ticker, trade_date, close, known_from, known_until FROM whole)
+  SEMI JOIN late USING (ticker, trade_date) GROUP BY ALL)""") + f"""
+SELECT ticker, {_text('trade_date', 'known_from', 'known_until')}, CAST(close AS DOUBLE) AS close,
+  CAST(close AS DOUBLE) AS adj_close, change
+FROM counted, unnest(list_concat(CASE WHEN n_old > 0 THEN ['withdrawn'] ELSE [] END, list_transform(range(n_new), lambda x: 'added'))) AS u(change)
+WHERE n_old <> n_new""",
+
+    "late_price_versions": _with(PRICE_BAR) + f"""
+SELECT ticker, {_text('trade_date', 'known_from', 'known_until')}, CAST(close AS DOUBLE) AS close,
+  CAST(close AS DOUBLE) AS adj_close FROM price_bar""",
+
     "trailing_closes": _with(PRICE_BAR, "requests AS (SELECT DISTINCT ticker, trade_date AS as_of FROM price_log)") + f"""
 SELECT r.ticker, CAST(r.as_of AS VARCHAR) AS as_of, count(*) AS n_bars, CAST(min(close) AS DOUBLE) AS lowest,
   CAST(max(close) AS DOUBLE) AS highest, CAST(sum(close) AS DOUBLE) / count(*) AS mean

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from backdate.functions.dates import open_end
 from backdate.functions.text import first_sentences
-from backdate.operators import evaluate, ingest, maintenance, news, panel, pointintime, quality, responses, sweep, versions
+from backdate.operators import deltas, evaluate, ingest, maintenance, news, panel, pointintime, quality, responses, sweep, versions
 from backdate.operators.indicators import indicators, indicators_by_maps, price_snapshot
 from backdate.schemas import (
     CONFIDENCES,
@@ -154,6 +154,31 @@ def fact_versions(spark: SparkSession, d: str) -> DataFrame:
     return derived.fundamental_fact(spark, d)
 
 
+def _late_prices(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The price log without the returned lines, and those, which are observed before and after others."""
+    on_time, late = (
+        derived.price_observations(spark, d, ("close",), where, derived.LINE_ORDER)
+        for where in ("l_returnflag <> 'R'", "l_returnflag = 'R'")
+    )
+    return on_time, late
+
+
+def _price_delta(on_time: DataFrame, late: DataFrame) -> DataFrame:
+    return deltas.window_delta(on_time, late, PRICE_KEYS, ["adj_close"], derived.LINE_ORDER, F.col("trade_date"))
+
+
+def late_price_delta(spark: SparkSession, d: str) -> DataFrame:
+    """What late observations take from and add to the windows."""
+    return _price_delta(*_late_prices(spark, d))
+
+
+def late_price_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Windows kept up by the delta of late observations."""
+    on_time, late = _late_prices(spark, d)
+    windows = versions.build_versions(on_time, PRICE_KEYS, ["adj_close"], derived.LINE_ORDER, F.col("trade_date"))
+    return deltas.apply_delta(windows, _price_delta(on_time, late))
+
+
 def open_versions(spark: SparkSession, d: str) -> DataFrame:
     return versions.open_versions(derived.price_bar(spark, d))
 
@@ -663,6 +688,8 @@ NAMED: dict[str, Query] = {
     "news_visible": news_visible,
     "build_versions": price_versions,
     "build_fact_versions": fact_versions,
+    "late_price_delta": late_price_delta,
+    "late_price_versions": late_price_versions,
     "open_versions": open_versions,
     "apply_batch_prices": apply_batch_prices,
     "apply_batch_facts": apply_batch_facts,

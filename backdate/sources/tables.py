@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,6 +86,39 @@ def write_versions(df: DataFrame, path: str, key_date: str, keys: Sequence[str],
     )
 
 
+def touched_years(rows: DataFrame, key_date: str) -> list[int]:
+    """The years of valid time that rows fall in; as few numbers as there are years."""
+    years = rows.select(F.year(key_date).alias("y")).where("y IS NOT NULL").distinct().collect()
+    return sorted(r["y"] for r in years)
+
+
+def read_years(spark: SparkSession, path: str, table: str, years: Sequence[int]) -> DataFrame:
+    """Those years of a table that :func:`write_versions` stores; no other directory is listed in the scan."""
+    stored = spark.read.schema(f"{TABLES[table]}, valid_year int").parquet(path)
+    return stored.where(F.col("valid_year").isin(*years)).drop("valid_year")
+
+
+def update_years(
+    change: DataFrame, path: str, table: str, key_date: str, keys: Sequence[str], files_per_year: int,
+    apply: Callable[[DataFrame, DataFrame], DataFrame],
+) -> list[int]:
+    """Apply a batch or a delta to a stored versioned table, reading and rewriting only the years it touches.
+
+    ``apply(current, change)`` gets the rows of those years and returns all that is
+    to stand there; a row moves to no other year, since its date is part of its key.
+    The new files replace a year's old ones when the job commits, so a failed write
+    leaves the table as it was. Years that lose all rows keep their old files: a
+    versioned table never forgets a key. Rows without a date are refused. Returns the years.
+    """
+    spark = change.sparkSession
+    if change.where(F.col(key_date).isNull()).limit(1).count():
+        raise ValueError(f"rows without {key_date} belong to no year")
+    years = touched_years(change, key_date)
+    if years:
+        write_versions(apply(read_years(spark, path, table, years), change), path, key_date, keys, files_per_year)
+    return years
+
+
 def save_bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, path: str) -> None:
     """Save as a catalog table at ``path``, bucketed and sorted by its whole key.
 
