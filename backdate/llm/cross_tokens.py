@@ -3,7 +3,7 @@
 Each text is tokenised whole by both. Byte offsets at which tokens of both end are
 shared ends; where both next tokens also begin with a space, the text is cut into
 windows. A window is its two tuples of token ids, which is all its alignment depends
-on, so a block of documents (some megabytes of text) aligns a window once and
+on, so a block of documents (about a megabyte of text) aligns a window once and
 remembers it, however often it comes.
 
 A document is then a list of windows, and its block holds each of these and each
@@ -38,8 +38,8 @@ from backdate.llm.fingerprints import BASE, INVERSE, STEP, _power, chunks, mix
 
 TOKENIZER_A = "byte_bpe_50k.json"
 TOKENIZER_B = "piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20
-MEMO_BYTES = 48 << 20  # what a worker remembers of splits, and of units
+BLOCK_BYTES = 1 << 20
+MEMO_BYTES = 36 << 20  # what a worker remembers of splits, and of units
 ENTRY_BYTES = 200  # of a remembered split, besides its letters
 SHIFT = 16  # a pair of ids is one number, the first id above the second
 LOW = (1 << SHIFT) - 1
@@ -200,7 +200,7 @@ class Aligner:
         self.size_a, self.size_b = (np.array([len(t) for t in side.tokens], np.int64) for side in (self.a, self.b))
         self.spaced_a, self.spaced_b = (np.array([t[:1] == b" " for t in side.tokens]) for side in (self.a, self.b))
         # An id as it stands in the text of the groups: inside or at the end of its side of a group.
-        self.written = [f"{i}{mark}" for mark in ",|,;" for i in range(LOW + 1)]
+        self.written = [f"{i}{mark}" for side, marks in ((self.a, ",|"), (self.b, ",;")) for mark in marks for i in range(len(side.tokens))]
 
     def cut(self, text: str, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, str] | None:
         """How many ids of either side each window has, the number of groups, and the groups as text; None if the tokens do not spell it."""
@@ -220,9 +220,9 @@ class Aligner:
         return n_a, n_b, len(last_a), self._groups(a, b, last_a, last_b)
 
     def _groups(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> str:
-        ids = [a.astype(np.int64), b.astype(np.int64) + 2 * (LOW + 1)]
-        for side, last in zip(ids, (last_a, last_b), strict=True):
-            side[last] += LOW + 1
+        ids = [a.astype(np.int64), b.astype(np.int64) + 2 * len(self.a.tokens)]
+        for tokens, side, last in ((self.a.tokens, ids[0], last_a), (self.b.tokens, ids[1], last_b)):
+            side[last] += len(tokens)
         # A token comes after its own side's earlier tokens and those of the other side up to its group.
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + np.repeat(np.append(0, last_b[:-1] + 1), np.diff(last_a, prepend=-1))] = ids[0]
@@ -236,7 +236,7 @@ def _aligner(path_a: str, path_b: str) -> Aligner:
 
 
 class _Block:
-    """Documents of some megabytes of text and the windows they are made of, each aligned and held once."""
+    """Documents of about a megabyte of text and the windows they are made of, each aligned and held once."""
 
     def __init__(self, number: int):
         self.number, self.bytes = number, 0
