@@ -118,11 +118,11 @@ def test_an_empty_corpus(spark, no_docs):
         assert docs.count() == 0
 
 
-def test_ten_queries_and_the_pipeline_are_registered():
+def test_all_queries_and_the_pipeline_are_registered():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) <= names and "pipeline" in names and set(ORACLE_SQL) <= set(QUERIES)
 
 
@@ -140,7 +140,7 @@ def test_the_rest_works_without_them(tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     df = QUERIES[name](spark, str(SMALL))
     cur = con.execute(ORACLE_SQL[name])
