@@ -168,6 +168,24 @@ def _references(tables: Mapping[str, DataFrame], foreign_keys: Sequence[tuple[st
     return _counts(totals, [(f"_f{i}", c, f"{ck} references {p}") for i, (c, ck, p, _) in enumerate(foreign_keys)])
 
 
+def row_rules(not_null: Sequence[str] = (), allowed: Mapping[str, Sequence[str]] | None = None) -> dict[str, Column]:
+    """What breaks a table's declared rules that a row decides on its own, by rule; NULL is an allowed value."""
+    rules = {f"{c} not null": F.col(c).isNull() for c in not_null}
+    for column, values in (allowed or {}).items():
+        rules[f"{column} in ({', '.join(values)})"] = F.col(column).isNotNull() & ~F.col(column).isin(*values)
+    return rules
+
+
+def bound_rules(date_col: str) -> dict[str, Column]:
+    """What breaks the bound of rows read for requests: none may be dated after its request."""
+    return {f"{date_col} up to as_of": F.col(date_col) > F.col("as_of")}
+
+
+def version_rules() -> dict[str, Column]:
+    """What breaks a version on its own: a belief that ends before it begins."""
+    return {"known_from up to known_until": F.col("known_from") > F.col("known_until")}
+
+
 def constraint_violations(
     tables: Mapping[str, DataFrame],
     primary_keys: Mapping[str, Sequence[str]],
@@ -184,10 +202,9 @@ def constraint_violations(
     """
     per_row: dict[str, dict[str, Column]] = {t: {} for t in primary_keys}
     for table, columns in (not_null or {}).items():
-        per_row.setdefault(table, {}).update({f"{c} not null": F.col(c).isNull() for c in columns})
+        per_row.setdefault(table, {}).update(row_rules(columns))
     for (table, column), values in (allowed or {}).items():
-        broken = F.col(column).isNotNull() & ~F.col(column).isin(*values)
-        per_row.setdefault(table, {})[f"{column} in ({', '.join(values)})"] = broken
+        per_row.setdefault(table, {}).update(row_rules(allowed={column: values}))
     reports = [_table_rules(tables[t], t, primary_keys.get(t, ()), rules) for t, rules in per_row.items()]
     if foreign_keys:
         reports.append(_references(tables, foreign_keys))

@@ -85,6 +85,39 @@ def parse_reports(messages: DataFrame) -> DataFrame:
     return checked.select("run_id", *[F.when(valid, F.col(f"_p.{f}")).alias(f) for f in fields], "problem")
 
 
+def payloads_as_variant(messages: DataFrame) -> DataFrame:
+    """Messages with their payload as VARIANT, parsed once; NULL where the text is no JSON.
+
+    Stored so, a payload keeps every field it came with, and a query reads the
+    fields it names without parsing the text again.
+    """
+    return messages.withColumn("payload", F.try_parse_json("payload"))
+
+
+def verdicts_of_variants(messages: DataFrame) -> DataFrame:
+    """:func:`parse_verdicts` over VARIANT payloads; ``extra`` keeps the fields that no verdict has, as JSON.
+
+    ``extra`` is NULL where there are none and where the payload is no object. A
+    field that is an object or a list is taken as its JSON text.
+    """
+    fields = ["recommendation", "reasoning", "strongest_counterpoint", "confidence"]
+    parts = F.try_variant_get("payload", "$", "map<string,variant>")
+    extra = F.map_filter("_parts", lambda name, _: ~name.isin(*fields))
+    read = messages.withColumn("_parts", parts).withColumns({
+        **{f"_{f}": F.try_variant_get("payload", f"$.{f}", "string") for f in fields},
+        "extra": F.when(F.size(F.map_keys(extra)) > 0, F.to_json(extra)),
+    })
+    allowed = {"recommendation": RECOMMENDATIONS, "confidence": CONFIDENCES}
+    problem = F.when(F.col("_parts").isNull(), "not valid JSON for the schema")
+    for f in fields:
+        problem = problem.when(F.col(f"_{f}").isNull(), f"missing {f}")
+    for f, values in allowed.items():
+        problem = problem.when(~F.col(f"_{f}").isin(*values), f"{f} not allowed")
+    return read.withColumn("problem", problem).select(
+        "run_id", *[F.when(F.col("problem").isNull(), F.col(f"_{f}")).alias(f) for f in fields], "problem", "extra"
+    )
+
+
 def failure_reason() -> Column:
     """The error text of a failed attempt's payload."""
     return F.from_json("payload", FAILURE_PAYLOAD)["error"]

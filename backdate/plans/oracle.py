@@ -504,6 +504,12 @@ SELECT r.ticker, CAST(r.as_of AS VARCHAR) AS as_of, {_text('trade_date')}, CAST(
   {_double('high', 'low', 'close', 'volume')}
 FROM requests r JOIN price_bar b ON {IN_VIEW} AND b.trade_date > r.as_of - 180""",
 
+    "stored_price_history": _with(REQUESTS, PRICE_BAR) + f"""
+SELECT r.ticker, CAST(r.as_of AS VARCHAR) AS as_of, {_text('trade_date')}, CAST(close AS DOUBLE) AS open,
+  {_double('high', 'low', 'close', 'volume')}
+FROM requests r JOIN price_bar b ON {IN_VIEW} AND b.trade_date > r.as_of - 180""",
+    "stored_facts_as_of": _with(REQUESTS, FACTS, FACTS_SEEN) + f"SELECT {_text('as_of')}, {FACT_ROW} FROM seen",
+
     "price_snapshot": _with(REQUESTS, PRICE_BAR, SNAPSHOT) + f"""
 SELECT ticker, {_text('as_of')}, n_bars, last_close, pct_change_1d, pct_change_5d, pct_change_21d FROM snapshot""",
 
@@ -571,6 +577,11 @@ SELECT ticker, metric, {_text('period_start', 'period_end')}, {_double('value')}
     "ingest_news_dedup": _with(FEED, NEW_ITEMS) + f"""
 SELECT ticker, headline, source, {_text('published_at')}, url, summary, feed_pos, '2002-06-30 12:00:00' AS ingested_at
 FROM new_items""",
+    "landed_news": f"""
+SELECT doc_id AS feed_pos, CASE WHEN doc_id % 10 NOT IN (3, 5, 7) THEN {DOC_TICKER} END AS ticker,
+  CASE WHEN doc_id % 10 NOT IN (3, 5, 7) THEN string_split(text, chr(10))[1] END AS title,
+  CASE WHEN doc_id % 10 IN (5, 7) THEN 'unreadable' WHEN doc_id % 10 = 3 THEN 'missing ticker' ELSE 'accepted' END AS outcome
+FROM documents""",
     "news_undated": f"""
 SELECT {DOC_TICKER} AS ticker, doc_id AS feed_pos, 'soon' AS pub_date FROM documents WHERE doc_id % 50 = 49""",
     "truncate_sentences": f"SELECT doc_id, {SENTENCES} AS summary FROM documents",
@@ -640,6 +651,29 @@ SELECT r.ticker, CAST(r.as_of AS VARCHAR) AS as_of, coalesce(b.n, 0) AS n_bars,
 FROM requests r LEFT JOIN bar_count b USING (ticker, as_of) LEFT JOIN news_count w USING (ticker, as_of)""",
     "constraint_violations": _with(COMPANY, PRICE_BAR, FACTS, NEWS, RUN, MESSAGE, VERDICT)
     + ", fundamental_fact AS (SELECT * FROM fact)\n" + "\nUNION ALL\n".join(_RULES),
+    "violations_while_writing": _with(REQUESTS, PRICE_BAR, NEWS, NEWS_TOP, RUN, MESSAGE, VERDICT) + f""",
+broken AS (
+  SELECT * REPLACE (CASE WHEN day(trade_date) = 17 THEN {OPEN}
+    WHEN day(trade_date) = 13 AND known_until <> {OPEN} THEN known_from - 1 ELSE known_until END AS known_until)
+  FROM price_bar),
+history AS (
+  SELECT r.as_of, trade_date FROM requests r JOIN price_bar b ON {IN_VIEW} AND b.trade_date > r.as_of - 180)
+""" + "\nUNION ALL\n".join([
+        *[f"SELECT '{name}' AS table_name, 'rows' AS rule, count(*) AS violations FROM {table}" for name, table in (
+            ("price_bar", "broken"), ("price_history", "history"), ("news_top_k", "news_top"), ("run", "run"),
+            ("agent_message", "agent_message"), ("verdict", "verdict"))],
+        "SELECT 'price_bar', 'known_from up to known_until', count(*) FROM broken WHERE known_from > known_until",
+        "SELECT 'price_history', 'trade_date up to as_of', count(*) FROM history WHERE trade_date > as_of",
+        "SELECT 'news_top_k', 'published up to as_of', count(*) FROM news_top WHERE published_at > as_of",
+        *_null_rules("price_bar", "ticker trade_date known_from"),
+        *_null_rules("agent_message", "agent_name prompt_tokens payload"),
+        *_null_rules("verdict", "reasoning"),
+        _value_rule("run", "mode", "baseline, multi_agent"),
+        _value_rule("run", "status", "running, completed, failed"),
+        _value_rule("verdict", "recommendation", "buy, hold, sell"),
+        _value_rule("verdict", "confidence", "low, medium, high"),
+        _value_rule("agent_message", "agent_name", "user, assistant"),
+    ]),
     "coverage_gaps": _with(STORED) + f"SELECT ticker, {_text('as_of')}, n_rows FROM stored WHERE n_rows < 300",
     "stored_rows": _with(STORED) + f"SELECT ticker, {_text('as_of')}, n_rows FROM stored",
     "run_status": _with(STATUS) + f"""
@@ -760,6 +794,19 @@ SELECT run_id,
   CASE WHEN kind IN (0, 4) THEN 'high' END AS confidence,
   CASE kind WHEN 1 THEN 'recommendation not allowed' WHEN 2 THEN 'missing confidence'
     WHEN 3 THEN 'not valid JSON for the schema' WHEN 5 THEN 'missing recommendation' END AS problem
+FROM made""",
+    "verdicts_as_variant": """
+WITH made AS (
+  SELECT conv_id || '-' || turn AS run_id, turn, role, text, (conv_id + turn) % 6 AS kind FROM conversations)
+SELECT run_id,
+  CASE WHEN kind IN (0, 4) THEN 'buy' END AS recommendation,
+  CASE WHEN kind IN (0, 4) THEN text END AS reasoning,
+  CASE WHEN kind IN (0, 4) THEN role END AS strongest_counterpoint,
+  CASE WHEN kind IN (0, 4) THEN 'high' END AS confidence,
+  CASE kind WHEN 1 THEN 'recommendation not allowed' WHEN 2 THEN 'missing confidence'
+    WHEN 3 THEN 'not valid JSON for the schema' WHEN 5 THEN 'missing recommendation' END AS problem,
+  CASE WHEN kind = 5 AND turn % 4 = 1 THEN '{"error":"no reply","turn_no":' || turn || '}'
+    WHEN kind = 5 THEN '{"error":"no reply"}' WHEN kind <> 3 AND turn % 4 = 1 THEN '{"turn_no":' || turn || '}' END AS extra
 FROM made""",
     "parse_arguments": _with(ARGUMENTS) + """,
 made AS (SELECT *, (run_id::BIGINT + round) % 7 AS kind FROM argument)

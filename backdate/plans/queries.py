@@ -23,12 +23,14 @@ from backdate.schemas import (
     INDICATOR_LOOKBACK_DAYS,
     MACD_SLOW,
     MODES,
+    NEWS_FEED,
     PRICE_KEYS,
     RECOMMENDATIONS,
     STANCES,
     STATUSES,
 )
-from backdate.sources import derived
+from backdate.session import new_folder
+from backdate.sources import derived, landing, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +40,7 @@ PERIOD_END = "1998-12-31"
 TRAILING_DAYS = 30
 INGESTED_ON = "2002-06-30"
 CLOCK = "2002-06-30 12:00:00"
+FILES_PER_YEAR = 4
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -101,6 +104,21 @@ def price_history(spark: SparkSession, d: str) -> DataFrame:
     return pointintime.price_history(requests, bars)
 
 
+def stored_price_history(spark: SparkSession, d: str) -> DataFrame:
+    """From a stored table, of which the scan opens only the years the requests can see."""
+    requests, path = derived.requests(spark, d), new_folder(spark, "price_bar")
+    tables.write_versions(derived.price_bar(spark, d), path, "trade_date", PRICE_KEYS, FILES_PER_YEAR)
+    bars = tables.read_asked(spark, path, "price_bar", requests, HISTORY_LOOKBACK_DAYS)
+    return pointintime.price_history(requests, bars)
+
+
+def stored_facts_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """The same for figures, which have no look-back."""
+    requests, path = derived.requests(spark, d), new_folder(spark, "fundamental_fact")
+    tables.write_versions(derived.fundamental_fact(spark, d), path, "period_end", FACT_KEYS, FILES_PER_YEAR)
+    return pointintime.facts_as_of(tables.read_asked(spark, path, "fundamental_fact", requests), requests)
+
+
 def price_snapshots(spark: SparkSession, d: str) -> DataFrame:
     requests = derived.requests(spark, d)
     return price_snapshot(requests, _bars_for(spark, d, requests, HISTORY_LOOKBACK_DAYS))
@@ -306,6 +324,27 @@ def ingest_news_dedup(spark: SparkSession, d: str) -> DataFrame:
     return news.ingest_news(stored, feed, "1999-09-30", max_items=8, ingested_at=CLOCK)
 
 
+def landed_news(spark: SparkSession, d: str) -> DataFrame:
+    """The feed as JSON lines of which some are broken off, hold a word for a number, or have no ticker."""
+    entry = _news_feed(spark, d).select("ticker", "feed_pos", "content")
+    kind = F.col("feed_pos") % 10
+    text = F.to_json(F.struct("feed_pos", F.when(kind != 3, F.col("ticker")).alias("ticker"), "content"))
+    line = F.when(kind == 7, F.expr("substring(_text, 1, length(_text) - 2)")).when(
+        kind == 5, F.expr("concat('{\"feed_pos\":\"', feed_pos, ' or so\"', substring(_text, instr(_text, ',')))")
+    ).otherwise(F.col("_text"))
+    feed, landed = new_folder(spark, "news_feed"), new_folder(spark, "news_landed")
+    entry.withColumn("_text", text).select(line.alias("value")).write.text(feed)
+    landing.land(spark, feed, landed, NEWS_FEED)
+    good = landing.sound(spark, landed, NEWS_FEED).select(
+        "feed_pos", "ticker", F.col("content.title").alias("title"), F.lit("accepted").alias("outcome")
+    )
+    number = F.regexp_extract(landing.LINE, r'^\{"feed_pos":"?(\d+)', 1).cast("long")
+    return good.unionByName(landing.quarantined(spark, landed, NEWS_FEED).select(
+        F.coalesce(number, "feed_pos").alias("feed_pos"), F.lit(None).cast("string").alias("ticker"),
+        F.lit(None).cast("string").alias("title"), F.col(landing.REASON).alias("outcome"),
+    ))
+
+
 def news_undated(spark: SparkSession, d: str) -> DataFrame:
     return news.undated_news(_news_feed(spark, d)).select("ticker", "feed_pos", F.col("content.pubDate").alias("pub_date"))
 
@@ -431,6 +470,33 @@ def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def violations_while_writing(spark: SparkSession, d: str) -> DataFrame:
+    """The rules a row decides on its own, counted by the tasks that write the tables.
+
+    Besides declared constraints: no bar read for a request is dated after it, and
+    no belief ends before it begins, of bars with planted faults.
+    """
+    requests = derived.requests(spark, d)
+    written = {
+        "price_bar": (_broken_bars(spark, d), {**quality.row_rules(["ticker", "trade_date", "known_from"]), **quality.version_rules()}),
+        "price_history": (price_history(spark, d), quality.bound_rules("trade_date")),
+        "news_top_k": (news.news_top_k(requests, derived.news_item(spark, d)), quality.bound_rules("published")),
+        "run": (derived.run(spark, d), quality.row_rules(allowed={"mode": MODES, "status": STATUSES})),
+        "agent_message": (derived.agent_message(spark, d), quality.row_rules(
+            ["agent_name", "prompt_tokens", "payload"], {"agent_name": ("user", "assistant")},
+        )),
+        "verdict": (derived.verdict(spark, d), quality.row_rules(
+            ["reasoning"], {"recommendation": RECOMMENDATIONS, "confidence": CONFIDENCES},
+        )),
+    }
+    found = [
+        (table, rule, n)
+        for table, (df, rules) in written.items()
+        for rule, n in tables.write_observed(df, rules, lambda rows, t=table: rows.write.parquet(new_folder(spark, t))).items()
+    ]
+    return spark.createDataFrame(found, "table_name string, rule string, violations long")
+
+
 def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     """With a gate of 300 rows, so that the generated data has gaps to report."""
     return quality.coverage_gaps(derived.requests(spark, d), derived.price_bar(spark, d, []), min_rows=300)
@@ -617,6 +683,18 @@ def parse_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return responses.parse_verdicts(_verdict_payloads(spark, d))
 
 
+def verdicts_as_variant(spark: SparkSession, d: str) -> DataFrame:
+    """Verdict payloads stored as VARIANT and read by field; some carry a field that no verdict has."""
+    turn = F.substring_index("run_id", "-", -1)
+    numbered = F.expr("concat(substring(payload, 1, length(payload) - 1), ',\"turn_no\":', substring_index(run_id, '-', -1), '}')")
+    made = _verdict_payloads(spark, d).withColumn(
+        "payload", F.when((turn.cast("long") % 4 == 1) & F.endswith("payload", F.lit("}")), numbered).otherwise(F.col("payload"))
+    )
+    path = new_folder(spark, "message_variant")
+    responses.payloads_as_variant(made).write.parquet(path)
+    return responses.verdicts_of_variants(spark.read.schema("run_id string, payload variant").parquet(path))
+
+
 def parse_arguments(spark: SparkSession, d: str) -> DataFrame:
     """Arguments written as JSON and read back; some are broken off, of no side, or without claims."""
     kind = F.pmod(F.col("run_id").cast("long") + F.col("round"), F.lit(7))
@@ -677,6 +755,8 @@ NAMED: dict[str, Query] = {
     "trailing_closes": trailing_closes,
     "indicators_early": indicators_early,
     "price_history": price_history,
+    "stored_price_history": stored_price_history,
+    "stored_facts_as_of": stored_facts_as_of,
     "price_snapshot": price_snapshots,
     "daily_changes": daily_changes,
     "prices_known_on": prices_known_on,
@@ -700,6 +780,7 @@ NAMED: dict[str, Query] = {
     "ingest_facts_unpivot": ingest_facts_unpivot,
     "ingest_facts_clean": ingest_facts_clean,
     "ingest_news_dedup": ingest_news_dedup,
+    "landed_news": landed_news,
     "news_undated": news_undated,
     "truncate_sentences": truncate_sentences,
     "company_upsert": company_upsert,
@@ -709,6 +790,7 @@ NAMED: dict[str, Query] = {
     "leak_summary": leak_summary,
     "asof_bound_check": asof_bound_check,
     "constraint_violations": constraint_violations,
+    "violations_while_writing": violations_while_writing,
     "coverage_gaps": coverage_gaps,
     "stored_rows": stored_rows,
     "run_status": run_status,
@@ -732,6 +814,7 @@ NAMED: dict[str, Query] = {
     "debater_inputs": debater_inputs,
     "judge_inputs": judge_inputs,
     "parse_verdicts": parse_verdicts,
+    "verdicts_as_variant": verdicts_as_variant,
     "parse_arguments": parse_arguments,
     "final_attempts": final_attempts,
     "normalise_messages": normalise_messages,

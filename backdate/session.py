@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -35,6 +39,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
     return builder.getOrCreate()
 
 
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="backdate-tables-")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a table stored on the way, below ``spark.checkpoint.dir``; no two calls give the same.
+
+    Without that setting a local session takes a temporary folder and any other raises.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        shared = _own_folder()
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder named by ``spark.checkpoint.dir``.
 

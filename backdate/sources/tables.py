@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -98,6 +98,46 @@ def read_years(spark: SparkSession, path: str, table: str, years: Sequence[int])
     return stored.where(F.col("valid_year").isin(*years)).drop("valid_year")
 
 
+def read_asked(
+    spark: SparkSession, path: str, table: str, requests: DataFrame, lookback_days: int | None = None
+) -> DataFrame:
+    """The years of a stored versioned table that some request can see, found while the query runs.
+
+    With a look-back, the years between a request's oldest and its own day; the
+    scan lists only those directories (dynamic partition pruning), also where
+    requests lie decades apart. They are one number a year from 1 to 9999, hence
+    at most 9,999 rows to broadcast. Without one, every year up to the newest
+    request. No action runs here. Rows without a year are seen by no request.
+    """
+    stored = spark.read.schema(f"{TABLES[table]}, valid_year int").parquet(path)
+    if lookback_days is None:
+        newest = requests.agg(F.year(F.max("as_of"))).scalar()
+        return stored.where(F.col("valid_year") <= newest).drop("valid_year")
+    oldest = F.date_sub("as_of", lookback_days - 1)
+    years = (
+        requests.where(F.col("as_of").isNotNull())
+        .select(F.explode(F.sequence(F.year(oldest), F.year("as_of"))).alias("valid_year"))
+        .where(F.col("valid_year").between(1, 9999)).distinct()
+    )
+    return stored.join(F.broadcast(years), "valid_year", "left_semi").drop("valid_year")
+
+
+def write_observed(
+    df: DataFrame, rules: Mapping[str, Column], write: Callable[[DataFrame], None]
+) -> dict[str, int]:
+    """Write rows and count, in the same pass, how many break each rule; also ``rows``, how many there were.
+
+    ``write`` gets the rows and must write them as they come: the counts belong to
+    the writing tasks, of which each partition's successful one counts once. A
+    shuffle behind the counts could count a task's rows again when an executor is lost.
+    """
+    seen = Observation()
+    counts = [F.count_if(broken).alias(f"r{i}") for i, broken in enumerate(rules.values())]
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts))
+    found = seen.get
+    return {"rows": found["rows"], **{rule: found[f"r{i}"] for i, rule in enumerate(rules)}}
+
+
 def update_years(
     change: DataFrame, path: str, table: str, key_date: str, keys: Sequence[str], files_per_year: int,
     apply: Callable[[DataFrame, DataFrame], DataFrame],
