@@ -15,13 +15,19 @@ Defined results: vectors that are NULL, empty, hold NULL or non-finite
 components, or have a NULL id take no part; a shorter vector counts as zero
 beyond its end; rows with the query's own id are not its candidates; repeated
 rows of one id are one candidate each time; ties go to the smaller id.
+Vectors whose sums doubles can't hold exactly are searched in whole numbers of
+any size, block against block; their scores rank by their exact values, and one
+beyond a long is given as the nearest long.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,16 +38,26 @@ SCALE = 256
 TOP = 5
 SEED_ROWS = 4096  # longest vectors that every query meets first
 BLOCK_ROWS = 4096
-RESULT = "query_id long, rank int, vec_id long, score long"
+MET = "query_id long, q_key long, vec_id long, side int, digits string, score long"
+EXACT = 1 << 52  # squared length up to which sums of products are exact in doubles
+LARGE_QUERIES = 1024  # queries that meet a block of candidates in one task where either side is large
 HEAD = 0.25  # share of the coordinates scored before pruning
 
 
 def integer_vectors(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """``vec_id, v, norm2``: components as floor(scale * x), and the squared length."""
+    """``vec_id, v, norm2, large``: components as floor(scale * x), and the squared length.
+
+    Vectors too long for sums that are exact in doubles have no ``v`` and ``norm2``
+    but their components as they are in ``large``.
+    """
+    longest = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + F.pow(F.abs(x.cast("double")) * float(scale) + 1, F.lit(2.0)))
     whole = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
     sound = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where((F.size("embedding") > 0) & finite)
-    made = sound.select("vec_id", whole.alias("v"))
+    made = sound.withColumn("_fits", longest < float(EXACT)).select(
+        "vec_id", F.when(F.col("_fits"), whole).alias("v"),
+        F.when(~F.col("_fits"), F.transform("embedding", lambda x: x.cast("double"))).alias("large"),
+    )
     return made.withColumn("norm2", F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x))
 
 
@@ -116,17 +132,107 @@ def _longest_first(ids: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return ids[order], v[order]
 
 
+def _whole_numbers(row: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x) of each component, whatever its size."""
+    return [int(x) * scale if abs(x) >= EXACT else math.floor(x * scale) for x in row.tolist()]
+
+
+def _scaled(rows: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with components below 1, and the exponents taken out of them."""
+    out = np.zeros((len(rows), width))
+    for i, row in enumerate(rows):
+        out[i, : len(row)] = row
+    exponent = np.frexp(np.abs(out).max(axis=1, initial=0))[1]
+    return np.ldexp(out, -exponent[:, None]), exponent.astype(np.int64)
+
+
+def _ordered(score: int) -> tuple[int, str, int]:
+    """``side, digits, score`` that sort as the score does, with the nearest long for one beyond a long."""
+    if -(1 << 63) <= score < 1 << 63:
+        return 0, "", score
+    digits = str(abs(score))
+    if score > 0:
+        return 1, f"{len(digits):05d}{digits}", (1 << 63) - 1
+    return -1, f"{99999 - len(digits):05d}" + "".join(str(9 - int(d)) for d in digits), -(1 << 63)
+
+
+def _large_block(k: int, scale: int):
+    """The best k candidates of each query of one block by exact whole numbers, for components of any size.
+
+    Doubles bound each score from both sides; only candidates whose upper bound
+    reaches the k-th best lower bound are summed up exactly.
+    """
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        asked, held = rows[rows["kind"] == 1], rows[rows["kind"] == 0]
+        out: list[tuple] = []
+        width = max(len(x) for x in rows["x"])
+        c, c_exp = _scaled(list(held["x"]), width)
+        q, q_exp = _scaled(list(asked["x"]), width)
+        ids, vectors, numbers = held["vec_id"].to_numpy(np.int64), list(held["x"]), {}
+        shift = np.clip(c_exp - c_exp.max(initial=-2000), -1000, 0).astype(np.int32)
+        c_floor = np.ldexp(1.0, np.clip(-c_exp, -1000, 1000).astype(np.int32))
+        for i, (q_id, q_key, x) in enumerate(zip(asked["vec_id"], asked["q_key"], asked["x"], strict=True)):
+            # Off by rounding, and by the floors of either side: each below 1 / scale of a component.
+            off = width * (2.0**-40 + 2 * (c_floor + np.ldexp(1.0, int(np.clip(-q_exp[i], -1000, 1000)))))
+            near = c @ q[i]
+            low, high = np.ldexp(near - off, shift), np.ldexp(near + off, shift)
+            others = np.flatnonzero(ids != q_id)
+            if len(others) > k:
+                # Exponents more than 1000 apart are taken as 1000 apart, which moves no bound by 1e-290.
+                others = others[high[others] >= np.partition(low[others], -k)[-k] - 1e-290]
+            whole, scores = _whole_numbers(x, scale), []
+            for j in others.tolist():
+                if j not in numbers:
+                    numbers[j] = _whole_numbers(vectors[j], scale)
+                scores.append((-sum(a * b for a, b in zip(whole, numbers[j], strict=False)), int(ids[j])))
+            out.extend((q_id, q_key, vec_id, *_ordered(-score)) for score, vec_id in heapq.nsmallest(k, scores))
+        return pd.DataFrame(out, columns=["query_id", "q_key", "vec_id", "side", "digits", "score"])
+
+    return best
+
+
+def _large_met(queries: DataFrame, n_queries: int, candidates: DataFrame, n_candidates: int, k: int, scale: int) -> DataFrame:
+    """Every query against every candidate, in blocks of both; each task holds one block of either."""
+    slices, blocks = -(-n_queries // LARGE_QUERIES), -(-n_candidates // BLOCK_ROWS)
+    asked = stored(queries.repartition(slices).withColumn("slice", F.spark_partition_id())).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
+    held = stored(candidates.repartition(blocks).withColumn("block", F.spark_partition_id())).withColumn(
+        "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))
+    )
+    both = asked.withColumn("kind", F.lit(1)).unionByName(held.withColumn("kind", F.lit(0)))
+    return both.groupBy("slice", "block").applyInPandas(_large_block(k, scale), MET)
+
+
 def top_inner(
     rows: DataFrame, is_query: Callable[[Column], Column], k: int = TOP, scale: int = SCALE
 ) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of each row of ``rows (vec_id, embedding)`` that ``is_query``."""
-    spark = rows.sparkSession
-    vectors = stored(integer_vectors(rows, scale))
-    n, width, largest = vectors.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max("norm2")).first()
-    if not n:
-        return spark.createDataFrame([], RESULT)
-    if largest >= 1 << 52:
-        raise ValueError("components too large for exact sums")
+    every = stored(integer_vectors(rows, scale))
+    n, width, n_large = every.agg(F.count("v"), F.max(F.size("v")), F.count("large")).first()
+    met = _met(every.where("v IS NOT NULL").drop("large"), n, width, is_query, k) if n else rows.sparkSession.createDataFrame([], MET)
+    if n_large:
+        # Where a side is large, scores are whole numbers of any size: large queries meet all rows, the others the large ones.
+        numbers = every.select(
+            "vec_id", F.coalesce("large", F.transform("v", lambda x: x / float(scale))).alias("x"),
+            F.when(F.col("large").isNull(), F.xxhash64("v")).otherwise(F.xxhash64("large")).alias("q_key"),
+            F.col("large").isNotNull().alias("is_large"),
+        )
+        asked = numbers.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id", "x"])
+        n_asked = {r["is_large"]: r["count"] for r in asked.groupBy("is_large").count().collect()}
+        for large, candidates, n_candidates in ((True, numbers, n + n_large), (False, numbers.where("is_large"), n_large)):
+            if large in n_asked:
+                queries = asked.where(F.col("is_large") == large).drop("is_large")
+                met = met.unionByName(_large_met(queries, n_asked[large], candidates.drop("is_large"), n_candidates, k, scale))
+    # At most k rows per query and block, cut again before the shuffle.
+    best = Window.partitionBy("query_id", "q_key").orderBy(F.desc("side"), F.desc("digits"), F.desc("score"), "vec_id")
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _met(vectors: DataFrame, n: int, width: int, is_query: Callable[[Column], Column], k: int) -> DataFrame:
+    """Each query's best k of every block that may hold some of its best, among ``n`` vectors of exact sums."""
+    spark = vectors.sparkSession
     rotation = _rotation(vectors, width)
     search = _search(width, rotation, k)
 
@@ -187,7 +293,6 @@ def top_inner(
                     )
 
     met = dealt.mapInArrow(scan, "query_id long, q array<long>, vec_id long, score long")
-    # At most k rows per query and block, cut again before the shuffle.
-    best = Window.partitionBy("query_id", "q_key").orderBy(F.desc("score"), "vec_id")
-    ranked = met.withColumn("q_key", F.xxhash64("q")).drop("q").withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.select(
+        "query_id", F.xxhash64("q").alias("q_key"), "vec_id", F.lit(0).alias("side"), F.lit("").alias("digits"), "score"
+    )

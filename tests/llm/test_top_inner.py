@@ -56,3 +56,25 @@ def test_odd_rows_and_empty_tables(spark):
     assert run(df.where("false"), 10) == set() and run(df.where("vec_id = 7"), 10) == set()
     twice = df.where("vec_id in (0, 6, 7)").union(df.where("vec_id = 0"))
     assert run(twice, 10) == {(0, 1, 6, 3 * 256 * 256), (0, 2, 7, -3 * 256 * 256)} and F
+
+
+def test_components_of_any_finite_size(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(120)]
+    for i, size in ((3, 1e6), (10, 1e6), (20, 1e30), (30, 1e30), (41, 1e18), (50, 4e307), (61, 1e-300), (70, 4e9), (71, 4e9)):
+        rows[i] = (i, [rng.gauss(0, 1) * size for _ in range(6)])
+    rows.append((91, rows[70][1]))  # a tie
+    rows.append((130, [3e7, -2.0]))  # shorter
+    numbers = [(i, [int(x) * 256 if abs(x) >= 2**52 else math.floor(256 * x) for x in v]) for i, v in rows]
+    expected = []
+    for q_id, q in numbers:
+        if q_id % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), i) for i, v in numbers if i != q_id)[:5]
+            expected += [(q_id, rank, i, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, i) in enumerate(found, 1)]
+    got = top_inner(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 10 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(expected)
+    assert {2**63 - 1} < {r.score for r in got}
+    # Without a single ordinary row.
+    big = [(i, v) for i, v in rows if max(map(abs, v)) > 1e6]
+    got = top_inner(spark.createDataFrame(big, "vec_id long, embedding array<double>"), lambda i: i % 10 == 0).collect()
+    assert len(got) == 5 * sum(i % 10 == 0 for i, _ in big)
