@@ -333,7 +333,7 @@ def landed_news(spark: SparkSession, d: str) -> DataFrame:
         kind == 5, F.expr("concat('{\"feed_pos\":\"', feed_pos, ' or so\"', substring(_text, instr(_text, ',')))")
     ).otherwise(F.col("_text"))
     feed, landed = new_folder(spark, "news_feed"), new_folder(spark, "news_landed")
-    entry.withColumn("_text", text).select(line.alias("value")).write.text(feed)
+    entry.withColumn("_text", text).select(line.alias("value")).write.option("compression", "gzip").text(feed)
     landing.land(spark, feed, landed, NEWS_FEED)
     good = landing.sound(spark, landed, NEWS_FEED).select(
         "feed_pos", "ticker", F.col("content.title").alias("title"), F.lit("accepted").alias("outcome")

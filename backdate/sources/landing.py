@@ -70,7 +70,7 @@ def land(
     return write_observed(
         lines.withColumn("rejected", F.col(REASON).isNotNull()),
         {r: F.col(REASON) == r for r in ("unreadable", *[f"missing {c}" for c in required])},
-        lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("rejected").parquet(out),
+        lambda df: df.write.mode("overwrite").options(partitionOverwriteMode="static", compression="zstd").partitionBy("rejected").parquet(out),
     )
 
 
