@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from backdate.functions import maps, series
 from backdate.functions.dates import open_end
-from backdate.operators.pointintime import _buckets_asked, bar_arrays, distinct_requests, held_bars
+from backdate.operators.pointintime import buckets_asked, bar_arrays, distinct_requests, held_bars
 from backdate.schemas import (
     HISTORY_LOOKBACK_DAYS,
     INDICATOR_LOOKBACK_DAYS,
@@ -136,7 +136,7 @@ def indicators_by_maps(
     day, first_day = F.col("as_of"), F.date_sub("as_of", lookback_days - 1)
     starts, ends = (F.date_from_unix_date(F.col("_bucket") * width + n) for n in (0, width - 1))
     whole = (starts >= first_day) & (ends <= day) & (F.col("_settled_on") <= day)
-    met = settled.join(_buckets_asked(requests, lookback_days, width), ["ticker", "_bucket"])
+    met = settled.join(buckets_asked(requests, lookback_days, width), ["ticker", "_bucket"])
     # A bucket read as settled has no bars to fold.
     seen = F.when(~whole, F.filter("_held", lambda v: (
         (v["trade_date"] >= first_day) & (v["trade_date"] <= day) & (v["known_from"] <= day) & (v["known_until"] > day)

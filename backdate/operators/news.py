@@ -44,9 +44,20 @@ def in_top_k_until(news: DataFrame, k: int) -> DataFrame:
     )
 
 
-def news_top_k(requests: DataFrame, news: DataFrame, k: int = NEWS_CAP, bucket_days: int = 32) -> DataFrame:
+def _of_asked_tickers(news: DataFrame, requests: DataFrame, salts: int) -> DataFrame:
+    """The news of tickers that have a request; a hot one is split by day where the requests are too many to broadcast."""
+    wanted = requests.select("ticker").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.unix_date("published_at"), F.lit(salts))
+    return news.withColumn("_salt", salt).join(wanted, ["ticker", "_salt"], "left_semi").drop("_salt")
+
+
+def news_top_k(
+    requests: DataFrame, news: DataFrame, k: int = NEWS_CAP, bucket_days: int = 32, salts: int = 16
+) -> DataFrame:
     """The ``k`` newest items published by each request's date, ``position`` 1 = newest.
 
+    Only items of asked tickers are ranked.
+
     An item is offered in the calendar buckets in which it belongs to the top k
     and dates are asked for, and joined there on ticker and bucket. Outside the
     bucket it is published in, an item is one of k, so a hot ticker is spread
@@ -54,7 +65,7 @@ def news_top_k(requests: DataFrame, news: DataFrame, k: int = NEWS_CAP, bucket_d
     """
     columns = ["headline", "source", "published_at", "url", "summary"]
     offered = within_envelope(news.select("ticker", *columns), requests, "published_at", None)
-    ranked = in_top_k_until(offered, k)
+    ranked = in_top_k_until(_of_asked_tickers(offered, requests, salts), k)
     oldest, newest = (requests.agg(f("as_of")).scalar() for f in (F.min, F.max))
     low = day_bucket(F.greatest(F.col("published_at"), oldest), bucket_days)
     high = day_bucket(F.least(F.date_sub("leaves_on", 1), newest), bucket_days)

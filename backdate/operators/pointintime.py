@@ -55,7 +55,7 @@ def within_envelope(
     return df
 
 
-def _buckets_asked(requests: DataFrame, lookback_days: int, width: int) -> DataFrame:
+def buckets_asked(requests: DataFrame, lookback_days: int, width: int) -> DataFrame:
     oldest = F.date_sub("as_of", lookback_days - 1)
     return distinct_requests(requests).select(
         "ticker", "as_of",
@@ -80,7 +80,7 @@ def bars_in_view(requests: DataFrame, bars: DataFrame, lookback_days: int, colum
     width = max(1, lookback_days // 4)
     offered = _bars_offered(requests, bars, lookback_days, columns, width)
     return (
-        offered.join(_buckets_asked(requests, lookback_days, width), ["ticker", "_bucket"])
+        offered.join(buckets_asked(requests, lookback_days, width), ["ticker", "_bucket"])
         .where(
             (F.col("trade_date") >= F.date_sub("as_of", lookback_days - 1))
             & (F.col("trade_date") <= F.col("as_of"))
@@ -91,10 +91,14 @@ def bars_in_view(requests: DataFrame, bars: DataFrame, lookback_days: int, colum
 
 
 def held_bars(requests: DataFrame, bars: DataFrame, lookback_days: int, price: Column) -> DataFrame:
-    """``_held``, the versions of a ticker and calendar bucket as one array, made once however many requests read it."""
+    """``_held``, the versions of a ticker and calendar bucket as one array, made once however many requests read it.
+
+    Only buckets that some request asks for are shuffled and made.
+    """
     width = max(1, lookback_days // 4)
     names = sorted(c for c in bars.columns if c not in ("ticker", "trade_date", "known_from", "known_until"))
-    offered = _bars_offered(requests, bars, lookback_days, names, width)
+    wanted = buckets_asked(requests, lookback_days, width).select("ticker", "_bucket").distinct()
+    offered = _bars_offered(requests, bars, lookback_days, names, width).join(wanted, ["ticker", "_bucket"], "left_semi")
     return offered.groupBy("ticker", "_bucket").agg(
         F.collect_list(F.struct("trade_date", price.alias("price"), "known_from", "known_until")).alias("_held")
     )
@@ -116,7 +120,7 @@ def bar_arrays(requests: DataFrame, bars: DataFrame, lookback_days: int, price:
         & (v["known_from"] <= day) & (v["known_until"] > day)
     ))
     picked = F.transform(seen, lambda v: F.struct(v["trade_date"].alias("trade_date"), v["price"].alias("price")))
-    met = held.join(_buckets_asked(requests, lookback_days, width), ["ticker", "_bucket"]).select(
+    met = held.join(buckets_asked(requests, lookback_days, width), ["ticker", "_bucket"]).select(
         "ticker", "as_of", picked.alias("_bars")
     )
     none = F.array().cast("array<struct<trade_date: date, price: double>>")

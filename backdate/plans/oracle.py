@@ -91,10 +91,17 @@ news_top AS (
   FROM requests r JOIN news_item n ON n.ticker = r.ticker AND n.published_at <= r.as_of
   QUALIFY position <= 8)"""
 
+# The date text of a feed entry, and the date that is read from a text: its first ten characters, if they are one.
+PUB_DATE = f"""
+CASE WHEN doc_id % 50 = 49 THEN ['soon', '1999-02-30T10:00:00Z', '', NULL, '1999/03/01', '1999-03-01', '31.12.1998',
+    '1999-04-05 noon'][(doc_id // 50) % 8 + 1]
+  ELSE CAST({PUBLISHED} AS VARCHAR) || 'T23:30:00-05:00' END"""
+READ_DATE = """
+CASE WHEN regexp_full_match(left(pub_date, 10), '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN TRY_CAST(left(pub_date, 10) AS DATE) END"""
+
 FEED = f"""
 feed AS (
-  SELECT {DOC_TICKER} AS ticker, doc_id AS feed_pos,
-    CASE WHEN doc_id % 50 = 49 THEN NULL ELSE {PUBLISHED} END AS published_at,
+  SELECT {DOC_TICKER} AS ticker, doc_id AS feed_pos, {READ_DATE.replace("pub_date", f"({PUB_DATE})")} AS published_at,
     split_part(text, chr(10), 1) AS headline,
     CASE WHEN doc_id % 3 <> 0 THEN source ELSE 'Yahoo Finance' END AS source,
     CASE WHEN doc_id % 4 <> 0 THEN 'doc:' || doc_id ELSE '' END AS url,
@@ -583,7 +590,8 @@ SELECT doc_id AS feed_pos, CASE WHEN doc_id % 10 NOT IN (3, 5, 7) THEN {DOC_TICK
   CASE WHEN doc_id % 10 IN (5, 7) THEN 'unreadable' WHEN doc_id % 10 = 3 THEN 'missing ticker' ELSE 'accepted' END AS outcome
 FROM documents""",
     "news_undated": f"""
-SELECT {DOC_TICKER} AS ticker, doc_id AS feed_pos, 'soon' AS pub_date FROM documents WHERE doc_id % 50 = 49""",
+SELECT * FROM (SELECT {DOC_TICKER} AS ticker, doc_id AS feed_pos, {PUB_DATE} AS pub_date FROM documents)
+WHERE pub_date <> '' AND {READ_DATE} IS NULL""",
     "truncate_sentences": f"SELECT doc_id, {SENTENCES} AS summary FROM documents",
     "company_upsert": _with(COMPANY) + """
 SELECT 'S' || s_suppkey AS ticker,

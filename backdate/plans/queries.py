@@ -295,11 +295,16 @@ def ingest_facts_clean(spark: SparkSession, d: str) -> DataFrame:
     return ingest.clean_fact_rows(_quarterly_feed(spark, d))
 
 
+# Date texts of every fiftieth entry; a date can be read from those that begin with one in full.
+ODD_DATES = ("soon", "1999-02-30T10:00:00Z", "", None, "1999/03/01", "1999-03-01", "31.12.1998", "1999-04-05 noon")
+
+
 def _news_feed(spark: SparkSession, d: str) -> DataFrame:
     """Documents as nested feed entries; some lack provider, summary or a readable date."""
     doc, suppliers = F.col("doc_id"), derived.source(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
     day = F.date_add(F.lit("1999-01-01").cast("date"), ((doc * 7) % 365).cast("int"))
-    stamp = F.when(doc % 50 == 49, F.lit("soon")).otherwise(
+    odd = F.element_at(F.array(*[F.lit(t) for t in ODD_DATES]), (F.floor(doc / 50) % len(ODD_DATES) + 1).cast("int"))
+    stamp = F.when(doc % 50 == 49, odd).otherwise(
         F.concat(day.cast("string"), F.lit("T23:30:00-05:00"))
     )
     return derived.source(spark, d, "documents").select(

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from backdate.functions.dates import as_date
+from backdate.functions.dates import as_date, day_bucket
+from backdate.operators.pointintime import buckets_asked
 from backdate.schemas import COMPANY_FEED, INGEST_LOOKBACK_DAYS, NEWS_FEED, PRICE_FEED
 from backdate.sources.tables import write_observed
 
@@ -24,12 +25,16 @@ def _read(spark: SparkSession, path: str, fmt: str, schema) -> DataFrame:
 def in_ingest_window(prices: DataFrame, as_of: dt.date | str | DataFrame, lookback_days: int) -> DataFrame:
     """Days ``[as_of - lookback, as_of]``: both ends belong to the feed window.
 
-    With a table of requests for ``as_of``, days in a window of the row's own ticker.
+    With a table of requests for ``as_of``, days in a window of the row's own ticker;
+    rows and requests meet on ticker and calendar bucket, of which a window has at most six.
     """
     if isinstance(as_of, DataFrame):
-        wanted = as_of.select(F.col("ticker").alias("_t"), "as_of").distinct()
+        days = lookback_days + 1
+        width = max(1, days // 4)
+        wanted = buckets_asked(as_of, days, width).withColumnsRenamed({"ticker": "_t", "_bucket": "_b"})
         inside = (F.col("trade_date") >= F.date_sub("as_of", lookback_days)) & (F.col("trade_date") <= F.col("as_of"))
-        return prices.join(wanted, (F.col("ticker") == F.col("_t")) & inside, "left_semi")
+        met = (F.col("ticker") == F.col("_t")) & (day_bucket(F.col("trade_date"), width) == F.col("_b"))
+        return prices.join(wanted, met & inside, "left_semi")
     last = as_date(as_of)
     return prices.where((F.col("trade_date") >= F.date_sub(last, lookback_days)) & (F.col("trade_date") <= last))
 
