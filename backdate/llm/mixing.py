@@ -99,14 +99,10 @@ def _thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", F.when(nearer, F.col("low") + 1).otherwise(F.col("low")).alias("below"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS
-) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` and ``copies`` for every row of ``docs (doc_id, source, text)``.
-
-    ``taken`` is ``size`` times ``copies``: as many whole passes over the source
-    as its target holds, and one more for documents under the threshold.
-    """
+def _plan(
+    docs: DataFrame, weights: Sequence[float], share: float, most: int
+) -> tuple[DataFrame, DataFrame]:
+    """The size and key of every row, and of each source its size, target, whole passes and threshold."""
     sizes = stored(docs.select(
         "doc_id", "source", word_count(F.col("text")).alias("size"),
         _key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key"),
@@ -122,8 +118,23 @@ def mix_sources(
     plan = targets.join(below, targets["source"].eqNullSafe(below["s"]), "left").select(
         F.col("source").alias("p_source"), "source_size", "target", "passes", F.coalesce("below", F.lit(0)).alias("below")
     )
-    plan = stored(plan)
-    copies = F.least(F.lit(most), F.col("passes") + (F.col("key") < F.col("below")).cast("int"))
+    return sizes, stored(plan)
+
+
+def _copies(most: int) -> Column:
+    return F.least(F.lit(most), F.col("passes") + (F.col("key") < F.col("below")).cast("int"))
+
+
+def mix_sources(
+    docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS
+) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` and ``copies`` for every row of ``docs (doc_id, source, text)``.
+
+    ``taken`` is ``size`` times ``copies``: as many whole passes over the source
+    as its target holds, and one more for documents under the threshold.
+    """
+    sizes, plan = _plan(docs, weights, share, most)
+    copies = _copies(most)
     return (
         sizes.join(plan, sizes["source"].eqNullSafe(plan["p_source"]))
         .select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"),
@@ -134,11 +145,13 @@ def mix_sources(
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns.
 
-    Rows are matched to their decision by key, so equal rows share one.
+    How often follows from a row's key and its source's plan. The plan has a row per
+    source, so Spark broadcasts it while it is small, and the texts stay where they are.
     """
-    decided = stored(mix_sources(docs).where("copies > 0").select("key", "copies").distinct())
+    _, plan = _plan(docs, WEIGHTS, SHARE, MOST_REPEATS)
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), _key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key")
+        F.struct(*docs.columns).alias("row"), F.col("source").alias("r_source"),
+        _key(F.col("doc_id"), F.col("source"), F.col("text")).alias("key"),
     )
-    taken = rows.join(decided, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
-    return taken.select("row.*")
+    met = rows.join(plan, rows["r_source"].eqNullSafe(plan["p_source"])).select("row", _copies(MOST_REPEATS).alias("copies"))
+    return met.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")

@@ -60,3 +60,20 @@ def test_odd_rows_and_empty_tables(odd_docs, no_docs):
     assert mixed.columns == odd_docs.columns
     assert mixed.count() == sum(r.copies for r in got)
     assert mix_sources(no_docs).count() == 0 and mixed_documents(no_docs).count() == 0
+
+
+def test_each_row_is_written_as_often_as_it_is_taken_and_stays_where_it_is(spark, make_docs, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, sentence(rng, rng.randrange(1, 40)), rng.choice(["a", "b", None, "c"])) for i in range(500)]
+    make_docs(rows + rows[:20]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = defaultdict(int)
+    for r in mix_sources(docs).collect():
+        want[r.doc_id] += r.copies
+    mixed = mixed_documents(docs)
+    got = defaultdict(int)
+    for r in mixed.collect():
+        got[r.doc_id] += 1
+    assert dict(got) == {i: n for i, n in want.items() if n}
+    final = mixed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in final and "Exchange hashpartitioning" not in final
