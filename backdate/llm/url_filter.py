@@ -1,8 +1,13 @@
 """URL rules, and gradient-boosted trees on lexical features for what no rule decides.
 
-The trees learn from the urls that the rules label. Everything runs as column
+The trees learn from the urls that the rules label, each once however often it
+stands. The block rates that a training url is given come from urls of other
+hosts, so its own label is not among its features. Everything runs as column
 expressions and Spark's own tree learner; only the url is read.
 
+A host's suffix is its last label, or the last two where a country's label
+follows one of SECOND_LEVELS (``co.uk``).
+
 Defined results: a url that is NULL or has no ``://`` has an empty host and
 path, fits no rule and is judged by its features like any other; with no
 labelled url, or all of one kind, there is nothing to learn and the verdict is
@@ -11,7 +16,7 @@ that kind, else allow.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -28,6 +33,8 @@ RULES = (
 TRAIN_ROWS = 20_000  # bound of the labelled sample that the trees are fitted on
 SUFFIX_BUCKETS = 4096  # bound of the suffix table
 PRIOR_WEIGHT = 20.0
+FOLDS = 5
+SECOND_LEVELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FEATURES = (
@@ -36,17 +43,17 @@ FEATURES = (
 )
 
 
-def split_url(pages: DataFrame) -> DataFrame:
-    """``page_id, url, host, path, rest`` (what follows the path)."""
+def split_url(pages: DataFrame, *more: str) -> DataFrame:
+    """``page_id, url, host, path, rest`` (what follows the path), and the columns ``more``."""
     url = F.coalesce(F.col("url"), F.lit(""))
     at = F.locate("://", url)
     rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
-    split = pages.select("page_id", "url", rest.alias("rest"))
+    split = pages.select("page_id", "url", *more, rest.alias("rest"))
     host = F.regexp_extract("rest", r"^[^/?#]*", 0)
-    split = split.select("page_id", "url", host.alias("raw"), F.substr("rest", F.length(host) + 1).alias("rest"))
+    split = split.select("page_id", "url", *more, host.alias("raw"), F.substr("rest", F.length(host) + 1).alias("rest"))
     path = F.regexp_extract("rest", r"^[^?#]*", 0)
     return split.select(
-        "page_id", "url", F.translate("raw", UPPER, LOWER).alias("host"), path.alias("path"),
+        "page_id", "url", *more, F.translate("raw", UPPER, LOWER).alias("host"), path.alias("path"),
         F.substr("rest", F.length(path) + 1).alias("rest"),
     )
 
@@ -74,7 +81,8 @@ def lexical(urls: DataFrame) -> DataFrame:
     """Features of the url alone, and the buckets of its host suffix and of suffix with first path segment."""
     url, host, path, rest = F.coalesce("url", F.lit("")), F.col("host"), F.col("path"), F.col("rest")
     n = F.length(url)
-    suffix = F.substring_index(host, ".", -1)
+    two = host.rlike(rf"\.({'|'.join(SECOND_LEVELS)})\.[a-z]{{2}}$")
+    suffix = F.when(two, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
     section = F.split_part(path, F.lit("/"), F.lit(2))
     query = F.substring_index(rest, "#", 1)
     number = lambda c: c.cast("double")
@@ -95,61 +103,80 @@ def lexical(urls: DataFrame) -> DataFrame:
     )
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+
+
 def _bucket_stats(labelled: DataFrame, bucket: str) -> DataFrame:
-    """Labelled and blocked urls of each bucket: at most SUFFIX_BUCKETS rows."""
+    """Labelled and blocked urls of each bucket by fold of the host: at most SUFFIX_BUCKETS rows."""
+    each = lambda f: F.array(*[f(_fold() == k) for k in range(FOLDS)])
     return labelled.groupBy(bucket).agg(
-        F.count(F.lit(1)).alias(f"{bucket}_n"), F.sum("label").alias(f"{bucket}_blocked")
+        each(F.count_if).alias(f"{bucket}_n"), each(lambda mine: F.count_if(mine & (F.col("label") == 1.0))).alias(f"{bucket}_blocked")
     )
 
 
-def _with_rates(rows: DataFrame) -> DataFrame:
-    """Block rates of the buckets, drawn towards one half where they hold few labelled urls."""
+def _with_rates(rows: DataFrame, others_only: bool) -> DataFrame:
+    """Block rates of the buckets, drawn towards one half where they hold few labelled urls.
+
+    With ``others_only`` from the folds that the row's host isn't in.
+    """
     for bucket in ("suffix", "section"):
-        n, blocked = F.coalesce(f"{bucket}_n", F.lit(0)), F.coalesce(f"{bucket}_blocked", F.lit(0.0))
-        rows = rows.withColumn(f"{bucket}_rate", (blocked + PRIOR_WEIGHT / 2) / (n + PRIOR_WEIGHT))
+        def total(name: str) -> Column:
+            counts = F.col(f"{bucket}_{name}")  # noqa: B023
+            whole = F.aggregate(counts, F.lit(0).cast("long"), lambda a, b: a + b)
+            return F.coalesce(whole - F.element_at(counts, _fold() + 1) if others_only else whole, F.lit(0))
+
+        rows = rows.withColumn(f"{bucket}_rate", (total("blocked") + PRIOR_WEIGHT / 2) / (total("n") + PRIOR_WEIGHT))
     return rows
 
 
-def filter_urls(
-    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4
-) -> DataFrame:
-    """``page_id, host, path, rule, verdict, block_score`` of every row of ``pages (page_id, url)``.
+def url_scorer(labelled: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4) -> Callable[[DataFrame], DataFrame]:
+    """Learn from ``labelled (url, label)``, 1.0 for block; the result adds ``block_score`` to rows of :func:`lexical`.
 
-    The trees are fitted on the ``train_rows`` labelled urls of least hash; all
-    statistics count every labelled url.
+    Rows of one url count once, with one label. The rates count every url; the trees
+    are fitted on the ``train_rows`` urls of least hash.
     """
-    urls = split_url(pages.select("page_id", "url"))
-    urls = urls.withColumn("decided", rule_of(F.col("host"), F.col("path"), rules))
-    rows = lexical(urls)
-    label = (F.col("decided.verdict") == "block").cast("double")
-    labelled = rows.where(F.col("decided").isNotNull()).withColumn("label", label)
-    stats = {b: stored(_bucket_stats(labelled.select(b, "label"), b)) for b in ("suffix", "section")}
+    once = labelled.groupBy("url").agg(F.max("label").alias("label"))
+    known = lexical(split_url(once.withColumn("page_id", F.lit(None)), "label"))
+    known = stored(known.select("url", "host", *[f for f in FEATURES if not f.endswith("_rate")], "suffix", "section", "label"))
+    stats = {b: stored(_bucket_stats(known, b)) for b in ("suffix", "section")}
 
     def joined(some: DataFrame) -> DataFrame:
         for bucket, table in stats.items():
             some = some.join(F.broadcast(table), bucket, "left")
         return some
 
-    n_labelled = stats["suffix"].agg(F.sum("suffix_n")).first()[0] or 0
-    order = F.xxhash64(F.coalesce("url", F.lit("")))
+    order = F.pmod(F.xxhash64(F.coalesce("url", F.lit(""))), F.lit(1 << 20))
     # Half as many again as are needed meet in the last step of the limit, whatever the size of the table.
-    near = labelled.where(F.pmod(order, F.lit(1 << 20)) < min(1 << 20, (train_rows * 3 << 19) // max(1, n_labelled) + 1))
-    picked = near.orderBy(F.pmod(order, F.lit(1 << 20)), order, "url", "page_id").limit(train_rows)
-    train = stored(_with_rates(joined(picked)).select(*FEATURES, "label").coalesce(1))
+    near = known.where(order < min(1 << 20, (train_rows * 3 << 19) // max(1, known.count()) + 1))
+    picked = near.orderBy(order, "url").limit(train_rows)
+    train = stored(_with_rates(joined(picked), True).select(*FEATURES, "label").coalesce(1))
     n, blocked = train.agg(F.count(F.lit(1)), F.sum("label")).first()
-    scored = _with_rates(joined(rows))
-    if not n or blocked in (0.0, float(n)):
-        score = F.lit(1.0 if n and blocked else 0.0)
-    else:
+    model = None
+    if n and blocked not in (0.0, float(n)):
         gather = VectorAssembler(inputCols=list(FEATURES), outputCol="gathered", handleInvalid="keep")
-        learner = GBTClassifier(
+        model = GBTClassifier(
             featuresCol="gathered", labelCol="label", predictionCol="tree_prediction",
             maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3, seed=7,
-        ).setProbabilityCol("tree_probability").setRawPredictionCol("tree_raw")
-        model = learner.fit(gather.transform(train))
-        scored = model.transform(gather.transform(scored))
-        score = F.element_at(vector_to_array("tree_probability"), 2)
-    verdict = F.coalesce("decided.verdict", F.when(score > 0.5, "block").otherwise("allow"))
-    return scored.select(
-        "page_id", "host", "path", F.col("decided.rule").alias("rule"), verdict.alias("verdict"), score.alias("block_score")
-    )
+        ).setProbabilityCol("tree_probability").setRawPredictionCol("tree_raw").fit(gather.transform(train))
+
+    def score(rows: DataFrame) -> DataFrame:
+        scored = _with_rates(joined(rows), False)
+        if model is None:
+            return scored.withColumn("block_score", F.lit(1.0 if n and blocked else 0.0))
+        return model.transform(gather.transform(scored)).withColumn("block_score", F.element_at(vector_to_array("tree_probability"), 2))
+
+    return score
+
+
+def filter_urls(
+    pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 4
+) -> DataFrame:
+    """``page_id, host, path, rule, verdict, block_score`` of every row of ``pages (page_id, url)``."""
+    urls = split_url(pages.select("page_id", "url"))
+    urls = urls.withColumn("decided", rule_of(F.col("host"), F.col("path"), rules))
+    label = (F.col("decided.verdict") == "block").cast("double")
+    labelled = urls.where(F.col("decided").isNotNull()).select("url", label.alias("label"))
+    scored = url_scorer(labelled, train_rows, trees, depth)(lexical(urls))
+    verdict = F.coalesce("decided.verdict", F.when(F.col("block_score") > 0.5, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", F.col("decided.rule").alias("rule"), verdict.alias("verdict"), "block_score")
