@@ -193,29 +193,32 @@ def latest_version(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last_per_key(df, keys, WINDOW_COLUMNS)
 
 
-def version_invariants(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+def version_invariants(df: DataFrame, keys: Sequence[str], reduce_first: bool = True) -> DataFrame:
     """Violations per rule; all counts are 0 for a sound table.
 
     ``reversed_window``: ends before it starts. ``overlap``: believed together
     with the next version of the key. ``many_open``: surplus open versions.
+    Without ``reduce_first`` every row is sorted by its key as it is.
     """
-    # One row per key and start day first, so no key is larger than its number of days.
-    filled = F.col("known_until") > F.col("known_from")
-    starts = df.groupBy(*keys, "known_from").agg(
-        F.count_if(filled).alias("_filled"),
-        F.max("known_until").alias("_until"),
-        F.count_if(F.col("known_until") < F.col("known_from")).alias("_reversed"),
-        F.count_if(F.col("known_until") == open_end()).alias("_open"),
-    )
-    by_day = Window.partitionBy(*keys).orderBy("known_from")
+    # One row per key and start day first, so no key is larger than its number of days. Of versions that
+    # build_versions has just made there are no more than that, and they lie by key: tables of them by day only take memory.
+    filled, until = F.col("known_until") > F.col("known_from"), F.col("known_until")
+    flags = {"_filled": filled, "_reversed": until < F.col("known_from"), "_open": until == open_end()}
+    if reduce_first:
+        starts = df.groupBy(*keys, "known_from").agg(
+            F.max("known_until").alias("_until"), *[F.count_if(c).alias(n) for n, c in flags.items()]
+        )
+    else:
+        starts = df.select(*keys, "known_from", until.alias("_until"), *[F.when(c, 1).otherwise(0).alias(n) for n, c in flags.items()])
+    by_day = Window.partitionBy(*keys).orderBy("known_from", "_until")
+    earlier = by_day.rowsBetween(Window.unboundedPreceding, -1)
     # The furthest end of any earlier version; it must not pass this start.
-    reach = F.max("_until").over(by_day.rowsBetween(Window.unboundedPreceding, -1))
+    reach = F.max("_until").over(earlier)
     clash = F.when(F.col("_filled") > 0, F.col("_filled") - 1 + F.when(reach > F.col("known_from"), 1).otherwise(0))
-    per_key = starts.withColumn("_clash", F.coalesce(clash, F.lit(0))).groupBy(*keys).agg(
-        F.sum("_reversed").alias("reversed_window"),
-        F.sum("_clash").alias("overlap"),
-        F.greatest(F.sum("_open") - 1, F.lit(0)).alias("many_open"),
-    )
-    totals = per_key.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    # A key's first open version is no surplus. Counted on the way, so that no task keeps sums by key.
+    has_open = F.coalesce(F.max(F.col("_open") > 0).over(earlier), F.lit(False))
+    surplus = F.col("_open") - F.when((F.col("_open") > 0) & ~has_open, 1).otherwise(0)
+    counted = starts.select(F.col("_reversed").alias("reversed_window"), clash.alias("overlap"), surplus.alias("many_open"))
+    totals = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c)
                            for c in ("reversed_window", "overlap", "many_open")])
     return totals.unpivot([], ["reversed_window", "overlap", "many_open"], "rule", "violations")

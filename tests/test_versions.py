@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from collections import Counter
 from decimal import Decimal
 
+import __spark_entry__ as entry
 import pytest
 import seed
 from pyspark.sql import functions as F
@@ -229,6 +231,21 @@ def test_invariants_find_broken_windows(spark):
     assert found == {"reversed_window": 1, "overlap": 4, "many_open": 1}
 
 
+def test_invariants_by_row_equal_those_by_day_and_keep_no_table_by_key(spark):
+    rng = random.Random(23)
+    days = [None, *(f"2024-01-{d:02d}" for d in range(1, 7)), seed.OPEN]
+    rows = [(rng.choice([None, *range(9)]), "2024-01-01", rng.choice(days[:-1]), rng.choice(days)) for _ in range(120)]
+    df = spark.createDataFrame(
+        [(k, seed.day(d), f and seed.day(f), u and seed.day(u)) for k, d, f, u in rows], "k int, d date, known_from date, known_until date"
+    )
+    counts = lambda **how: {r.rule: r.violations for r in versions.version_invariants(df, ["k", "d"], **how).collect()}
+    assert counts(reduce_first=False) == counts() and min(counts().values()) > 0
+    opened = Counter(k for k, _, _, u in rows if u == seed.OPEN)
+    assert counts()["many_open"] == sum(n - 1 for n in opened.values())
+    plan = entry.queries()["version_invariants"](spark, entry.SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate(keys=[]," in plan and "HashAggregate(keys=[ticker" not in plan
+
+
 def test_upsert_replaces_whole_rows(spark):
     old = spark.createDataFrame(seed.COMPANIES, "ticker string, name string, sector string, exchange string")
     new = spark.createDataFrame([("AAPL", "Apple", None, "X"), ("NEW", "New", "S", None)], old.schema)
