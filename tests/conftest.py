@@ -13,7 +13,8 @@ from backdate.session import local_session
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("checkpoints"))
-    session = local_session(4, 4, **{"spark.checkpoint.dir": shared})
+    # Plans name files by their whole path, however long that is.
+    session = local_session(4, 4, **{"spark.checkpoint.dir": shared, "spark.sql.maxMetadataStringLength": 10_000})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
