@@ -6,9 +6,9 @@ until one is missing. Levels are cut off below, so a count read back is at most
 the true one and above it divided by b, but for false positives.
 
 The filter is cut by hash into blocks that tasks fill and into shards of bounded
-size; a shard is what the driver gathers and broadcasts at a time, and as many
-as fit in a worker are read in one pass over the texts. Passes follow each other
-without a shuffle, so a larger filter costs passes, not n-grams. The most frequent words, a bounded
+size. Texts go in chunks; a chunk's distinct n-grams are dealt by shard to tasks that hold one shard
+at a time, and their levels come back to the chunk. So no task and no broadcast grows with the
+filter, and the driver sees none of it. The most frequent words, a bounded
 table, are broadcast with their exact counts.
 
 The score interpolates bigrams with single words: a word after another has
@@ -36,15 +36,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from backdate.llm.common import stored
-from backdate.llm.fingerprints import Words, chunks, mix, signed, words_of
+from backdate.llm.fingerprints import Words, chunks, mix, signed, utf8, words_of
 
 FOLDS, HELD_OUT = 10, 0
 PRIOR = 0.1
 LEVEL_BASE = 1.5
 BITS_PER_ENTRY, PROBES = 10, 6  # about 1 false positive in 120 probes
 BLOCK_TOKENS = 1 << 18  # bigrams of training text to a block, about
-SHARD_BYTES = 16 << 20  # gathered and broadcast at a time
-PASS_BYTES = 128 << 20  # held by a worker at a time
+SHARD_BYTES = 16 << 20  # of the filter, to a shard
+PASS_BYTES = 128 << 20  # of the filter, held by a worker at a time
+ASKED_BYTES = 64 << 20  # of text whose n-grams a copy of a shard is read for, at least and about, to a shard of SHARD_BYTES
 HOT_WORDS = 1 << 17
 STRENGTH = 200.0  # m
 END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash; it is also what stands before a text
@@ -198,24 +199,21 @@ def train(docs: DataFrame) -> tuple[DataFrame, int]:
     return stored(reduced), bits
 
 
-def shards_of(blocks: DataFrame, bits: int, most: int = SHARD_BYTES) -> list[Broadcast]:
-    """Broadcasts of at most ``most`` bytes of the filter each."""
-    spark = blocks.sparkSession
+def shard_count(blocks: DataFrame, bits: int, most: int = SHARD_BYTES) -> tuple[int, int]:
+    """Into how many shards of at most ``most`` bytes the filter goes, and how often each is sent."""
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(1, -(-total // most))
+    n = max(1, min(1 << bits, -(-total // most)))
     while True:
-        of = F.floor(F.col("block") * n / (1 << bits)).cast("int")
-        largest = blocks.groupBy(of.alias("shard")).agg(F.sum("n_bytes").alias("n")).agg(F.max("n")).first()[0] or 0
+        largest = blocks.groupBy(_shard(F.col("block"), n, bits)).agg(F.sum("n_bytes").alias("n")).agg(F.max("n")).first()[0] or 0
         if largest <= most or n >= 1 << bits:
             break
-        n *= 2
-    sent = []
-    for i in range(n):
-        rows = blocks.where(of == i).select("block", "bits").collect()
-        found = {r["block"]: bytes(r["bits"]) for r in rows}
-        low, high = -(-(i << bits) // n), -(-(i + 1 << bits) // n)
-        sent.append(spark.sparkContext.broadcast(Shard(low, [found.get(b, bytes(8)) for b in range(low, high)])))
-    return sent
+        n = min(1 << bits, n * 2)
+    copies = (6 * BLOCK_TOKENS << bits) // n // max(ASKED_BYTES, 4 * largest)
+    return n, max(1, copies)
+
+
+def _shard(block: Column, n: int, bits: int) -> Column:
+    return F.floor(block * n / (1 << bits)).cast("int")
 
 
 def frequent_words(counts: DataFrame, most: int = HOT_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -235,50 +233,96 @@ def frequent_words(counts: DataFrame, most: int = HOT_WORDS) -> tuple[np.ndarray
     return word[order], np.array([r["n"] for r in rows], np.int64)[order]
 
 
-def _probe(shards: list[Broadcast], bits: int, hot_words: Broadcast, last: dict | None):
-    """Fill in the levels of some shards; the last pass scores.
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of texts, named by its first text."""
+    for batch in batches:
+        for part, _, _ in chunks(batch, "text"):
+            rows = pa.StructArray.from_arrays(part.columns, part.schema.names)
+            yield pa.RecordBatch.from_arrays([part.column("row_no").slice(0, 1), pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), rows)], ["chunk", "rows"])
+
+
+class _Chunk:
+    """A chunk's tokens and their distinct pairs and words, ascending and so in the order of shards; frequent words have exact counts."""
+
+    def __init__(self, rows: pa.StructArray, hot: np.ndarray):
+        self.tokens, self.first = tokens_of(words_of(*utf8(rows.field("text")), lower=True))
+        self.words, self.which = np.unique(self.tokens, return_inverse=True)
+        self.pairs, self.back = np.unique(pairs_of(self.tokens), return_inverse=True)
+        self.place = np.minimum(np.searchsorted(hot, self.words), max(0, len(hot) - 1))
+        self.is_hot = hot[self.place] == self.words if len(hot) else np.zeros(len(self.words), bool)
 
-    A chunk's words and pairs are probed once each, frequent words not at all.
-    """
 
-    def probed(hashes: np.ndarray, keys: np.ndarray, levels: np.ndarray) -> None:
-        block = _block(hashes, bits)
-        for shard in shards:
-            shard.value.probe(keys, block, levels)
+def _rows_of(batch: pa.RecordBatch) -> Iterator[pa.StructArray]:
+    column = batch.column("rows")
+    at = column.offsets.to_numpy()
+    for low, high in zip(at[:-1], at[1:], strict=True):
+        yield column.values.slice(low, high - low)
+
+
+def _asked(n: int, bits: int, hot_words: Broadcast):
+    """The distinct words that are not frequent, and pairs, that each chunk asks of each shard."""
+    edges = np.array([-(-(i << bits) // n) for i in range(n + 1)])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, rows in zip(batch.column("chunk").to_pylist(), _rows_of(batch), strict=True):
+                own = _Chunk(rows, hot_words.value[0])
+                own_words = own.words[~own.is_hot]
+                at = [np.searchsorted(_block(k, bits), edges) for k in (own_words, own.pairs)]
+                some = np.flatnonzero((np.diff(at[0]) > 0) | (np.diff(at[1]) > 0))
+                # A pair is told by its block and 32 bits, and pairs are sent with how many are of each block.
+                counts = np.bincount(_block(own.pairs, bits), minlength=1 << bits)
+                sides = ((own_words, at[0], "<u8"), (_pair_key(own.pairs), at[1], "<u4"), (counts, edges, "<u4"))
+                out = [pa.array([k[a[i] : a[i + 1]].astype(kind).tobytes() for i in some], pa.binary()) for k, a, kind in sides]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array([chunk] * len(some), pa.int64()), *out], ["shard", "chunk", "words", "pairs", "n_pairs"]
+                )
+
+    return asked
+
+
+def _probe(n: int, bits: int):
+    """The levels of what is asked. Rows are sorted by shard, and a shard's blocks come first."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, blocks, shard = None, {}, None
+        for batch in batches:
+            out = []
+            for r in (r for i in range(0, batch.num_rows, 64) for r in batch.slice(i, 64).to_pylist()):
+                if (r["shard"], r["copy"]) != at:
+                    at, blocks, shard = (r["shard"], r["copy"]), {}, None
+                if r["bits"] is not None:
+                    blocks[r["block"]] = r["bits"]
+                    continue
+                if shard is None:
+                    low, high = (-(-(i << bits) // n) for i in (r["shard"], r["shard"] + 1))
+                    shard, blocks = Shard(low, [blocks.get(b, bytes(8)) for b in range(low, high)]), {}
+                words, pairs = np.frombuffer(r["words"], "<u8"), np.frombuffer(r["pairs"], "<u4").astype(np.uint64)
+                levels = [np.zeros(len(keys), np.uint8) for keys in (words, pairs)]
+                shard.probe(words, _block(words, bits), levels[0])
+                shard.probe(pairs, np.repeat(np.arange(low, high), np.frombuffer(r["n_pairs"], "<u4")), levels[1])
+                out.append((r["chunk"], r["shard"], *(x.tobytes() for x in levels)))
+            cols = list(zip(*out, strict=True)) if out else [()] * 4
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["chunk", "shard", "words", "pairs"])
+
+    return probe
+
+
+def _score(hot_words: Broadcast, last: dict):
+    """Scores of the texts of each chunk, from the levels that came back."""
 
     def levels_in(batch: pa.RecordBatch) -> Iterator[tuple]:
         hot, hot_counts = hot_words.value
-        filled = batch.column("levels").to_pylist()
-        at = 0
-        for part, raw, places in chunks(batch, "text"):
-            tokens, first = tokens_of(words_of(raw, places, lower=True))
-            own = filled[at : at + part.num_rows]
-            at += part.num_rows
-            levels = np.zeros((2, len(tokens)), np.uint8)
-            if own and own[0] is not None:
-                levels = np.concatenate([np.frombuffer(x, np.uint8).reshape(2, -1) for x in own], axis=1)
-            found = []
-            words, which = np.unique(tokens, return_inverse=True)
-            place = np.minimum(np.searchsorted(hot, words), max(0, len(hot) - 1))
-            is_hot = hot[place] == words if len(hot) else np.zeros(len(words), bool)
-            exact = np.where(is_hot, hot_counts[place], 0) if len(hot) else np.zeros(len(words), np.int64)
-            new = np.zeros(int((~is_hot).sum()), np.uint8)
-            probed(words[~is_hot], words[~is_hot], new)
-            of_words = np.zeros(len(words), np.uint8)
-            of_words[~is_hot] = new
-            found.append(of_words[which])
-            pairs, back = np.unique(pairs_of(tokens), return_inverse=True)
-            new = np.zeros(len(pairs), np.uint8)
-            probed(pairs, _pair_key(pairs), new)
-            found.append(new[back])
-            # A level is found in one shard and 0 in all others.
-            yield part, tokens, first, np.maximum(levels, np.array(found)), is_hot[which], exact[which]
-
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, _, first, levels, _, _ in levels_in(batch):
-                out = [levels[:, a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield part.set_column(part.schema.get_field_index("levels"), "levels", pa.array(out, pa.binary()))
+        for i, rows in enumerate(_rows_of(batch)):
+            own = _Chunk(rows, hot)
+            exact = np.where(own.is_hot, hot_counts[own.place], 0) if len(hot) else np.zeros(len(own.words), np.int64)
+            found = batch.column("found")[i].as_py()
+            of_words = np.zeros(len(own.words), np.uint8)
+            of_words[~own.is_hot] = np.frombuffer(b"".join(x["words"] for x in found), np.uint8)
+            of_pairs = np.frombuffer(b"".join(x["pairs"] for x in found), np.uint8)
+            levels = np.array([of_words[own.which], of_pairs[own.back]])
+            yield rows, own.tokens, own.first, levels, own.is_hot[own.which], exact[own.which]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = last["tokens"] + PRIOR * (last["distinct"] + 1)
@@ -301,13 +345,13 @@ def _probe(shards: list[Broadcast], bits: int, hot_words: Broadcast, last: dict
                     often.append(n)
                 n_tokens = np.diff(first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_no"), part.column("doc_id"), part.column("held_out"), pa.array(n_tokens),
+                    [part.field("row_no"), part.field("doc_id"), part.field("held_out"), pa.array(n_tokens),
                      pa.array(np.add.reduceat(is_hot.astype(np.int64), first[:-1])), pa.array(np.add.reduceat(base, first[:-1])), pa.array(total),
                      pa.array(words, pa.list_(pa.int64())), pa.array(often, pa.list_(pa.int64()))],
                     ["row_no", "doc_id", "held_out", "n_tokens", "known", "base", "score", "words", "often"],
                 )
 
-    return score if last else go_on
+    return score
 
 
 def score_documents(
@@ -321,19 +365,24 @@ def score_documents(
     n, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     n = n or 0
     end = counts.where(F.col("word") == int(signed(np.array([END]))[0])).first()
-    shards = shards_of(blocks, bits, shard_bytes)
     hot = spark.sparkContext.broadcast(frequent_words(counts, hot_words))
     last = {"tokens": n, "distinct": distinct, "texts": end["n"] if end else 0}
-    kept = "row_no long, doc_id long, held_out boolean, text string, levels binary"
-    scored = own.withColumns({"row_no": F.monotonically_increasing_id(), "levels": F.lit(None).cast("binary")}).select(
-        "row_no", "doc_id", "held_out", "text", "levels"
+    shards, copies = shard_count(blocks, bits, min(shard_bytes, pass_bytes))
+    chunked = stored(own.select(F.monotonically_increasing_id().alias("row_no"), "doc_id", "held_out", "text").mapInArrow(
+        _chunked, "chunk long, rows array<struct<row_no:long,doc_id:long,held_out:boolean,text:string>>"
+    ))
+    asked = chunked.mapInArrow(_asked(shards, bits, hot), "shard int, chunk long, words binary, pairs binary, n_pairs binary").withColumn(
+        "copy", F.pmod(F.xxhash64("chunk"), F.lit(copies)).cast("int")
+    )
+    sent = blocks.select(
+        _shard(F.col("block"), shards, bits).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "block", "bits"
     )
-    together = max(1, pass_bytes // shard_bytes)
-    passes = [shards[i : i + together] for i in range(0, len(shards), together)]
-    for some in passes[:-1]:
-        scored = scored.mapInArrow(_probe(some, bits, hot, None), kept)
-    scored = stored(scored.mapInArrow(
-        _probe(passes[-1], bits, hot, last),
+    dealt = asked.unionByName(sent, allowMissingColumns=True).repartition("shard", "copy")
+    dealt = dealt.sortWithinPartitions("shard", "copy", F.col("bits").isNull(), "block")
+    found = dealt.mapInArrow(_probe(shards, bits), "chunk long, shard int, words binary, pairs binary")
+    found = found.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("shard", "words", "pairs"))).alias("found"))
+    scored = stored(chunked.join(found, "chunk").select("rows", "found").mapInArrow(
+        _score(hot, last),
         "row_no long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, "
         "words array<long>, often array<long>",
     ))

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest_llm import sentence
+from pyspark import SparkContext
 
 from backdate.llm.scoring import AT_LEAST, AT_MOST, Shard, fill, levels_of, score_documents
 
@@ -52,6 +53,16 @@ def test_scores_by_brute_force(make_docs, options):
     assert gain > 0
 
 
+def test_the_filter_is_dealt_to_tasks_and_not_broadcast(make_docs, monkeypatch):
+    rng = random.Random(16)
+    docs = make_docs([(i, sentence(rng, 40, 3000), "a") for i in range(200)])
+    sent, own = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or own(self, value))
+    whole, cut = ({r.doc_id: r.score for r in score_documents(docs, **o).collect()} for o in ({}, {"shard_bytes": 1000}))
+    assert whole == cut and len(whole) == 200
+    assert all(len(value) == 2 and len(value[0]) < 3002 for value in sent) and len(sent) == 2  # the frequent words of each run
+
+
 def test_a_block_gives_back_levels():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 1 << 62, 20_000).astype(np.uint64)
